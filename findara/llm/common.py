@@ -29,14 +29,14 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/findara/{tag}-{uuid.uuid4().hex[:12]}"
 
 
-def written(df: DataFrame, tag: str, path: str | None = None) -> DataFrame:
+def written(df: DataFrame, tag: str, path: str | None = None, by: list[str] | None = None) -> DataFrame:
     """``df`` as a Parquet table in the shared folder, read back.
 
     Cuts the lineage: a lost executor costs at most the tasks of the running stage, as the files outlive it.
     """
     spark = df.sparkSession
     path = path or new_path(spark, tag)
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").partitionBy(*by or []).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -60,8 +60,8 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def sorted_ranks(df: DataFrame, group: list[str], order: list[str], tag: str) -> DataFrame:
-    """Write ``df`` with ``rank`` (long, from 0): the row's place in its group by ``order``.
+def sorted_ranks(df: DataFrame, group: list[str], order: list[str], tag: str, path: str | None = None, by: list[str] | None = None) -> DataFrame:
+    """Write ``df`` with ``rank`` (long, from 0; ``rank_`` ... if taken): the row's place in its group by ``order``.
 
     Range-partitioned by group and order, so one group spreads over many tasks.  Each task numbers its rows; a
     small table, at most one row per group and task boundary, turns those numbers into ranks.  Rows that tie in
@@ -69,7 +69,7 @@ def sorted_ranks(df: DataFrame, group: list[str], order: list[str], tag: str) ->
     """
     at, part = F.col("_at"), F.shiftright("_at", 33)
     ordered = df.repartitionByRange(*group, *order).sortWithinPartitions(*group, *order)
-    table = written(ordered.withColumn("_at", F.monotonically_increasing_id()), tag)
+    table = written(ordered.withColumn("_at", F.monotonically_increasing_id()), tag, path, by)
     runs = table.groupBy(*group, part.alias("_part")).agg(F.min(at).alias("_first"), F.count("*").alias("_n"))
     before = {}
     starts = []
@@ -85,4 +85,4 @@ def sorted_ranks(df: DataFrame, group: list[str], order: list[str], tag: str) ->
     for s in same:
         on = on & s
     out = table.join(F.broadcast(shifts), on)
-    return out.select(*[table[c] for c in df.columns], (table["_at"] + shifts["_shift"]).alias("rank"))
+    return out.select(*[table[c] for c in df.columns], (table["_at"] + shifts["_shift"]).alias(free_name(df, "rank")))

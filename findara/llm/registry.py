@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup
+from . import exact_dedup, sharding
 
-_MODULES = [exact_dedup]
+_MODULES = [exact_dedup, sharding]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
