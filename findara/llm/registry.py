@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, sharding
+from . import exact_dedup, sharding, simhash
 
-_MODULES = [exact_dedup, sharding]
+_MODULES = [exact_dedup, sharding, simhash]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
