@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, sharding, simhash
+from . import exact_dedup, packing, sharding, simhash
 
-_MODULES = [exact_dedup, sharding, simhash]
+_MODULES = [exact_dedup, sharding, simhash, packing]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
