@@ -10,6 +10,7 @@ placing is a distributed ranking of narrow rows and no list of pieces ever meets
 
 from __future__ import annotations
 
+import functools
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -115,11 +116,12 @@ def plan_windows(counts: dict[int, int], units: int) -> list[Pattern]:
     return out
 
 
+@functools.lru_cache(maxsize=1)
 def word_ids(path: str) -> Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]:
     """A function from texts to (ids of all, end of each text's ids), as the tokenizer file gives them.
 
     For tokenizers that drop white space and never look across it: a word's ids are the same in any text, so each
-    different word is encoded once.
+    different word is encoded once and remembered while the worker process has room.
     """
     from tokenizers import Tokenizer
 
