@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, packing, sharding, simhash, token_counts
+from . import exact_dedup, mixing, packing, sharding, simhash, token_counts
 
-_MODULES = [exact_dedup, sharding, simhash, packing, token_counts]
+_MODULES = [exact_dedup, sharding, simhash, packing, token_counts, mixing]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
