@@ -155,14 +155,14 @@ def word_ids(path: str) -> Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]:
     return encode
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = SLICE) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch with about ``most`` bytes of text each, at least a row."""
+def slices(batch: pa.RecordBatch, column: str, most: int = SLICE, rows: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with about ``most`` bytes of text each, at least a row and at most ``rows``."""
     sizes = pc.fill_null(pc.binary_length(batch[column]), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     part = (np.cumsum(sizes) - sizes) // most
     cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(sizes)]
     for a, b in zip(cuts, cuts[1:]):
-        if b > a:
-            yield batch.slice(a, b - a)
+        for at in range(a, b, rows):
+            yield batch.slice(at, min(rows, b - at))
 
 
 def pieces(df: DataFrame, path: Callable[[], str], window: int, end_id: int, id_col: str = "doc_id", text_col: str = "text", ids: bool = False) -> DataFrame:
