@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, language_id, mixing, packing, sharding, simhash, token_counts
+from . import exact_dedup, language_id, mixing, packing, sharding, simhash, token_counts, warc
 
-_MODULES = [exact_dedup, sharding, simhash, packing, token_counts, mixing, language_id]
+_MODULES = [exact_dedup, sharding, simhash, packing, token_counts, mixing, warc, language_id]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
