@@ -11,6 +11,7 @@ placing is a distributed ranking of narrow rows and no list of pieces ever meets
 from __future__ import annotations
 
 import functools
+import os
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -21,13 +22,17 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, sorted_ranks
+from .common import documents, sorted_ranks, written
 
 #: A pattern: [(class, how many), ...] and the number of windows that use it.
 Pattern = tuple[list[tuple[int, int]], int]
 
-#: Bytes of text that are tokenised at a time, and words whose ids a worker remembers.
-SLICE, WORDS = 4 << 20, 200_000
+#: Bytes of text that are tokenised at a time, words whose ids a worker remembers (twice), and words encoded as one.
+SLICE, WORDS, JOINED = 8 << 20, 250_000, 256
+#: Marks that can follow a word's letters; none begins a contraction.
+MARKS = ".,!?;:|"
+#: The one letter whose lower case ends in a mark.
+DOTTED = "\u0130"
 
 
 def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 2000) -> np.ndarray:
@@ -116,40 +121,88 @@ def plan_windows(counts: dict[int, int], units: int) -> list[Pattern]:
     return out
 
 
+def gathered(flat: np.ndarray, sizes: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lists, given flat and by size, put together in the order of ``index``; and where each ends, from 0."""
+    size = sizes[index] if len(index) else np.zeros(0, np.int64)
+    ends = np.concatenate([[0], np.cumsum(size)])
+    first = (np.cumsum(sizes) - sizes)[index] if len(index) else size
+    return flat[np.repeat(first - ends[:-1], size) + np.arange(ends[-1])], ends
+
+
 @functools.lru_cache(maxsize=1)
 def word_ids(path: str) -> Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]:
     """A function from texts to (ids of all, end of each text's ids), as the tokenizer file gives them.
 
-    For tokenizers that drop white space and never look across it: a word's ids are the same in any text, so each
-    different word is encoded once and remembered while the worker process has room.
+    For tokenizers that lower case, drop white space and take letters and marks apart, and never look across either:
+    the ids of a word are those of its letters and those of the marks after them, in any text.  So each different
+    part is encoded once and remembered for a while.  New parts are encoded many at a time, with a special token
+    between them.
     """
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    known: dict[str, list[int]] = {"": []}
-
-    def ids_of(words: list[str]) -> list[list[int]]:
-        new = [w for w in words if w not in known]
-        got = dict(zip(new, (e.ids for e in tokenizer.encode_batch(new, add_special_tokens=False)))) if new else {}
-        out = [known[w] if w in known else got[w] for w in words]
-        if len(known) + len(got) > WORDS:
-            known.clear()
-            known[""] = []
-        if len(got) <= WORDS:
-            known.update(got)
+    between, between_id = next(((t.content, i) for i, t in tokenizer.get_added_tokens_decoder().items() if t.special), (None, -1))
+    suffix = getattr(tokenizer.model, "end_of_word_suffix", None)
+    last = np.zeros(tokenizer.get_vocab_size() + 1, bool)
+    last[[i for t, i in tokenizer.get_vocab().items() if suffix and t.endswith(suffix)]] = True
+    young: dict[str, bytes] = {"": b""}  # ids as little-endian unsigned 32-bit numbers
+    old: dict[str, bytes] = {}
+
+    def joined(words: list[str], sign: str, cut_at: Callable[[np.ndarray], np.ndarray]) -> list[bytes]:
+        """Many words as one text; ``cut_at`` finds where a word's ids begin."""
+        out: list[bytes] = []
+        for e in tokenizer.encode_batch_fast([sign.join(words[k : k + JOINED]) for k in range(0, len(words), JOINED)], add_special_tokens=False):
+            ids = np.array(e.ids, "<u4")
+            cuts = [0, *cut_at(ids).tolist(), len(ids)]
+            raw = ids.tobytes()
+            out += [raw[4 * a : 4 * b] for a, b in zip(cuts, cuts[1:])]
+        return out
+
+    def encode_new(words: list[str]) -> list[bytes]:
+        if all(map(str.isalpha, words)):  # each is one run of letters, whose last token ends a word
+            out = joined(words, " ", lambda ids: np.flatnonzero(last[ids[:-1]]) + 1)
+            if len(out) == len(words):
+                return out
+        if between is None or any(between in w for w in words):
+            return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        out = joined(words, between, lambda ids: np.flatnonzero(ids == between_id))
+        own = np.array([between_id], "<u4").tobytes()
+        return [x.removeprefix(own) for x in out]
+
+    def ids_of(words: list[str]) -> list[bytes]:
+        nonlocal young, old
+        if len(young) > WORDS:
+            young, old = {"": b""}, young
+        out = list(map(young.get, words))
+        missing = [k for k, x in enumerate(out) if x is None]
+        if old:
+            for k in missing:
+                if (x := old.get(words[k])) is not None:
+                    out[k] = young[words[k]] = x
+            missing = [k for k in missing if out[k] is None]
+        if missing:
+            kind = [0 if words[k].isalpha() else 2 if between is not None and between in words[k] else 1 for k in missing]
+            for group in ([k for k, x in zip(missing, kind) if x == g] for g in range(3)):
+                for k, x in zip(group, encode_new([words[k] for k in group]) if group else ()):
+                    out[k] = young[words[k]] = x
         return out
 
     def encode(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         words = pc.ascii_split_whitespace(texts)
         coded = words.flatten().dictionary_encode()
-        lists = ids_of(coded.dictionary.to_pylist())
-        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-        flat = np.fromiter((i for x in lists for i in x), np.uint32, int(sizes.sum()))
-        index = coded.indices.to_numpy(zero_copy_only=False)
-        size = sizes[index] if len(index) else np.zeros(0, np.int64)
-        ends = np.concatenate([[0], np.cumsum(size)])
-        first = (np.cumsum(sizes) - sizes)[index] if len(index) else size
-        ids = flat[np.repeat(first - ends[:-1], size) + np.arange(ends[-1])]
+        word = coded.dictionary
+        letters = pc.utf8_rtrim(word, MARKS)
+        marks = pc.replace_substring_regex(word, r"^\pL+", "")
+        length = pc.add(pc.binary_length(letters), pc.binary_length(marks))
+        whole = pc.and_(pc.utf8_is_alpha(pc.utf8_normalize(letters, "NFC")), pc.invert(pc.match_substring(letters, DOTTED)))
+        apart = pc.and_(whole, pc.equal(length, pc.binary_length(word)))
+        parts = pa.concat_arrays([pc.if_else(apart, pc.ascii_lower(letters), word), pc.if_else(apart, marks, "")]).dictionary_encode()
+        lists = ids_of(parts.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, lists), np.int64, len(lists)) // 4
+        index = parts.indices.to_numpy(zero_copy_only=False).reshape(2, -1).T.ravel()
+        flat, ends = gathered(np.frombuffer(b"".join(lists), "<u4"), sizes, index)
+        ids, ends = gathered(flat, np.diff(ends[::2]), coded.indices.to_numpy(zero_copy_only=False))
         return ids, ends[words.offsets.to_numpy()[1:] - words.offsets[0].as_py()]
 
     return encode
@@ -251,7 +304,7 @@ def tokenizer_path(name: str) -> Callable[[], str]:
 
 
 def pack_documents(docs: DataFrame) -> DataFrame:
-    cut = pieces(docs, tokenizer_path(TOKENIZER), WINDOW, END)
+    cut = written(pieces(docs, tokenizer_path(TOKENIZER), WINDOW, END), "cut")  # else the ranking's sampling tokenises as well
     return pack(cut, WINDOW, order=["doc_id", "start", "ids_crc32", "length"])
 
 
