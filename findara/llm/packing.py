@@ -48,7 +48,10 @@ def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 2000) -> np.ndarray:
             break
         passive.append(enter)
         while True:
-            z, *_ = np.linalg.lstsq(a[:, passive], b, rcond=None)
+            used = a[:, passive]
+            gram = used.T @ used
+            gram[np.diag_indices_from(gram)] *= 1 + 1e-10  # combinations can depend on each other
+            z = np.linalg.solve(gram, used.T @ b)
             if (z > 0).all():
                 x[passive] = z
                 break

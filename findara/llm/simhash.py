@@ -35,10 +35,10 @@ _GOLDEN = 0x9E3779B97F4A7C15
 
 @dataclass(frozen=True)
 class Plan:
-    """``segments`` for each of ``lanes`` 64-bit fingerprints; links need ``distance`` in the first lane.
+    """``segments`` for each of ``lanes`` 64-bit fingerprints; links need ``distance`` over all lanes' bits.
 
-    With one lane every link is found if segments > distance / 2 (:attr:`complete`).  More lanes, which hash the
-    same shingles anew, trade index rows for the chance to meet at a distance beyond that.
+    Every link is found if there are more than distance / 2 segments in all (:attr:`complete`).  More lanes hash the
+    same shingles anew: a sharper estimate, and more chances to meet at a distance beyond that.
     """
 
     words: int = 4
@@ -48,13 +48,34 @@ class Plan:
 
     @property
     def complete(self) -> bool:
-        return self.distance // self.segments <= 1
+        return self.distance // (self.segments * self.lanes) <= 1
 
-    def masks(self) -> list[tuple[int, int]]:
-        """(lane, mask) of every variant: a segment's bits but one."""
+    def parts(self) -> list[tuple[int, int, int]]:
+        """(lane, first bit, end) of every segment."""
         cuts = [round(64 * k / self.segments) for k in range(self.segments + 1)]
-        parts = [((1 << b) - (1 << a), a, b) for a, b in zip(cuts, cuts[1:])]
-        return [(lane, part & ~(1 << bit)) for lane in range(self.lanes) for part, a, b in parts for bit in range(a, b)]
+        return [(lane, a, b) for lane in range(self.lanes) for a, b in zip(cuts, cuts[1:])]
+
+    def variants(self) -> list[tuple[int, int, int]]:
+        """(segment, lane, mask) of every variant: a segment's bits but one.  Number 64 x lane + bit wipes that bit."""
+        return [(k, lane, (1 << b) - (1 << a) & ~(1 << bit)) for k, (lane, a, b) in enumerate(self.parts()) for bit in range(a, b)]
+
+    def linked(self, left: np.ndarray, right: np.ndarray, variant: np.ndarray | int) -> np.ndarray:
+        """Whether fingerprints (rows x lanes) that share the variant's bucket are within the distance and share no
+        earlier one, so that a pair comes out of one bucket only."""
+        differ = left ^ right
+        out = np.bitwise_count(differ).sum(axis=-1) <= self.distance
+        at = np.flatnonzero(out)
+        if len(at):
+            differ = np.broadcast_to(differ, (len(out), self.lanes))[at]
+            v = np.broadcast_to(variant, len(out))[at]
+            own = np.searchsorted([64 * lane + b for lane, a, b in self.parts()], v, side="right")
+            first = np.ones(len(at), bool)
+            for k, (lane, a, b) in enumerate(self.parts()):
+                bits = differ[:, lane] >> np.uint64(a) & np.uint64((1 << b - a) - 1)
+                first &= (own <= k) | (np.bitwise_count(bits) > 1)
+                first &= (own != k) | (bits == np.uint64(1) << ((v - 64 * lane - a) % 64).astype(np.uint64)) | ((bits == 0) & (v == 64 * lane + a))
+            out[at] = first
+        return out
 
 
 def _spaced(data: bytes) -> Iterator[list[bytes]]:
@@ -120,45 +141,47 @@ def fingerprints(df: DataFrame, plan: Plan, text_col: str = "text", carry: list[
     return rows.mapInArrow(scan, schema)
 
 
-def _forest(fps: np.ndarray, distance: int, other: np.ndarray | None = None) -> tuple[list[int], list[int]]:
-    """Links that join what is connected within ``distance``, at most one a row.
+def _forest(fps: np.ndarray, plan: Plan, variant: int, side: np.ndarray | None = None) -> tuple[list[int], list[int]]:
+    """Links that join what is connected, at most one a row; ``fps``: rows x lanes.
 
-    ``other`` (booleans) keeps the two sides of a tile apart: only links between the sides count.
-    Each row found is compared with the rows not yet reached; those shrink as a dense group is found.
+    ``side`` (booleans) keeps the two sides of a tile apart: only links between the sides count.  Each row found is
+    compared with the rows not yet reached; those shrink as a dense group is found.  Rows near the middle of all
+    come first, so that a group's links lead to what its members have in common.
     """
-    todo = np.arange(len(fps))
+    bits = np.unpackbits(np.ascontiguousarray(fps).view(np.uint8), axis=1)
+    middle = np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(fps)).view(np.uint64)
+    todo = np.argsort(np.bitwise_count(fps ^ middle).sum(axis=1), kind="stable")
     left, right = [], []
     while len(todo) > 1:
         front = [int(todo[0])]
         todo = todo[1:]
-        while front and len(todo):
-            at = front.pop()
-            near = np.bitwise_count(fps[todo] ^ fps[at]) <= distance
-            if other is not None:
-                near &= other[todo] != other[at]
+        for at in front:
+            if not len(todo):
+                break
+            near = plan.linked(fps[todo], fps[at], variant)
+            if side is not None:
+                near &= side[todo] != side[at]
             if near.any():
-                found = todo[near]
+                found = todo[near].tolist()
                 left += [at] * len(found)
-                right += found.tolist()
-                front += found.tolist()
+                right += found
+                front += found
                 todo = todo[~near]
     return left, right
 
 
-def _links(distance: int, tile: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows (_v, _key, _fp), sorted by variant and key, to links (_a, _b) and rows of overfull buckets (_a, _v, _key)."""
+def _links(plan: Plan, tile: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (_v, _key, lanes), sorted by variant and key, to links (_a, _b) and rows of overfull buckets (_v, _key, lanes)."""
     small = 48
+    lanes = [f"_fp{k}" for k in range(plan.lanes)]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
         overfull = None  # the bucket that is being passed on
 
-        def out(a, b, v=None, key=None) -> pa.RecordBatch:
-            a = np.asarray(a, np.uint64).view(np.int64)
-            none = pa.nulls(len(a), pa.int64())
-            if v is None:
-                return pa.RecordBatch.from_arrays([pa.array(a), pa.array(np.asarray(b, np.uint64).view(np.int64)), pa.nulls(len(a), pa.int32()), none], ["_a", "_b", "_v", "_key"])
-            return pa.RecordBatch.from_arrays([pa.array(a), none, pa.array(v), pa.array(key)], ["_a", "_b", "_v", "_key"])
+        def passed(v: np.ndarray, key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+            none = pa.nulls(len(v), pa.int64())
+            return pa.RecordBatch.from_arrays([none, none, pa.array(v), pa.array(key), *(pa.array(c) for c in fp.view(np.int64).T.copy())], ["_a", "_b", "_v", "_key", *lanes])
 
         def link(v: np.ndarray, key: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
             """Whole buckets."""
@@ -172,27 +195,27 @@ def _links(distance: int, tile: int) -> Callable[[Iterator[pa.RecordBatch]], Ite
                 rows = rows[at[rows] + step < of[rows]]
                 if not len(rows):
                     break
-                near = rows[np.bitwise_count(fp[rows] ^ fp[rows + step]) <= distance]
-                lefts.append(fp[near])
-                rights.append(fp[near + step])
+                near = rows[plan.linked(fp[rows], fp[rows + step], v[rows])]
+                lefts.append(fp[near, 0])
+                rights.append(fp[near + step, 0])
             for s, n in zip(start[size > small], size[size > small]):
-                a, b = _forest(fp[s : s + n], distance)
-                lefts.append(fp[s + np.array(a, int)])
-                rights.append(fp[s + np.array(b, int)])
-            if lefts:
-                pairs = np.unique(np.stack([np.concatenate(lefts), np.concatenate(rights)]), axis=1)
-                if pairs.shape[1]:
-                    yield out(pairs[0], pairs[1])
+                a, b = _forest(fp[s : s + n], plan, int(v[s]))
+                lefts.append(fp[s + np.array(a, int), 0])
+                rights.append(fp[s + np.array(b, int), 0])
+            a, b = (np.concatenate(x) if x else np.zeros(0, np.uint64) for x in (lefts, rights))
+            if len(a):
+                none = pa.nulls(len(a), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.nulls(len(a), pa.int32()), none, *[none] * plan.lanes], ["_a", "_b", "_v", "_key", *lanes])
 
         for b in batches:
             if not b.num_rows:
                 continue
-            v, key, fp = (b[c].to_numpy() for c in ("_v", "_key", "_fp"))
-            fp = fp.view(np.uint64)
+            v, key = b["_v"].to_numpy(), b["_key"].to_numpy()
+            fp = np.stack([b[c].to_numpy() for c in lanes], axis=1).view(np.uint64)
             if overfull is not None:
                 more = (v == overfull[0]) & (key == overfull[1])
                 if more.any():
-                    yield out(fp[more], None, v[more], key[more])
+                    yield passed(v[more], key[more], fp[more])
                     v, key, fp = v[~more], key[~more], fp[~more]
                 if not len(v):
                     continue
@@ -201,9 +224,10 @@ def _links(distance: int, tile: int) -> Callable[[Iterator[pa.RecordBatch]], Ite
                 v, key, fp = (np.concatenate(x) for x in zip(rest, (v, key, fp)))
             last = (v == v[-1]) & (key == key[-1])  # this bucket may go on
             rest = (v[last], key[last], fp[last])
-            yield from link(v[~last], key[~last], fp[~last]) if not last.all() else ()
+            if not last.all():
+                yield from link(v[~last], key[~last], fp[~last])
             if len(rest[0]) > tile:
-                yield out(rest[2], None, rest[0], rest[1])
+                yield passed(*rest)
                 overfull, rest = (rest[0][0], rest[1][0]), None
         if rest is not None:
             yield from link(*rest)
@@ -211,20 +235,21 @@ def _links(distance: int, tile: int) -> Callable[[Iterator[pa.RecordBatch]], Ite
     return scan
 
 
-def _tiled(big: DataFrame, distance: int, tile: int) -> DataFrame:
+def _tiled(big: DataFrame, plan: Plan, tile: int) -> DataFrame:
     """Links within overfull buckets: rows are dealt to blocks by hash, and every pair of blocks is one group."""
+    lanes = [f"_fp{k}" for k in range(plan.lanes)]
     sizes = big.groupBy("_v", "_key").agg(F.count("*").alias("_rows"))
     blocks = F.ceil(F.col("_rows") / tile).cast("int")
     rows = big.join(sizes, ["_v", "_key"]).withColumn("_blocks", blocks)
-    rows = rows.withColumn("_mine", F.pmod(F.xxhash64("_a"), F.col("_blocks")).cast("int"))
+    rows = rows.withColumn("_mine", F.pmod(F.xxhash64("_fp0"), F.col("_blocks")).cast("int"))
     rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    rows = rows.select("_v", "_key", F.least("_mine", "_other").alias("_i"), F.greatest("_mine", "_other").alias("_j"), "_mine", "_a")
+    rows = rows.select("_v", "_key", F.least("_mine", "_other").alias("_i"), F.greatest("_mine", "_other").alias("_j"), "_mine", *lanes)
 
     def tile_links(t: pd.DataFrame) -> pd.DataFrame:
-        fps = t["_a"].to_numpy().view(np.uint64)
+        fps = t[lanes].to_numpy().view(np.uint64)
         side = None if t["_i"].iloc[0] == t["_j"].iloc[0] else (t["_mine"] == t["_i"]).to_numpy()
-        a, b = _forest(fps, distance, side)
-        return pd.DataFrame({"_a": fps[a].view(np.int64), "_b": fps[b].view(np.int64)})
+        a, b = _forest(fps, plan, int(t["_v"].iloc[0]), side)
+        return pd.DataFrame({"_a": fps[a, 0].view(np.int64), "_b": fps[b, 0].view(np.int64)})
 
     return rows.groupBy("_v", "_key", "_i", "_j").applyInPandas(tile_links, "_a long, _b long")
 
@@ -234,21 +259,22 @@ def links(fps: DataFrame, plan: Plan, tile: int = TILE) -> DataFrame:
 
     ``fps``: distinct rows ``_fp0, _fp1 ...``.
     """
-    variants = plan.masks()
-    lanes = [lane for lane, _ in variants]
+    lanes = [f"_fp{k}" for k in range(plan.lanes)]
+    variants = plan.variants()
     signed = lambda x: x - (1 << 64) if x >> 63 else x
-    masks = F.array(*[F.lit(signed(m)).cast("long") for _, m in variants])
-    index = fps.select(F.posexplode(masks).alias("_v", "_mask"), *fps.columns)
+    masks = F.array(*[F.lit(signed(m)).cast("long") for _, _, m in variants])
+    index = fps.select(F.posexplode(masks).alias("_v", "_mask"), *lanes)
     lane = F.col("_fp0")
     for k in range(1, plan.lanes):
-        lane = F.when(F.col("_v") >= lanes.index(k), F.col(f"_fp{k}")).otherwise(lane)
-    index = index.select("_v", lane.bitwiseAND(F.col("_mask")).alias("_key"), F.col("_fp0").alias("_fp"))
-    dealt = index.repartition("_v", "_key").sortWithinPartitions("_v", "_key", "_fp")
-    found = written(dealt.mapInArrow(_links(plan.distance, tile), "_a long, _b long, _v int, _key long"), "simhash-links")
+        lane = F.when(F.col("_v") >= 64 * k, F.col(f"_fp{k}")).otherwise(lane)
+    index = index.select("_v", lane.bitwiseAND(F.col("_mask")).alias("_key"), *lanes)
+    dealt = index.repartition("_v", "_key").sortWithinPartitions("_v", "_key", "_fp0")
+    schema = "_a long, _b long, _v int, _key long, " + ", ".join(f"{c} long" for c in lanes)
+    found = written(dealt.mapInArrow(_links(plan, tile), schema), "simhash-links")
     pairs = found.filter("_b is not null").select("_a", "_b")
-    big = found.filter("_b is null").select("_v", "_key", "_a")
+    big = found.filter("_b is null").select("_v", "_key", *lanes)
     if big.head(1):
-        pairs = pairs.unionByName(_tiled(big, plan.distance, tile))
+        pairs = pairs.unionByName(_tiled(big, plan, tile))
     return pairs.distinct()
 
 
@@ -302,6 +328,91 @@ def near_duplicates(df: DataFrame, plan: Plan = Plan(), id_col: str = "doc_id",
     return rows.join(of, F.col("_fp0") == F.col("_fp"), "left").select(F.col("_id").alias(id_col), hexed.alias("fingerprint"), F.col("_component").alias("component_id"))
 
 
+def shingles(text: str | None, words: int) -> np.ndarray:
+    """The different shingles of a text, as sorted 32-bit hashes."""
+    found: list[int] = []
+    carried: list[bytes] = []
+    digest = xxhash.xxh32_intdigest
+    for part in _spaced((text or "").encode("utf-8", "surrogatepass").lower()):
+        part = carried + part
+        carried = part[max(0, len(part) - words + 1) :]
+        found += [digest(b" ".join(part[k : k + words])) for k in range(len(part) - words + 1)]
+    if not found and carried:
+        found = [digest(b" ".join(carried))]
+    return np.unique(np.array(found, np.uint32))
+
+
+#: Buckets that rows are told apart by before they are moved: a broadcast of so many numbers at most.
+BUCKETS = 1 << 18
+
+
+def _among(df: DataFrame, keys: DataFrame, on: list[str], there: bool) -> DataFrame:
+    """Rows of ``df`` whose key is among ``keys`` (or is not); only rows whose key's bucket occurs are moved."""
+    bucket = F.pmod(F.xxhash64(*on), F.lit(BUCKETS))
+    buckets = keys.select(bucket.alias("_bucket")).distinct()
+    marked = df.withColumn("_bucket", bucket)
+    near = marked.join(F.broadcast(buckets), "_bucket", "left_semi").drop("_bucket")
+    same = F.lit(True)
+    for c in on:
+        same = same & F.col(f"_r.{c}").eqNullSafe(F.col(f"_k.{c}"))
+    if there:
+        return near.alias("_r").join(keys.alias("_k"), same, "left_semi")
+    far = marked.join(F.broadcast(buckets), "_bucket", "left_anti").drop("_bucket")
+    return far.unionByName(near.alias("_r").join(keys.alias("_k"), same, "left_anti"))
+
+
+def similar(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Those of the pairs (_a, _b) whose shingle sets are similar; ``texts``: a text (_fp0, _text) of each."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingles(t.as_py(), words).view(np.int32) for t in b["_text"]]
+            yield pa.RecordBatch.from_arrays([b["_fp0"], pa.array(sets, pa.list_(pa.int32()))], ["_fp0", "_set"])
+
+    sets = written(texts.mapInArrow(scan, "_fp0 long, _set array<int>"), "shingles")
+    of = lambda c, name: sets.select(F.col("_fp0").alias(c), F.col("_set").alias(name))
+    both = pairs.join(of("_a", "_left"), "_a").join(of("_b", "_right"), "_b")
+    common = F.size(F.array_intersect("_left", "_right"))
+    return both.filter(common >= F.lit(similarity) * (F.size("_left") + F.size("_right") - common)).select("_a", "_b")
+
+
+def drop_near_duplicates(df: DataFrame, plan: Plan, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", tile: int = TILE) -> DataFrame:
+    """One row of each group, whole, with all columns: that of the smallest identifier.
+
+    Fingerprints propose links; a link counts if the texts' sets of shingles are as similar as asked (Jaccard).
+    Texts with the same fingerprint are one group.  Rows whose text has no word stay.  Null identifiers go before
+    others; rows that repeat with identifier and text stay or go together.  Whole texts are read; an empty table
+    gives an empty result.
+    """
+    lanes = [f"_fp{k}" for k in range(plan.lanes)]
+    clash = [c for c in ("_id", "_h", "_bucket") if c in df.columns]
+    if clash:
+        raise ValueError(f"columns named {clash}")
+    keyed = df.withColumns({"_id": F.col(id_col), "_h": F.xxhash64(text_col)})
+    rows = fingerprints(keyed, plan, text_col, ["_id", "_h"]).select("_row._id", "_row._h", *lanes)
+    rows = written(rows, "fingerprints")
+    blank = F.lit(True)
+    for lane in lanes:
+        blank = blank & (F.col(lane) == 0)
+    rows = rows.filter(~blank)
+    least = F.min(F.struct(F.col("_id").isNull().alias("n"), F.col("_id").alias("i"), F.col("_h").alias("h"))).alias("_least")
+    nodes = written(rows.groupBy(*lanes).agg(least), "nodes")
+    one = nodes.groupBy("_fp0").agg(F.min("_least").alias("_least"))
+    pairs = written(links(nodes.select(*lanes), plan, tile), "pairs")
+    ends = pairs.select(F.col("_a").alias("_fp0")).unionByName(pairs.select(F.col("_b").alias("_fp0"))).distinct()
+    wanted = written(one.join(ends, "_fp0").select("_fp0", "_least.i", "_least.h").toDF("_fp0", "_id", "_h"), "ends")
+    texts = _among(keyed.select("_id", "_h", F.col(text_col).alias("_text")), wanted, ["_id", "_h"], True).dropDuplicates(["_id", "_h"])
+    same = wanted["_id"].eqNullSafe(texts["_id"]) & (wanted["_h"] == texts["_h"])
+    verified = similar(pairs, wanted.join(texts, same).select("_fp0", "_text"), plan.words, similarity)
+    tree = components(verified)
+    rooted = one.join(tree, F.col("_fp0") == F.col("node"), "left").select("_fp0", F.coalesce("root", "_fp0").alias("_root"), "_least")
+    best = rooted.groupBy("_root").agg(F.min("_least").alias("_best"))
+    best = rooted.join(best, "_root").select(F.col("_fp0").alias("_fp"), "_best")
+    judged = rows.join(best, F.col("_fp0") == F.col("_fp"))
+    gone = written(judged.filter((F.col("_h") != F.col("_best.h")) | ~F.col("_id").eqNullSafe(F.col("_best.i"))).select("_id", "_h").distinct(), "gone")
+    return _among(keyed, gone, ["_id", "_h"], False).select(*df.columns)
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four words, links at four bits, three segments: every link is found."""
     return near_duplicates(documents(spark, sf_dir), Plan(words=4, distance=4, segments=3))
