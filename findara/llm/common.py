@@ -47,6 +47,19 @@ def discard(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+#: Bytes of an Arrow batch: rows can be long, and a Python worker holds a few batches at a time.
+BATCH = 8 << 20
+
+
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """``df``, after telling its session to hand rows to Python in batches of at most ``BATCH`` bytes."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = conf.get(key, None)
+    if now is None or not now.rstrip("b").isdigit() or not 0 < int(now.rstrip("b")) <= BATCH:
+        conf.set(key, f"{BATCH}b")
+    return df
+
+
 def n_bytes(text: Column) -> Column:
     """UTF-8 bytes of a text, null as empty."""
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")

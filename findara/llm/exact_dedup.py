@@ -19,14 +19,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, written
+from .common import documents, in_small_batches, written
 
 #: Bytes of a text that the range splitters hold.
 PREFIX = 48
 
 
-def _runs(carry: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Sorted rows (_id, _sha, _text[, _row]) to decisions; with ``carry`` only the first row of each run goes on."""
+def _runs(carry: bool, field: str | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Sorted rows (_id, _sha, _text or _row) to decisions; with ``carry`` only the first row of each run goes on.
+
+    ``field``: the text is this one of _row, null being empty.
+    """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
@@ -56,7 +59,8 @@ def _runs(carry: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
             if not batch.num_rows:
                 continue
             t = pa.Table.from_batches([batch])
-            sha, text = t["_sha"].combine_chunks(), t["_text"].combine_chunks()
+            sha = batch["_sha"]
+            text = pc.fill_null(pc.struct_field(batch["_row"], field), "") if field else batch["_text"]
             new = np.ones(len(t), bool)
             same = pc.and_(pc.equal(sha[1:], sha[:-1]), pc.equal(text[1:], text[:-1]))
             new[1:] = ~same.to_numpy(zero_copy_only=False)
@@ -95,14 +99,16 @@ def _sorted_runs(df: DataFrame, id_col: str, text_col: str, keep: str, normalise
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     text = normalise(text) if normalise else text
     sha = F.sha2(F.encode(text, "UTF-8"), 256)
-    cols = [F.col(id_col).alias("_id"), sha.alias("_sha"), text.alias("_text")] + [F.struct(*df.columns).alias("_row")] * carry
-    rows = df.select(*cols, F.substring(F.encode(text, "UTF-8"), 1, PREFIX).alias("_start"))
+    field = text_col if carry and not normalise and df.schema[text_col].dataType == T.StringType() else None
+    cols = [F.col(id_col).alias("_id"), sha.alias("_sha")] + [text.alias("_text")] * (field is None) + [F.struct(*df.columns).alias("_row")] * carry
+    rows = in_small_batches(df).select(*cols, F.substring(F.encode(text, "UTF-8"), 1, PREFIX).alias("_start"))
     by_id = F.col("_id").asc_nulls_last() if keep == "min" else F.col("_id").desc_nulls_last()
-    ordered = rows.repartitionByRange("_start", "_sha", by_id).sortWithinPartitions("_start", "_sha", "_text", by_id).drop("_start")
+    whole = F.coalesce(F.col("_row")[field], F.lit("")) if field else F.col("_text")
+    ordered = rows.repartitionByRange("_start", "_sha", by_id).sortWithinPartitions("_start", "_sha", whole, by_id).drop("_start")
     id_type = df.schema[id_col].dataType
     out = [("_id", id_type), ("_keep", id_type), ("_n", T.LongType()), ("_head", T.BooleanType()), ("_sha", T.StringType()), ("_edge", T.BooleanType()), ("_part", T.IntegerType())]
     out += [("_row", ordered.schema["_row"].dataType)] if carry else []
-    runs = written(ordered.mapInArrow(_runs(carry), T.StructType([T.StructField(*x) for x in out])), "runs")
+    runs = written(ordered.mapInArrow(_runs(carry, field), T.StructType([T.StructField(*x) for x in out])), "runs")
     # Two runs a task at most, so this table is bounded by the number of tasks.
     edges = runs.filter("_edge and _head").groupBy("_sha").agg(F.sum("_n").alias("_all"), F.min_by("_keep", "_part").alias("_best"), F.min("_part").alias("_where"))
     edges = edges.withColumnRenamed("_sha", "_edge_sha")

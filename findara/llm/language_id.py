@@ -14,11 +14,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents
+from .common import documents, in_small_batches
 from .packing import slices
 
 #: What a text without letters, or a null one, is predicted as.
@@ -132,7 +133,7 @@ def _vectors(df: DataFrame, text_col: str, lang: Column) -> DataFrame:
                 values = pa.array([c[d].astype("<u4").tobytes() for c, d in zip(counts, there)], pa.binary())
                 yield pa.RecordBatch.from_arrays([b["lang"], dims, values], ["lang", "dims", "counts"])
 
-    return df.select(lang.alias("lang"), F.col(text_col).alias("_text")).mapInArrow(scan, "lang string, dims binary, counts binary")
+    return in_small_batches(df).select(lang.alias("lang"), F.col(text_col).alias("_text")).mapInArrow(scan, "lang string, dims binary, counts binary")
 
 
 def _document_frequencies(df: DataFrame, text_col: str) -> tuple[np.ndarray, int]:
@@ -145,7 +146,7 @@ def _document_frequencies(df: DataFrame, text_col: str) -> tuple[np.ndarray, int
                 n += len(counts)
         yield pa.RecordBatch.from_arrays([pa.array(range(-1, DIMENSIONS)), pa.array([n, *total.tolist()])], ["dim", "n"])
 
-    found = df.select(F.col(text_col).alias("_text")).mapInArrow(scan, "dim long, n long").groupBy("dim").agg(F.sum("n").alias("n")).collect()
+    found = in_small_batches(df).select(F.col(text_col).alias("_text")).mapInArrow(scan, "dim long, n long").groupBy("dim").agg(F.sum("n").alias("n")).collect()
     out = np.zeros(DIMENSIONS, np.int64)
     rows = 0
     for r in found:  # one row a dimension
@@ -204,11 +205,12 @@ def identify(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in slices(whole, "_text", SLICE, ROWS):
+            texts = pa.RecordBatch.from_arrays([pc.struct_field(whole["_row"], text_col), whole["_row"]], ["_text", "_row"])
+            for b in slices(texts, "_text", SLICE, ROWS):
                 names, score, rejected = given.value.predict(b["_text"].to_pylist())
                 yield pa.RecordBatch.from_arrays([b["_row"], pa.array(names, pa.string()), pa.array(score), pa.array(rejected)], ["_row", "lang_pred", "score", "rejected"])
 
-    rows = df.select(F.struct(*df.columns).alias("_row"), F.col(text_col).cast("string").alias("_text"))
+    rows = in_small_batches(df).select(F.struct(*df.columns).alias("_row"))
     schema = T.StructType([rows.schema["_row"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
     return rows.mapInArrow(scan, schema)
 

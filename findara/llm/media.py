@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, written
+from .common import documents, in_small_batches, written
 from .packing import slices
 from .webp import decode_grey, encode_grey
 
@@ -21,7 +21,7 @@ WIDTH, FILL = 576, 255
 #: Rows of an image: longer payloads are several images, one after the other, so decoding them stays in step.
 ROWS = 16
 #: Payload bytes that are encoded, and stored bytes that are decoded, at a time; and rows.
-SLICE, STORED, MANY = 12 << 20, 6 << 20, 1 << 13
+SLICE, STORED, MANY = 6 << 20, 4 << 20, 1 << 13
 
 
 def filled(payload: bytes) -> bytes:
@@ -51,7 +51,7 @@ def store(df: DataFrame, payload: Column, id_col: str = "doc_id") -> DataFrame:
                 media = to_media([filled(p or b"") for p in b["_payload"].to_pylist()])
                 yield pa.RecordBatch.from_arrays([b["_id"], b["n_bytes"], pa.array(media, pa.binary())], ["_id", "n_bytes", "media"])
 
-    rows = df.select(F.col(id_col).alias("_id"), F.coalesce(F.octet_length(payload), F.lit(0)).cast("long").alias("n_bytes"), payload.alias("_payload"))
+    rows = in_small_batches(df).select(F.col(id_col).alias("_id"), F.coalesce(F.octet_length(payload), F.lit(0)).cast("long").alias("n_bytes"), payload.alias("_payload"))
     schema = T.StructType([rows.schema["_id"], T.StructField("n_bytes", T.LongType()), T.StructField("media", T.BinaryType())])
     return rows.mapInArrow(scan, schema).withColumnRenamed("_id", id_col)
 
@@ -87,7 +87,7 @@ def load(stored: DataFrame, id_col: str = "doc_id", pixels: bool = True) -> Data
                 columns = list(zip(*rows))[: len(fields)]
                 yield pa.RecordBatch.from_arrays([b["_id"], b["n_bytes"], *map(pa.array, columns)], ["_id", "n_bytes", *(f for f, _ in fields)])
 
-    rows = stored.withColumnRenamed(id_col, "_id")
+    rows = in_small_batches(stored).withColumnRenamed(id_col, "_id")
     schema = T.StructType([rows.schema["_id"], T.StructField("n_bytes", T.LongType()), *(T.StructField(*f) for f in fields)])
     return rows.mapInArrow(scan, schema).withColumnRenamed("_id", id_col)
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD, documents, sorted_ranks, written
+from .common import WORD, documents, in_small_batches, sorted_ranks, written
 
 #: Rows of a chunk, about.
 CHUNK = 512
@@ -144,7 +144,7 @@ def mix(df: DataFrame, size: F.Column, source_col: str = "source", id_col: str =
     chance and adds no words; a source without words has the target 0 and takes nothing.  Null identifiers are
     values like any other; rows that repeat wholly are drawn one by one.  An empty table gives an empty result.
     """
-    rows = df.select(F.struct(*df.columns).alias("_row"), F.col(source_col).cast("string").alias("_source"), F.col(id_col).alias("_id"), size.cast("long").alias("_size"))
+    rows = in_small_batches(df).select(F.struct(*df.columns).alias("_row"), F.col(source_col).cast("string").alias("_source"), F.col(id_col).alias("_id"), size.cast("long").alias("_size"))
     totals = written(rows.groupBy("_source").agg(F.sum("_size").alias("_total"), F.count("*").alias("_rows")), "sources")
     aims = written(targets(totals, weights, share, cap), "targets")
     small = aims.count() <= 10_000  # a table of this many narrow rows is broadcast, a larger one is joined by sorting

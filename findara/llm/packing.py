@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, sorted_ranks, written
+from .common import documents, in_small_batches, sorted_ranks, written
 
 #: A pattern: [(class, how many), ...] and the number of windows that use it.
 Pattern = tuple[list[tuple[int, int]], int]
@@ -252,7 +252,7 @@ def pieces(df: DataFrame, path: Callable[[], str], window: int, end_id: int, id_
                 values = [start, length, crc, total] + [lists] * ids
                 yield pa.RecordBatch.from_arrays([b["_id"].take(pa.array(row)), *(pa.array(v, t) for v, t in zip(values, kinds))], names)
 
-    rows = df.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
+    rows = in_small_batches(df).select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
     schema = T.StructType([rows.schema["_id"], *(T.StructField(n, T.LongType()) for n in names[1:5])])
     if ids:
         schema = schema.add("ids", T.ArrayType(T.IntegerType()))

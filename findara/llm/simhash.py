@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, written
+from .common import documents, in_small_batches, written
 
 #: Bytes of a text that are taken apart at a time.
 CHUNK = 1 << 20
@@ -136,7 +136,7 @@ def fingerprints(df: DataFrame, plan: Plan, text_col: str = "text", carry: list[
             fps = np.array(rows, np.uint64).reshape(len(rows), plan.lanes).view(np.int64)
             yield pa.RecordBatch.from_arrays([b["_row"], *(pa.array(fps[:, k]) for k in range(plan.lanes))], ["_row", *names])
 
-    rows = df.select(F.struct(*(carry or df.columns)).alias("_row"), F.col(text_col).cast("string").alias("_text"))
+    rows = in_small_batches(df).select(F.struct(*(carry or df.columns)).alias("_row"), F.col(text_col).cast("string").alias("_text"))
     schema = T.StructType([rows.schema["_row"], *(T.StructField(n, T.LongType()) for n in names)])
     return rows.mapInArrow(scan, schema)
 

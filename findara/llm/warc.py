@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import new_path, written
+from .common import in_small_batches, new_path, written
 
 #: Payload bytes of a chunk, and the shortest payload that others revisit.
 CHUNK, REVISIT_FROM = 1 << 16, 100
@@ -126,7 +126,7 @@ def first_of_copies(pages: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``_id, _url, _text, _size, _sha, _first``: the smallest identifier with the same payload."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     url = F.col("url").cast("string") if "url" in pages.columns else F.lit(None).cast("string")
-    rows = pages.select(F.col(id_col).alias("_id"), url.alias("_url"), text.alias("_text"), F.octet_length(text).cast("long").alias("_size"), F.sha2(F.encode(text, "UTF-8"), 256).alias("_sha"))
+    rows = in_small_batches(pages).select(F.col(id_col).alias("_id"), url.alias("_url"), text.alias("_text"), F.octet_length(text).cast("long").alias("_size"), F.sha2(F.encode(text, "UTF-8"), 256).alias("_sha"))
     copies = rows.filter(F.col("_size") >= REVISIT_FROM).groupBy("_sha").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
     copies = copies.filter("_n > 1").select(F.col("_sha").alias("_of"), "_first")  # payloads without copies need no join partner
     return rows.join(copies, (F.col("_sha") == F.col("_of")) & (F.col("_size") >= REVISIT_FROM), "left").drop("_of")
