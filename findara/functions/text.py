@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -80,19 +80,19 @@ def _pairs(words: Column) -> Column:
     return F.zip_with(F.slice(words, 1, n), F.slice(words, 2, n), lambda x, y: F.concat(x, F.lit(" "), y))
 
 
-def _once(c: Column, f) -> Column:
+def once(c: Column, f: Callable[[Column], Column]) -> Column:
     """``f(c)`` with ``c`` worked out once, however often ``f`` names it."""
     return F.get(F.transform(F.array(c), f), F.lit(0))
 
 
 def bigrams(words: Column) -> Column:
     """Neighbouring tokens with a blank between them."""
-    return _once(words, _pairs)
+    return once(words, _pairs)
 
 
 def ngrams(words: Column) -> Column:
     """Tokens and bigrams."""
-    return _once(words, lambda w: F.concat(w, _pairs(w)))
+    return once(words, lambda w: F.concat(w, _pairs(w)))
 
 
 def has_word(text: Column, term: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from findara.functions.scores import METHOD_WITHOUT_TOPIC, MMR_LAMBDA, POOL, TOP_K, band, effective
+from findara.functions.text import once
 from findara.functions.vectors import cosine, norm
 
 #: Bytes up to which a side that is one row a query is broadcast.
@@ -52,25 +53,29 @@ def mmr(pool: DataFrame, k: int = TOP_K, weight: float | Column = MMR_LAMBDA, gr
     """
     order = Window.partitionBy(group).orderBy(F.desc("score"), "id")
     ranked = pool.withColumn("_place", F.row_number().over(order)).filter(F.col("_place") <= max(most, k))
-    item = F.struct("_place", "id", "score", F.col("vector").cast("array<double>").alias("v"), F.lit(None).cast("double").alias("like"))
+    item = F.struct("_place", "id", "score", F.col("vector").cast("array<double>").alias("v"), norm(F.col("vector")).alias("n"), F.lit(None).cast("double").alias("like"))
     gathered = ranked.withColumn("_lambda", weight if isinstance(weight, Column) else F.lit(float(weight))).groupBy(group, "_lambda").agg(F.array_sort(F.collect_list(item)).alias("rest"))
     best_score = F.array_max(F.transform("rest", lambda x: x["score"]))
     gathered = gathered.withColumn("_most", F.when(best_score == 0, F.lit(1.0)).otherwise(best_score))
     worth = lambda x: F.col("_lambda") * (x["score"] / F.col("_most")) - (1 - F.col("_lambda")) * F.coalesce(x["like"], F.lit(0.0))
-    state = "struct<rest:array<struct<_place:int,id:bigint,score:double,v:array<double>,like:double>>,chosen:array<struct<id:bigint,mmr:double,score:double>>>"
+    state = "struct<rest:array<struct<_place:int,id:bigint,score:double,v:array<double>,n:double,like:double>>,chosen:array<struct<id:bigint,mmr:double,score:double>>>"
     state = state.replace("id:bigint", f"id:{pool.schema['id'].dataType.simpleString()}")
 
     def step(s: Column, _: Column) -> Column:
         best = F.array_max(F.transform(s["rest"], lambda x: F.struct(worth(x).alias("mmr"), (-x["_place"]).alias("p"))))
-        chosen = F.element_at(F.filter(s["rest"], lambda x: x["_place"] == -best["p"]), 1)
-        liked = lambda x: F.greatest(F.coalesce(x["like"], F.lit(-2.0)), cosine(x["v"], chosen["v"]))
+        return F.when(F.size(s["rest"]) == 0, s).otherwise(once(best, lambda b: once(taken(s, b), lambda c: after(s, b, c))))
+
+    def taken(s: Column, best: Column) -> Column:
+        return F.element_at(F.filter(s["rest"], lambda x: x["_place"] == -best["p"]), 1)
+
+    def after(s: Column, best: Column, chosen: Column) -> Column:
+        liked = lambda x: F.greatest(F.coalesce(x["like"], F.lit(-2.0)), cosine(x["v"], chosen["v"], x["n"], chosen["n"]))
         rest = F.transform(
-            F.filter(s["rest"], lambda x: x["_place"] != -best["p"]),
-            lambda x: F.struct(x["_place"].alias("_place"), x["id"].alias("id"), x["score"].alias("score"), x["v"].alias("v"), liked(x).alias("like")),
+            F.filter(s["rest"], lambda x: x["_place"] != chosen["_place"]),
+            lambda x: F.struct(*[x[c].alias(c) for c in ("_place", "id", "score", "v", "n")], liked(x).alias("like")),
         )
         new = F.array(F.struct(chosen["id"].alias("id"), best["mmr"].alias("mmr"), chosen["score"].alias("score")))
-        done = F.size(s["rest"]) == 0
-        return F.when(done, s).otherwise(F.struct(rest.alias("rest"), F.concat(s["chosen"], new).alias("chosen"))).cast(state)
+        return F.struct(rest.alias("rest"), F.concat(s["chosen"], new).alias("chosen")).cast(state)
 
     start = F.struct(F.col("rest"), F.array().alias("chosen")).cast(state)
     picked = gathered.select(group, "_lambda", F.aggregate(F.sequence(F.lit(1), F.lit(k)), start, step)["chosen"].alias("chosen"))

@@ -60,14 +60,21 @@ VOCABULARY = f"""bt AS (SELECT item_id, {TOKENS.format(c=FOLD.format(c="text"))}
               UNION ALL SELECT 'method', term FROM bc WHERE items > 1
               UNION ALL SELECT 'domain', term FROM bu WHERE length(term) >= 10)"""
 
-# A whole word: no word character on either side.  The cheap test for the bare string goes first.
-HAS = r"strpos(t.text, v.term) > 0 AND regexp_matches(t.text, '(^|[^\p{L}\p{N}_])' || v.term || '($|[^\p{L}\p{N}_])')"
+# A whole word: no word character on either side.  Terms are one or two tokens, so a text that has one has it among
+# its tokens and bigrams; it is then looked for as it stands.
+HAS = r"regexp_matches(t.text, '(^|[^\p{L}\p{N}_])' || v.term || '($|[^\p{L}\p{N}_])')"
+
+
+def facet_sql(name: str, source: str, key: str) -> str:
+    """CTEs of the facets ``name`` (id, facet, term) of a table."""
+    return f"""{name}_text AS (SELECT {key} AS id, {FOLD.format(c="text")} AS text FROM {source}),
+    {grams_sql(name + "_g", name + "_text", "id")},
+    {name} AS (SELECT t.id, v.facet, v.term FROM (SELECT DISTINCT id, term FROM {name}_g) g JOIN vocab v USING (term) JOIN {name}_text t ON t.id = g.id WHERE {HAS})"""
+
 
 FACETS = f"""{VOCABULARY},
-    dtext AS (SELECT doc_id AS id, {FOLD.format(c="text")} AS text FROM documents),
-    qtext AS (SELECT item_id AS id, {FOLD.format(c="text")} AS text FROM benchmark),
-    df AS (SELECT t.id, v.facet, v.term FROM dtext t JOIN vocab v ON {HAS}),
-    qf AS (SELECT t.id, v.facet, v.term FROM qtext t JOIN vocab v ON {HAS}),
+    {facet_sql("df", "documents", "doc_id")},
+    {facet_sql("qf", "benchmark", "item_id")},
     dn AS (SELECT id, facet, count(*) AS n FROM df GROUP BY ALL),
     qn AS (SELECT id, facet, count(*) AS n FROM qf GROUP BY ALL),
     fshare AS (SELECT q.id AS query, d.id, facet, count(*) AS shared, string_agg(term, ', ' ORDER BY term) AS terms
