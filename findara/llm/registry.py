@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, language_id, media, mixing, packing, sharding, simhash, token_counts, warc
+from . import exact_dedup, language_id, media, mixing, packing, sharding, simhash, token_counts, url_filter, warc
 
-_MODULES = [exact_dedup, sharding, simhash, packing, media, token_counts, mixing, warc, language_id]
+_MODULES = [exact_dedup, sharding, simhash, packing, media, token_counts, url_filter, mixing, warc, language_id]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
