@@ -28,7 +28,7 @@ from .common import documents, in_small_batches, sorted_ranks, written
 Pattern = tuple[list[tuple[int, int]], int]
 
 #: Bytes of text that are tokenised at a time, words whose ids a worker remembers (twice), and words encoded as one.
-SLICE, WORDS, JOINED = 8 << 20, 250_000, 256
+SLICE, WORDS, JOINED = 4 << 20, 150_000, 256
 #: Marks that can follow a word's letters; none begins a contraction.
 MARKS = ".,!?;:|"
 #: The one letter whose lower case ends in a mark.
