@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A token of the lexical index: two or more word characters.
 TOKEN = r"[\p{L}\p{N}_]{2,}"
@@ -63,7 +64,7 @@ def folded(c: Column) -> Column:
     return F.translate(F.lower(F.trim(c)), _MARKED, _PLAIN)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def folded_fully(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """As :func:`folded` for all of Unicode: compatibility decomposition without combining marks."""
     for texts in batches:
