@@ -138,7 +138,7 @@ def _write_files(folder: str, date: str) -> Callable[[Iterator[pa.RecordBatch]],
         store.create_dir(base, recursive=True)
         name = f"part-{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex[:12]}.warc.gz"
         n = 0
-        with store.open_output_stream(f"{base}/{name}") as out:
+        with store.open_output_stream(f"{base}/{name}", compression=None) as out:
             writer = Writer(out)
             for b in batches:
                 for k in range(b.num_rows):
@@ -185,7 +185,7 @@ def _read_files(folder: str, payload: bool) -> Callable[[Iterator[pa.RecordBatch
 
         for b in batches:
             for file in b["file"].to_pylist():
-                with store.open_input_stream(f"{base}/{file}") as source:
+                with store.open_input_stream(f"{base}/{file}", compression=None) as source:
                     for fields, chunks in Reader(source).records():
                         digest, size, k = hashlib.sha256(), 0, 0
                         length = int(fields["content-length"])
