@@ -9,8 +9,8 @@ from findara.functions.scores import METHOD_WITHOUT_TOPIC, MMR_LAMBDA, POOL, TOP
 from findara.functions.text import once
 from findara.functions.vectors import cosine, norm
 
-#: Bytes up to which a side that is one row a query is broadcast.
-SMALL = 32 << 20
+#: Queries that are asked at a time: the side that goes to every block of the corpus has no more rows.
+MOST_QUERIES = 10_000
 
 
 def component_columns(weights: dict[str, float], semantic: bool = True) -> list[Column]:
@@ -35,6 +35,13 @@ def hybrid(pairs: DataFrame, weights: dict[str, float], semantic: bool = True) -
     )
 
 
+def asked(queries: DataFrame) -> DataFrame:
+    """The queries, marked for broadcast after counting them; more than ``MOST_QUERIES`` are asked in several calls."""
+    if queries.limit(MOST_QUERIES + 1).count() > MOST_QUERIES:
+        raise ValueError(f"more than {MOST_QUERIES} queries at a time")
+    return F.broadcast(queries)
+
+
 def nearest(queries: DataFrame, corpus: DataFrame) -> DataFrame:
     """``query, id, similarity``: cosine of every query (query, vector) with every text (id, vector).
 
@@ -42,7 +49,7 @@ def nearest(queries: DataFrame, corpus: DataFrame) -> DataFrame:
     """
     q = queries.select("query", F.col("vector").alias("qv"), norm(F.col("vector")).alias("qn"))
     c = corpus.select("id", "vector", norm(F.col("vector")).alias("n"))
-    return c.join(F.broadcast(q)).select("query", "id", cosine(F.col("qv"), F.col("vector"), F.col("qn"), F.col("n")).alias("similarity"))
+    return c.join(asked(q)).select("query", "id", cosine(F.col("qv"), F.col("vector"), F.col("qn"), F.col("n")).alias("similarity"))
 
 
 def mmr(pool: DataFrame, k: int = TOP_K, weight: float | Column = MMR_LAMBDA, group: str = "query", most: int = POOL) -> DataFrame:
