@@ -26,7 +26,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/findara/{tag}-{uuid.uuid4().hex[:12]}"
+    """A new place in the shared folder, deleted when the application ends."""
+    path = f"{shared_dir(spark)}/findara/{tag}-{uuid.uuid4().hex[:12]}"
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    store = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    store.mkdirs(where)  # what does not exist yet cannot be marked
+    store.deleteOnExit(where)
+    return path
 
 
 def written(df: DataFrame, tag: str, path: str | None = None, by: list[str] | None = None) -> DataFrame:
@@ -40,13 +46,6 @@ def written(df: DataFrame, tag: str, path: str | None = None, by: list[str] | No
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard(spark: SparkSession, path: str) -> None:
-    """Delete a folder that :func:`written` or an operator made and that nothing reads any more."""
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
 #: Bytes of an Arrow batch: rows can be long, and a Python worker holds a few batches at a time.
 BATCH = 8 << 20
 

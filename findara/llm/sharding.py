@@ -140,12 +140,13 @@ class Resharded:
     moved_bytes: int
 
 
-def reshard(df: DataFrame, old_shard: F.Column, size: F.Column, n_shards: int, id_col: str = "doc_id", text_col: str = "text") -> Resharded:
+def reshard(df: DataFrame, old_shard: F.Column, size: F.Column, n_shards: int, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> Resharded:
     """Move rows from their old shards to ``n_shards`` new ones whose row counts differ by one at most.
 
     Null identifiers and texts are values like any other.  Rows that repeat with identifier and text share a
     shard, so counts can then differ by their number.  An empty table gives an empty result.  Where ``df`` has a
-    column named like one of ours, ours gets underscores appended.
+    column named like one of ours, ours gets underscores appended.  ``path`` is where the files of changed shards
+    stay; without it they go when the application ends.
     """
     key = [F.xxhash64(F.lit(1), id_col, text_col).alias("_rs_h"), F.xxhash64(text_col, F.lit(2), id_col).alias("_rs_g")]
     old_name, shard_name, slot_name = (free_name(df, x) for x in ("old_shard", "shard", "slot"))
@@ -170,7 +171,7 @@ def reshard(df: DataFrame, old_shard: F.Column, size: F.Column, n_shards: int, i
 
     touched = {i.shard for i in intervals if i.block // 64 != i.shard} | {i.block // 64 for i in intervals if i.block // 64 != i.shard}
     changed = sorted(touched & set(range(n_shards)))
-    path = new_path(spark, "shards")
+    path = path or new_path(spark, "shards")
     order = ["_rs_h", "_rs_g"]
     rows = sorted_ranks(placed.filter(F.col(shard_name).isin(changed)), [shard_name], order, "shards", path, [shard_name])
     same = sorted({i.shard for i in intervals} - set(changed))
