@@ -6,7 +6,7 @@ import xxhash
 
 from findara.llm.simhash import Plan, components, drop_near_duplicates, fingerprint, near_duplicates, shingles
 
-NEAR = Plan(words=5, distance=28, segments=4, lanes=2)
+NEAR = Plan(words=5, distance=39, segments=4, lanes=3)
 
 
 def brute(rows, plan):
