@@ -19,6 +19,9 @@ from .common import free_name
 HOST = r"^[a-zA-Z][a-zA-Z0-9+.\-]*://(?:[^/?#@]*@)?([^/:?#]*)"
 PATH = r"^[a-zA-Z][a-zA-Z0-9+.\-]*://[^/?#]*(/[^?#]*)"
 
+#: Hosts with address patterns up to which they are broadcast.
+NAMED = 100_000
+
 
 def host_of(url: Column) -> Column:
     """Lower-case host without a final dot; empty where there is none."""
@@ -69,6 +72,8 @@ def judge(captures: DataFrame, entries: DataFrame, url_col: str = "url", time_co
     hosts = _looked_up(rows.filter("_host <> ''"), ["_host"], suffixes, domains, "_by_host")
     # Only hosts that some address pattern names are taken apart by path.
     named = starts.select(F.substring_index("pattern", "/", 1).alias("_host")).distinct()
+    if named.limit(NAMED + 1).count() <= NAMED:  # then no host's captures are moved to one task for this
+        named = F.broadcast(named)
     parts = F.split("_path", "/")
     # The beginnings that end with a slash, and the whole.
     beginnings = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.concat(F.array_join(F.slice(parts, 1, i), "/"), F.when(i < F.size(parts), "/").otherwise("")))
