@@ -11,6 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from findara.functions import evidence as ev
 from findara.functions.scores import GROUP_ROLES, MMR_LAMBDA, POOL, RELIABILITY, RESEARCHER_ROLES, TOP_K, WEIGHTS, YEARS, band, looked_up, recency
 from findara.functions.text import digits, without_suffix
 from findara.operators import facets, graph, opportunities
@@ -21,6 +22,8 @@ from findara.sources import institution
 from findara.sources.artifacts import fingerprint, get_or_build
 
 TABLES = ["entities", "edges", "vocabulary", "facets", "terms", "weights", "strength"]
+# What explanations call the components.
+COMPONENT_NAMES = {"semantic": "semantico", "lexical": "lexico", "topic": "tema", "domain": "dominio", "method": "metodo", "evidence": "evidencia"}
 DOCUMENTS = ("PROJECT", "THESIS", "PUBLICATION", "LINE")
 
 
@@ -112,6 +115,20 @@ class Engine:
         chosen = mmr(items, k, diversity).select("query", "id", "rank")
         return pool.drop("place").join(chosen, ["query", "id"])
 
+    def explained(self, results: DataFrame, dataset: str) -> DataFrame:
+        """Results with ``citations`` of their first fields and an ``explanation``."""
+        cites = F.array().cast("array<string>")
+        for kind, k in institution.KINDS.items():
+            fields = {c: F.coalesce(F.col("fields")[c], F.lit("")) for c in k.semantic}
+            told = F.transform(ev.top_fields(k.layer, k.file, F.col("id"), fields), lambda e: ev.citation(e["provenance"], dataset))
+            cites = F.when(F.col("kind") == kind, told).otherwise(cites)
+        parts = F.create_map(*[x for name, told in COMPONENT_NAMES.items() for x in (F.lit(told), F.col(f"c_{name}"))])
+        return results.withColumn("citations", cites).withColumn("explanation", ev.explanation(
+            ev.opening(F.col("relation"), F.col("name"), F.col("kind"), F.col("id"), F.col("total"), F.col("band")),
+            ev.shared_terms({f: F.col(f"t_{f}") for f in ("topic", "domain", "method")}), ev.factors(parts, F.col("penalty") != 0),
+            ev.nature_sentence(F.lit("inferida"), dataset), ev.cited(F.col("citations")),
+        ))
+
     def _spread(self, results: DataFrame, kind: str, labels: list[str], direction: str, roles: dict[str, float], k: int, vectors: DataFrame | None) -> DataFrame:
         t = self.tables
         out = None

@@ -100,6 +100,14 @@ def test_search_and_what_follows(spark, engine, need):
     assert [r["priority"] for r in found] == sorted((r["priority"] for r in found), key=["Alta", "Media", "Baja"].index)
 
 
+def test_explanations(engine, need):
+    told = {r["id"]: r for r in engine.explained(engine.search(need), "set").collect()}
+    assert told["P1"]["citations"] == [f"set / projects.csv / P1 / {c}" for c in ("title", "problem_statement", "abstract")]
+    text = told["P1"]["explanation"]
+    assert text.startswith("Diagnóstico por imagen con redes neuronales (proyecto P1) se identifica como antecedente relevante (score ")
+    assert "tema: diagnostico por imagen, redes neuronales" in text and text.endswith("Evidencia: set / projects.csv / P1 / title | set / projects.csv / P1 / problem_statement.")
+
+
 def test_vectors_and_diversity(spark, engine, need):
     ids = [r["id"] for r in engine.tables["entities"].select("id").collect()]
     vectors = spark.createDataFrame([(i, [1.0, float(k % 3)]) for k, i in enumerate(sorted(ids))], "id string, vector array<double>")

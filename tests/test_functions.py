@@ -5,6 +5,7 @@ import unicodedata
 import pytest
 from pyspark.sql import functions as F
 
+from findara.functions import assistant
 from findara.functions import evidence as ev
 from findara.functions.scores import WEIGHTS, band, completeness, effective, jaccard, priority, recency
 from findara.functions.text import bigrams, digits, first_of, folded, folded_fully, has_word, joined, mended, ngrams, tokens, value, values, without_suffix
@@ -85,6 +86,19 @@ def test_weights_without_vectors():
     assert got["semantic"] == 0 and got["lexical"] == 0.5 and math.isclose(sum(got.values()), 1) and effective(WEIGHTS, True) == WEIGHTS
 
 
+def test_assistant(spark, one):
+    said = lambda *x: run(one, assistant.answer(F.lit(x[0]).cast("string"), F.lit(x[1]).cast("string"), F.lit(x[2]).cast("string"), F.lit(x[3]), F.lit(x[4]).cast("string")))
+    assert said(None, None, None, 0, None) == assistant.NOTHING
+    assert said("N", "Alta", None, 2, "T") == f'{assistant.FOUND} El antecedente más relevante que encontré es "N" (confianza alta). También identifiqué 2 oportunidad(es) institucional(es), como "T". {assistant.DETAIL}'
+    items = spark.createDataFrame([([(f"n{k}", "THESIS", f"T{k}", "Alta", 0.5, "e") for k in range(6)],), ([],)], "i array<struct<name string, kind string, id string, band string, score double, explanation string>>")
+    lines = [r[0] for r in items.select(assistant.summary(F.col("i"))).collect()]
+    assert lines[0].count("\n") == 3 and lines[0].startswith("- n0 (THESIS, id T0), confianza Alta (score 0.50). e") and lines[1] == assistant.EMPTY
+    cites = spark.createDataFrame([([["a", "b"], ["b"], ["c", "d", "e", "f"]],)], "c array<array<string>>")
+    assert cites.select(assistant.citations(F.col("c"))).first()[0] == list("abcde")
+    turns = spark.createDataFrame([(list(range(6)),), ([1],)], "t array<int>")
+    assert [r[0] for r in turns.select(assistant.recent(F.col("t"))).collect()] == [[2, 3, 4, 5], [1]]
+
+
 def test_evidence_and_sentences(one):
     p = ev.provenance("layer", "file.csv", F.lit("R-1"), "title")
     assert run(one, ev.citation(p, "set")) == "set / file.csv / R-1 / title"
