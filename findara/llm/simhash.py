@@ -263,7 +263,9 @@ def links(fps: DataFrame, plan: Plan, tile: int = TILE) -> DataFrame:
     variants = plan.variants()
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     masks = F.array(*[F.lit(signed(m)).cast("long") for _, _, m in variants])
-    index = fps.select(F.posexplode(masks).alias("_v", "_mask"), *lanes)
+    # Each row becomes as many as there are variants: spread them first, however few files or partitions they fill.
+    spread = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_fp0")
+    index = spread.select(F.posexplode(masks).alias("_v", "_mask"), *lanes)
     lane = F.col("_fp0")
     for k in range(1, plan.lanes):
         lane = F.when(F.col("_v") >= 64 * k, F.col(f"_fp{k}")).otherwise(lane)
@@ -385,11 +387,9 @@ def drop_near_duplicates(df: DataFrame, plan: Plan, similarity: float = 0.8, id_
     gives an empty result.
     """
     lanes = [f"_fp{k}" for k in range(plan.lanes)]
-    clash = [c for c in ("_id", "_h", "_bucket") if c in df.columns]
-    if clash:
-        raise ValueError(f"columns named {clash}")
-    keyed = df.withColumns({"_id": F.col(id_col), "_h": F.xxhash64(text_col)})
-    rows = fingerprints(keyed, plan, text_col, ["_id", "_h"]).select("_row._id", "_row._h", *lanes)
+    keyed = df.select(F.struct(*df.columns).alias("_row"), F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_h"))
+    text = F.col("_row")[text_col].alias("_text")
+    rows = fingerprints(keyed.select("_id", "_h", text), plan, "_text", ["_id", "_h"]).select("_row._id", "_row._h", *lanes)
     rows = written(rows, "fingerprints")
     blank = F.lit(True)
     for lane in lanes:
@@ -401,7 +401,7 @@ def drop_near_duplicates(df: DataFrame, plan: Plan, similarity: float = 0.8, id_
     pairs = written(links(nodes.select(*lanes), plan, tile), "pairs")
     ends = pairs.select(F.col("_a").alias("_fp0")).unionByName(pairs.select(F.col("_b").alias("_fp0"))).distinct()
     wanted = written(one.join(ends, "_fp0").select("_fp0", "_least.i", "_least.h").toDF("_fp0", "_id", "_h"), "ends")
-    texts = _among(keyed.select("_id", "_h", F.col(text_col).alias("_text")), wanted, ["_id", "_h"], True).dropDuplicates(["_id", "_h"])
+    texts = _among(keyed.select("_id", "_h", text), wanted, ["_id", "_h"], True).dropDuplicates(["_id", "_h"])
     same = wanted["_id"].eqNullSafe(texts["_id"]) & (wanted["_h"] == texts["_h"])
     verified = similar(pairs, wanted.join(texts, same).select("_fp0", "_text"), plan.words, similarity)
     tree = components(verified)
@@ -410,7 +410,7 @@ def drop_near_duplicates(df: DataFrame, plan: Plan, similarity: float = 0.8, id_
     best = rooted.join(best, "_root").select(F.col("_fp0").alias("_fp"), "_best")
     judged = rows.join(best, F.col("_fp0") == F.col("_fp"))
     gone = written(judged.filter((F.col("_h") != F.col("_best.h")) | ~F.col("_id").eqNullSafe(F.col("_best.i"))).select("_id", "_h").distinct(), "gone")
-    return _among(keyed, gone, ["_id", "_h"], False).select(*df.columns)
+    return _among(keyed, gone, ["_id", "_h"], False).select("_row.*")
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -97,4 +97,6 @@ def test_near_copies_go_and_others_stay(prose):
 def test_awkward_rows(awkward, empty):
     got = sorted(str(r["doc_id"]) for r in drop_near_duplicates(awkward, NEAR).collect())
     assert got == ["1", "3", "4", "5", "6", "8", "None"]  # texts without words all stay
-    assert drop_near_duplicates(awkward, NEAR).columns == awkward.columns and drop_near_duplicates(empty, NEAR).count() == 0
+    named = awkward.withColumnsRenamed({"lang": "_id", "source": "_h", "rank": "_text"})
+    assert drop_near_duplicates(named, NEAR).columns == named.columns and drop_near_duplicates(named, NEAR).count() == 7
+    assert drop_near_duplicates(empty, NEAR).count() == 0
