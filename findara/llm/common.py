@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import sys
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,7 +52,20 @@ def written(df: DataFrame, tag: str, path: str | None = None, by: list[str] | No
 
 
 #: Bytes of an Arrow batch: rows can be long, and a Python worker holds a few batches at a time.
-BATCH = 8 << 20
+BATCH = 4 << 20
+
+
+def lean(scan: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``scan``, after which the worker process, which later tasks use again, gives free memory back."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from scan(batches)
+        pa.default_memory_pool().release_unused()
+        if sys.platform == "linux":
+            with contextlib.suppress(OSError, AttributeError):  # other C libraries keep it
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return run
 
 
 def in_small_batches(df: DataFrame) -> DataFrame:

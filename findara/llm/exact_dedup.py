@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, in_small_batches, written
+from .common import documents, in_small_batches, lean, written
 
 #: Bytes of a text that the range splitters hold.
 PREFIX = 48
@@ -108,7 +108,7 @@ def _sorted_runs(df: DataFrame, id_col: str, text_col: str, keep: str, normalise
     id_type = df.schema[id_col].dataType
     out = [("_id", id_type), ("_keep", id_type), ("_n", T.LongType()), ("_head", T.BooleanType()), ("_sha", T.StringType()), ("_edge", T.BooleanType()), ("_part", T.IntegerType())]
     out += [("_row", ordered.schema["_row"].dataType)] if carry else []
-    runs = written(ordered.mapInArrow(_runs(carry, field), T.StructType([T.StructField(*x) for x in out])), "runs")
+    runs = written(ordered.mapInArrow(lean(_runs(carry, field)), T.StructType([T.StructField(*x) for x in out])), "runs")
     # Two runs a task at most, so this table is bounded by the number of tasks.
     edges = runs.filter("_edge and _head").groupBy("_sha").agg(F.sum("_n").alias("_all"), F.min_by("_keep", "_part").alias("_best"), F.min("_part").alias("_where"))
     edges = edges.withColumnRenamed("_sha", "_edge_sha")

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, in_small_batches
+from .common import documents, in_small_batches, lean
 from .packing import slices
 
 #: What a text without letters, or a null one, is predicted as.
@@ -133,7 +133,7 @@ def _vectors(df: DataFrame, text_col: str, lang: Column) -> DataFrame:
                 values = pa.array([c[d].astype("<u4").tobytes() for c, d in zip(counts, there)], pa.binary())
                 yield pa.RecordBatch.from_arrays([b["lang"], dims, values], ["lang", "dims", "counts"])
 
-    return in_small_batches(df).select(lang.alias("lang"), F.col(text_col).alias("_text")).mapInArrow(scan, "lang string, dims binary, counts binary")
+    return in_small_batches(df).select(lang.alias("lang"), F.col(text_col).alias("_text")).mapInArrow(lean(scan), "lang string, dims binary, counts binary")
 
 
 def _document_frequencies(df: DataFrame, text_col: str) -> tuple[np.ndarray, int]:
@@ -146,7 +146,7 @@ def _document_frequencies(df: DataFrame, text_col: str) -> tuple[np.ndarray, int
                 n += len(counts)
         yield pa.RecordBatch.from_arrays([pa.array(range(-1, DIMENSIONS)), pa.array([n, *total.tolist()])], ["dim", "n"])
 
-    found = in_small_batches(df).select(F.col(text_col).alias("_text")).mapInArrow(scan, "dim long, n long").groupBy("dim").agg(F.sum("n").alias("n")).collect()
+    found = in_small_batches(df).select(F.col(text_col).alias("_text")).mapInArrow(lean(scan), "dim long, n long").groupBy("dim").agg(F.sum("n").alias("n")).collect()
     out = np.zeros(DIMENSIONS, np.int64)
     rows = 0
     for r in found:  # one row a dimension
@@ -212,7 +212,7 @@ def identify(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
 
     rows = in_small_batches(df).select(F.struct(*df.columns).alias("_row"))
     schema = T.StructType([rows.schema["_row"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
-    return rows.mapInArrow(scan, schema)
+    return rows.mapInArrow(lean(scan), schema)
 
 
 def held_out(id_col: Column) -> Column:

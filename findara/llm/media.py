@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, in_small_batches, written
+from .common import documents, in_small_batches, lean, written
 from .packing import slices
 from .webp import decode_grey, encode_grey
 
@@ -53,7 +53,7 @@ def store(df: DataFrame, payload: Column, id_col: str = "doc_id") -> DataFrame:
 
     rows = in_small_batches(df).select(F.col(id_col).alias("_id"), F.coalesce(F.octet_length(payload), F.lit(0)).cast("long").alias("n_bytes"), payload.alias("_payload"))
     schema = T.StructType([rows.schema["_id"], T.StructField("n_bytes", T.LongType()), T.StructField("media", T.BinaryType())])
-    return rows.mapInArrow(scan, schema).withColumnRenamed("_id", id_col)
+    return rows.mapInArrow(lean(scan), schema).withColumnRenamed("_id", id_col)
 
 
 def feature(samples: np.ndarray) -> str:
@@ -89,7 +89,7 @@ def load(stored: DataFrame, id_col: str = "doc_id", pixels: bool = True) -> Data
 
     rows = in_small_batches(stored).withColumnRenamed(id_col, "_id")
     schema = T.StructType([rows.schema["_id"], T.StructField("n_bytes", T.LongType()), *(T.StructField(*f) for f in fields)])
-    return rows.mapInArrow(scan, schema).withColumnRenamed("_id", id_col)
+    return rows.mapInArrow(lean(scan), schema).withColumnRenamed("_id", id_col)
 
 
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:

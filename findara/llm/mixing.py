@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD, documents, in_small_batches, sorted_ranks, written
+from .common import WORD, documents, in_small_batches, lean, sorted_ranks, written
 
 #: Rows of a chunk, about.
 CHUNK = 512
@@ -162,7 +162,7 @@ def mix(df: DataFrame, size: F.Column, source_col: str = "source", id_col: str =
         sort = ["_source", "_chunk", F.desc("_size"), F.xxhash64(F.lit(seed), "_id"), "_id"]
         flying = flying.repartition("_source", "_chunk").sortWithinPartitions(*sort)
         schema = T.StructType([T.StructField(f.name, f.dataType) for f in flying.schema])
-        table = written(flying.mapInArrow(_fly(seed, most == 1, str(len(parts))), schema), "flight")
+        table = written(flying.mapInArrow(lean(_fly(seed, most == 1, str(len(parts)))), schema), "flight")
         if most == 1:
             parts.append(table)
             break

@@ -22,13 +22,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, in_small_batches, sorted_ranks, written
+from .common import documents, free_name, in_small_batches, lean, sorted_ranks, written
 
 #: A pattern: [(class, how many), ...] and the number of windows that use it.
 Pattern = tuple[list[tuple[int, int]], int]
 
 #: Bytes of text that are tokenised at a time, words whose ids a worker remembers (twice), and words encoded as one.
-SLICE, WORDS, JOINED = 4 << 20, 150_000, 256
+SLICE, WORDS, JOINED = 1 << 20, 100_000, 64
 #: Marks that can follow a word's letters; none begins a contraction.
 MARKS = ".,!?;:|"
 #: The one letter whose lower case ends in a mark.
@@ -129,7 +129,9 @@ def gathered(flat: np.ndarray, sizes: np.ndarray, index: np.ndarray) -> tuple[np
     size = sizes[index] if len(index) else np.zeros(0, np.int64)
     ends = np.concatenate([[0], np.cumsum(size)])
     first = (np.cumsum(sizes) - sizes)[index] if len(index) else size
-    return flat[np.repeat(first - ends[:-1], size) + np.arange(ends[-1])], ends
+    at = np.repeat(first - ends[:-1], size)
+    at += np.arange(ends[-1])
+    return flat[at], ends
 
 
 @functools.lru_cache(maxsize=1)
@@ -155,11 +157,13 @@ def word_ids(path: str) -> Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]:
     def joined(words: list[str], sign: str, cut_at: Callable[[np.ndarray], np.ndarray]) -> list[bytes]:
         """Many words as one text; ``cut_at`` finds where a word's ids begin."""
         out: list[bytes] = []
-        for e in tokenizer.encode_batch_fast([sign.join(words[k : k + JOINED]) for k in range(0, len(words), JOINED)], add_special_tokens=False):
-            ids = np.array(e.ids, "<u4")
-            cuts = [0, *cut_at(ids).tolist(), len(ids)]
-            raw = ids.tobytes()
-            out += [raw[4 * a : 4 * b] for a, b in zip(cuts, cuts[1:])]
+        texts = [sign.join(words[k : k + JOINED]) for k in range(0, len(words), JOINED)]
+        for k in range(0, len(texts), 32):  # the library's results are large
+            for e in tokenizer.encode_batch_fast(texts[k : k + 32], add_special_tokens=False):
+                ids = np.array(e.ids, "<u4")
+                cuts = [0, *cut_at(ids).tolist(), len(ids)]
+                raw = ids.tobytes()
+                out += [raw[4 * a : 4 * b] for a, b in zip(cuts, cuts[1:])]
         return out
 
     def encode_new(words: list[str]) -> list[bytes]:
@@ -256,20 +260,21 @@ def pieces(df: DataFrame, path: Callable[[], str], window: int, end_id: int, id_
     schema = T.StructType([rows.schema["_id"], *(T.StructField(n, T.LongType()) for n in names[1:5])])
     if ids:
         schema = schema.add("ids", T.ArrayType(T.IntegerType()))
-    return rows.mapInArrow(scan, schema).withColumnRenamed("_id", id_col)
+    return rows.mapInArrow(lean(scan), schema).withColumnRenamed("_id", id_col)
 
 
 def pack(rows: DataFrame, window: int, grain: int = 8, order: list[str] | None = None, length_col: str = "length") -> DataFrame:
     """Add ``sequence_id, offset`` to rows that have a length of 1 to ``window``; no sequence exceeds the window.
 
     Rows are ranked within a length class by ``order`` (all columns by default), so the result follows from the
-    rows alone; rows that tie are alike.  An empty table gives an empty result.
+    rows alone; rows that tie are alike.  An empty table gives an empty result.  Where ``rows`` has columns named
+    like ours, ours get underscores appended.
     """
     if window % grain:
         raise ValueError("the window is a multiple of the grain")
     order = order or [c for c, kind in rows.dtypes if not kind.startswith(("array", "map"))]
-    classed = rows.withColumn("_class", F.ceil(F.col(length_col) / grain).cast("int"))
-    ranked = sorted_ranks(classed, ["_class"], order, "pieces")
+    classed = rows.select(F.struct(*rows.columns).alias("_row"), F.ceil(F.col(length_col) / grain).cast("int").alias("_class"), F.col(length_col).alias("_length"))
+    ranked = sorted_ranks(classed, ["_class"], [f"_row.`{c}`" for c in order], "pieces")
     counts = {r["_class"]: r["n"] for r in ranked.groupBy("_class").agg(F.count("*").alias("n")).collect()}  # window / grain rows
     base, used, rules = 0, dict.fromkeys(counts, 0), []
     for pattern, n in plan_windows(counts, window // grain):
@@ -280,10 +285,11 @@ def pack(rows: DataFrame, window: int, grain: int = 8, order: list[str] | None =
     rules = rows.sparkSession.createDataFrame(rules, "_c int, _lo long, _hi long, _base long, _n long, _slot int")
     placed = ranked.join(F.broadcast(rules), (F.col("_class") == F.col("_c")) & (F.col("rank") >= F.col("_lo")) & (F.col("rank") < F.col("_hi")))
     turn = F.col("rank") - F.col("_lo")
-    placed = placed.withColumn("sequence_id", F.col("_base") + F.pmod(turn, F.col("_n"))).withColumn("_turn", F.floor(turn / F.col("_n")))
+    placed = placed.withColumn("_sequence", F.col("_base") + F.pmod(turn, F.col("_n"))).withColumn("_turn", F.floor(turn / F.col("_n")))
     # At most window / grain rows a sequence (classes are at least one grain).
-    before = Window.partitionBy("sequence_id").orderBy("_slot", "_turn").rowsBetween(Window.unboundedPreceding, -1)
-    return placed.select(*rows.columns, "sequence_id", F.coalesce(F.sum(length_col).over(before), F.lit(0)).cast("long").alias("offset"))
+    before = Window.partitionBy("_sequence").orderBy("_slot", "_turn").rowsBetween(Window.unboundedPreceding, -1)
+    offset = F.coalesce(F.sum("_length").over(before), F.lit(0)).cast("long")
+    return placed.select("_row.*", F.col("_sequence").alias(free_name(rows, "sequence_id")), offset.alias(free_name(rows, "offset")))
 
 
 def sequences(packed: DataFrame) -> DataFrame:

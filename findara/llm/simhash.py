@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, in_small_batches, written
+from .common import documents, in_small_batches, lean, written
 
 #: Bytes of a text that are taken apart at a time.
 CHUNK = 1 << 20
@@ -138,7 +138,7 @@ def fingerprints(df: DataFrame, plan: Plan, text_col: str = "text", carry: list[
 
     rows = in_small_batches(df).select(F.struct(*(carry or df.columns)).alias("_row"), F.col(text_col).cast("string").alias("_text"))
     schema = T.StructType([rows.schema["_row"], *(T.StructField(n, T.LongType()) for n in names)])
-    return rows.mapInArrow(scan, schema)
+    return rows.mapInArrow(lean(scan), schema)
 
 
 def _forest(fps: np.ndarray, plan: Plan, variant: int, side: np.ndarray | None = None) -> tuple[list[int], list[int]]:
@@ -272,7 +272,7 @@ def links(fps: DataFrame, plan: Plan, tile: int = TILE) -> DataFrame:
     index = index.select("_v", lane.bitwiseAND(F.col("_mask")).alias("_key"), *lanes)
     dealt = index.repartition("_v", "_key").sortWithinPartitions("_v", "_key", "_fp0")
     schema = "_a long, _b long, _v int, _key long, " + ", ".join(f"{c} long" for c in lanes)
-    found = written(dealt.mapInArrow(_links(plan, tile), schema), "simhash-links")
+    found = written(dealt.mapInArrow(lean(_links(plan, tile)), schema), "simhash-links")
     pairs = found.filter("_b is not null").select("_a", "_b")
     big = found.filter("_b is null").select("_v", "_key", *lanes)
     if big.head(1):
@@ -371,7 +371,7 @@ def similar(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -
             sets = [shingles(t.as_py(), words).view(np.int32) for t in b["_text"]]
             yield pa.RecordBatch.from_arrays([b["_fp0"], pa.array(sets, pa.list_(pa.int32()))], ["_fp0", "_set"])
 
-    sets = written(texts.mapInArrow(scan, "_fp0 long, _set array<int>"), "shingles")
+    sets = written(texts.mapInArrow(lean(scan), "_fp0 long, _set array<int>"), "shingles")
     of = lambda c, name: sets.select(F.col("_fp0").alias(c), F.col("_set").alias(name))
     both = pairs.join(of("_a", "_left"), "_a").join(of("_b", "_right"), "_b")
     common = F.size(F.array_intersect("_left", "_right"))

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, in_small_batches, n_bytes
+from .common import documents, in_small_batches, lean, n_bytes
 from .packing import slices, tokenizer_path
 
 #: Bytes that end a text and that stand for a special token; neither occurs in UTF-8.
@@ -284,7 +284,7 @@ def token_counts(df: DataFrame, path: Callable[[], str], id_col: str = "doc_id",
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = in_small_batches(df).select(F.col(id_col).alias("_id"), n_bytes(text).alias("n_bytes"), F.encode(text, "UTF-8").alias("_text"))
     schema = T.StructType([rows.schema["_id"], T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())])
-    return rows.mapInArrow(scan, schema).withColumnRenamed("_id", id_col)
+    return rows.mapInArrow(lean(scan), schema).withColumnRenamed("_id", id_col)
 
 
 #: The query's tokenizer and limit.

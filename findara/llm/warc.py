@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import in_small_batches, new_path, written
+from .common import in_small_batches, lean, new_path, written
 
 #: Payload bytes of a chunk, and the shortest payload that others revisit.
 CHUNK, REVISIT_FROM = 1 << 16, 100
@@ -168,7 +168,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", text_
     body = F.when(~revisit, F.encode("_text", "UTF-8"))
     stamp = (date or datetime.datetime(2000, 1, 1)).strftime("%Y-%m-%dT%H:%M:%SZ")
     made = rows.select("_id", "_url", "_size", "_sha", "_first", body.alias("_body"))
-    return written(made.mapInArrow(_write_files(folder, stamp), "file string, records long"), "manifest")
+    return written(made.mapInArrow(lean(_write_files(folder, stamp)), "file string, records long"), "manifest")
 
 
 def _read_files(folder: str, payload: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -233,7 +233,7 @@ def read_chunks(manifest: DataFrame, folder: str, payload: bool = True) -> DataF
     comes out, without data.  A payload that does not have its stated digest is an error.
     """
     files = manifest.select("file").repartition(max(1, manifest.count()))  # a file a task
-    return files.mapInArrow(_read_files(folder, payload), CHUNKS)
+    return files.mapInArrow(lean(_read_files(folder, payload)), CHUNKS)
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

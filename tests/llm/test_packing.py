@@ -83,6 +83,19 @@ def test_documents(awkward, empty, prose):
     assert pack_documents(empty).count() == 0
 
 
+def test_clashing_columns(spark):
+    rows = spark.createDataFrame([(k % 7 + 1, k, k, k, k) for k in range(40)], "length int, rank int, offset int, _class int, sequence_id int")
+    got = pack(rows, 16, grain=1)
+    assert got.columns == [*rows.columns, "sequence_id_", "offset_"]
+    seen = {}
+    for r in got.collect():
+        assert r["length"] == r["rank"] % 7 + 1
+        seen.setdefault(r["sequence_id_"], []).append((r["offset_"], r["length"]))
+    for parts in seen.values():
+        assert [o for o, _ in sorted(parts)] == [sum(n for _, n in sorted(parts)[:k]) for k in range(len(parts))]
+        assert sum(n for _, n in parts) <= 16
+
+
 def test_sequences_have_the_ids(prose):
     cut = pieces(prose, tokenizer_path(TOKENIZER), 256, END, ids=True)
     whole = sequences(pack(cut, 256)).collect()
