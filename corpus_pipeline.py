@@ -12,9 +12,9 @@ from findara.llm.mixing import mix, words
 from findara.llm.packing import pack_documents
 from findara.llm.simhash import Plan, drop_near_duplicates
 
-#: Shingles of five words.  A similarity of 0.8 comes to 19 of 128 bits, and two deviations more to 28; two texts meet
-#: if one of eight 16-bit segments differs by at most one bit.  Links are then checked on the shingles themselves.
-NEAR = Plan(words=5, distance=28, segments=4, lanes=2)
+#: Shingles of five words.  A similarity of 0.8 comes to 29 of 192 bits, and two deviations more to 39; two texts meet
+#: if one of twelve 16-bit segments differs by at most one bit.  Links are then checked on the shingles themselves.
+NEAR = Plan(words=5, distance=39, segments=4, lanes=3)
 
 
 def known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
