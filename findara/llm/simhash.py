@@ -8,6 +8,9 @@ equality join on variants finds the pair.  Within a variant's bucket the whole f
 Equal fingerprints are one node, so copies cost nothing.  A bucket gives at most one link for each of its rows
 (a spanning forest, from which connected components come out the same), never all pairs; a bucket too large for
 one task is dealt out in tiles.  Components come from alternating large-star and small-star steps.
+
+Where links only propose and are verified afterwards, a forest is not enough: a link that fails would take others
+with it.  There every pair within the distance is proposed, except between nodes that verified links join already.
 """
 
 from __future__ import annotations
@@ -29,6 +32,8 @@ from .common import documents, in_small_batches, lean, written
 CHUNK = 1 << 20
 #: Rows of a bucket that one task compares; more are dealt out in tiles of this many.
 TILE = 8192
+#: Rows up to which a bucket gives all its pairs, links a row beyond which a bucket is dense, rows of a block of such.
+SMALL, DENSE, BLOCK = 48, 24, 1024
 #: Odd multipliers from the golden ratio, for further hash words of a shingle.
 _GOLDEN = 0x9E3779B97F4A7C15
 
@@ -170,62 +175,86 @@ def _forest(fps: np.ndarray, plan: Plan, variant: int, side: np.ndarray | None =
     return left, right
 
 
-def _links(plan: Plan, tile: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows (_v, _key, lanes), sorted by variant and key, to links (_a, _b) and rows of overfull buckets (_v, _key, lanes)."""
-    small = 48
+def _every(fps: np.ndarray, plan: Plan, variant: int, side: np.ndarray | None = None, root: np.ndarray | None = None, most: int | None = None) -> tuple[list[int], list[int]] | None:
+    """All links, or None once there are more than ``most``; ``side`` as in :func:`_forest`, rows of one ``root`` need none."""
+    left, right = [], []
+    for at in range(len(fps) - 1):
+        near = plan.linked(fps[at + 1 :], fps[at], variant)
+        if side is not None:
+            near &= side[at + 1 :] != side[at]
+        if root is not None:
+            near &= root[at + 1 :] != root[at]
+        found = (np.flatnonzero(near) + at + 1).tolist()
+        left += [at] * len(found)
+        right += found
+        if most is not None and len(left) > most:
+            return None
+    return left, right
+
+
+def _links(plan: Plan, tile: int, every: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (_v, _key, _node, lanes), sorted by variant and key, to links (_a, _b) and rows of overfull buckets.
+
+    ``every``: buckets give all their links; those with too many for that are passed on like overfull ones.
+    """
     lanes = [f"_fp{k}" for k in range(plan.lanes)]
+    names = ["_a", "_b", "_v", "_key", "_node", *lanes]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
+        rest: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None = None
         overfull = None  # the bucket that is being passed on
 
-        def passed(v: np.ndarray, key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+        def passed(v: np.ndarray, key: np.ndarray, node: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
             none = pa.nulls(len(v), pa.int64())
-            return pa.RecordBatch.from_arrays([none, none, pa.array(v), pa.array(key), *(pa.array(c) for c in fp.view(np.int64).T.copy())], ["_a", "_b", "_v", "_key", *lanes])
+            return pa.RecordBatch.from_arrays([none, none, pa.array(v), pa.array(key), pa.array(node), *(pa.array(c) for c in fp.view(np.int64).T.copy())], names)
 
-        def link(v: np.ndarray, key: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
+        def link(v: np.ndarray, key: np.ndarray, node: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
             """Whole buckets."""
             start = np.flatnonzero(np.concatenate([[True], (v[1:] != v[:-1]) | (key[1:] != key[:-1])]))
             size = np.diff(np.append(start, len(v)))
             lefts, rights = [], []
             of = np.repeat(size, size)
             at = np.arange(len(v)) - np.repeat(start, size)
-            rows = np.flatnonzero((of > 1) & (of <= small))
-            for step in range(1, small):
+            rows = np.flatnonzero((of > 1) & (of <= SMALL))
+            for step in range(1, SMALL):
                 rows = rows[at[rows] + step < of[rows]]
                 if not len(rows):
                     break
                 near = rows[plan.linked(fp[rows], fp[rows + step], v[rows])]
-                lefts.append(fp[near, 0])
-                rights.append(fp[near + step, 0])
-            for s, n in zip(start[size > small], size[size > small]):
-                a, b = _forest(fp[s : s + n], plan, int(v[s]))
-                lefts.append(fp[s + np.array(a, int), 0])
-                rights.append(fp[s + np.array(b, int), 0])
-            a, b = (np.concatenate(x) if x else np.zeros(0, np.uint64) for x in (lefts, rights))
+                lefts.append(node[near])
+                rights.append(node[near + step])
+            for s, n in zip(start[size > SMALL], size[size > SMALL]):
+                own = fp[s : s + n]
+                found = _every(own, plan, int(v[s]), most=DENSE * int(n)) if every else _forest(own, plan, int(v[s]))
+                if found is None:
+                    yield passed(v[s : s + n], key[s : s + n], node[s : s + n], own)
+                    continue
+                lefts.append(node[s + np.array(found[0], int)])
+                rights.append(node[s + np.array(found[1], int)])
+            a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (lefts, rights))
             if len(a):
                 none = pa.nulls(len(a), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.nulls(len(a), pa.int32()), none, *[none] * plan.lanes], ["_a", "_b", "_v", "_key", *lanes])
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.nulls(len(a), pa.int32()), none, none, *[none] * plan.lanes], names)
 
         for b in batches:
             if not b.num_rows:
                 continue
-            v, key = b["_v"].to_numpy(), b["_key"].to_numpy()
+            v, key, node = b["_v"].to_numpy(), b["_key"].to_numpy(), b["_node"].to_numpy()
             fp = np.stack([b[c].to_numpy() for c in lanes], axis=1).view(np.uint64)
             if overfull is not None:
                 more = (v == overfull[0]) & (key == overfull[1])
                 if more.any():
-                    yield passed(v[more], key[more], fp[more])
-                    v, key, fp = v[~more], key[~more], fp[~more]
+                    yield passed(v[more], key[more], node[more], fp[more])
+                    v, key, node, fp = v[~more], key[~more], node[~more], fp[~more]
                 if not len(v):
                     continue
                 overfull = None
             if rest is not None:
-                v, key, fp = (np.concatenate(x) for x in zip(rest, (v, key, fp)))
+                v, key, node, fp = (np.concatenate(x) for x in zip(rest, (v, key, node, fp)))
             last = (v == v[-1]) & (key == key[-1])  # this bucket may go on
-            rest = (v[last], key[last], fp[last])
+            rest = (v[last], key[last], node[last], fp[last])
             if not last.all():
-                yield from link(v[~last], key[~last], fp[~last])
+                yield from link(v[~last], key[~last], node[~last], fp[~last])
             if len(rest[0]) > tile:
                 yield passed(*rest)
                 overfull, rest = (rest[0][0], rest[1][0]), None
@@ -235,51 +264,82 @@ def _links(plan: Plan, tile: int) -> Callable[[Iterator[pa.RecordBatch]], Iterat
     return scan
 
 
-def _tiled(big: DataFrame, plan: Plan, tile: int) -> DataFrame:
-    """Links within overfull buckets: rows are dealt to blocks by hash, and every pair of blocks is one group."""
+def _tiled(big: DataFrame, plan: Plan, tile: int, every: bool = False) -> DataFrame:
+    """Links within overfull buckets: rows are dealt to blocks by hash, and every pair of blocks is one group.
+
+    ``every``: all links but those between rows of one ``_root``, not a spanning forest.
+    """
     lanes = [f"_fp{k}" for k in range(plan.lanes)]
     sizes = big.groupBy("_v", "_key").agg(F.count("*").alias("_rows"))
     blocks = F.ceil(F.col("_rows") / tile).cast("int")
     rows = big.join(sizes, ["_v", "_key"]).withColumn("_blocks", blocks)
-    rows = rows.withColumn("_mine", F.pmod(F.xxhash64("_fp0"), F.col("_blocks")).cast("int"))
+    rows = rows.withColumn("_mine", F.pmod(F.xxhash64("_node"), F.col("_blocks")).cast("int"))
     rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    rows = rows.select("_v", "_key", F.least("_mine", "_other").alias("_i"), F.greatest("_mine", "_other").alias("_j"), "_mine", *lanes)
+    more = ["_root"] if every else []
+    rows = rows.select("_v", "_key", F.least("_mine", "_other").alias("_i"), F.greatest("_mine", "_other").alias("_j"), "_mine", "_node", *more, *lanes)
 
     def tile_links(t: pd.DataFrame) -> pd.DataFrame:
         fps = t[lanes].to_numpy().view(np.uint64)
         side = None if t["_i"].iloc[0] == t["_j"].iloc[0] else (t["_mine"] == t["_i"]).to_numpy()
-        a, b = _forest(fps, plan, int(t["_v"].iloc[0]), side)
-        return pd.DataFrame({"_a": fps[a, 0].view(np.int64), "_b": fps[b, 0].view(np.int64)})
+        if every:
+            a, b = _every(fps, plan, int(t["_v"].iloc[0]), side, t["_root"].to_numpy())
+        else:
+            a, b = _forest(fps, plan, int(t["_v"].iloc[0]), side)
+        node = t["_node"].to_numpy()
+        return pd.DataFrame({"_a": node[np.array(a, int)], "_b": node[np.array(b, int)]})
 
     return rows.groupBy("_v", "_key", "_i", "_j").applyInPandas(tile_links, "_a long, _b long")
 
 
-def links(fps: DataFrame, plan: Plan, tile: int = TILE) -> DataFrame:
-    """``_a, _b`` (fingerprints of lane 0) whose components are those of all pairs the plan links.
-
-    ``fps``: distinct rows ``_fp0, _fp1 ...``.
-    """
+def _buckets(fps: DataFrame, plan: Plan, tile: int, every: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Links ``_a, _b`` between nodes, and the rows of buckets that are passed on; ``fps``: ``_node`` and lanes."""
     lanes = [f"_fp{k}" for k in range(plan.lanes)]
     variants = plan.variants()
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     masks = F.array(*[F.lit(signed(m)).cast("long") for _, _, m in variants])
     # Each row becomes as many as there are variants: spread them first, however few files or partitions they fill.
-    spread = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_fp0")
-    index = spread.select(F.posexplode(masks).alias("_v", "_mask"), *lanes)
+    spread = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_node")
+    index = spread.select(F.posexplode(masks).alias("_v", "_mask"), "_node", *lanes)
     lane = F.col("_fp0")
     for k in range(1, plan.lanes):
         lane = F.when(F.col("_v") >= 64 * k, F.col(f"_fp{k}")).otherwise(lane)
-    index = index.select("_v", lane.bitwiseAND(F.col("_mask")).alias("_key"), *lanes)
-    dealt = index.repartition("_v", "_key").sortWithinPartitions("_v", "_key", "_fp0")
-    schema = "_a long, _b long, _v int, _key long, " + ", ".join(f"{c} long" for c in lanes)
-    found = written(dealt.mapInArrow(lean(_links(plan, tile)), schema), "simhash-links")
-    pairs = found.filter("_b is not null").select("_a", "_b")
-    big = found.filter("_b is null").select("_v", "_key", *lanes)
+    index = index.select("_v", lane.bitwiseAND(F.col("_mask")).alias("_key"), "_node", *lanes)
+    dealt = index.repartition("_v", "_key").sortWithinPartitions("_v", "_key", "_node")
+    schema = "_a long, _b long, _v int, _key long, _node long, " + ", ".join(f"{c} long" for c in lanes)
+    found = written(dealt.mapInArrow(lean(_links(plan, tile, every)), schema), "simhash-links")
+    return found.filter("_b is not null").select("_a", "_b"), found.filter("_b is null").select("_v", "_key", "_node", *lanes)
+
+
+def links(fps: DataFrame, plan: Plan, tile: int = TILE) -> DataFrame:
+    """``_a, _b`` (fingerprints of lane 0) whose components are those of all pairs the plan links.
+
+    ``fps``: distinct rows ``_fp0, _fp1 ...``.
+    """
+    pairs, big = _buckets(fps.withColumn("_node", F.col("_fp0")), plan, tile)
     if big.head(1):
         pairs = pairs.unionByName(_tiled(big, plan, tile))
     return pairs.distinct()
 
 
+def verified_components(nodes: DataFrame, plan: Plan, verify: Callable[[DataFrame], DataFrame], tile: int = TILE) -> DataFrame:
+    """:func:`components` of all pairs that the plan links and ``verify`` keeps; ``nodes``: ``_node``, lanes.
+
+    Buckets with so many links that all their pairs would be too many first propose a spanning forest, which joins
+    most of a group of copies, and then all links between nodes that verified links have not joined.
+    """
+    pairs, big = _buckets(nodes, plan, tile, every=True)
+    dense = bool(big.head(1))
+    if dense:
+        pairs = pairs.unionByName(_tiled(big, plan, tile))
+    kept = verify(written(pairs.distinct(), "pairs"))
+    if not dense:
+        return components(kept)
+    kept = written(kept, "verified")
+    big = big.join(components(kept), F.col("_node") == F.col("node"), "left").withColumn("_root", F.coalesce("root", "_node")).drop("node", "root")
+    rest = written(_tiled(big, plan, min(tile, BLOCK), every=True).distinct(), "pairs")
+    return components(kept.unionByName(verify(rest)))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``node, root`` for every node of the edges (_a, _b long): root is the smallest node of its component.
 
@@ -364,15 +424,15 @@ def _among(df: DataFrame, keys: DataFrame, on: list[str], there: bool) -> DataFr
 
 
 def similar(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """Those of the pairs (_a, _b) whose shingle sets are similar; ``texts``: a text (_fp0, _text) of each."""
+    """Those of the pairs (_a, _b) whose shingle sets are similar; ``texts``: a text (_node, _text) of each."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [shingles(t.as_py(), words).view(np.int32) for t in b["_text"]]
-            yield pa.RecordBatch.from_arrays([b["_fp0"], pa.array(sets, pa.list_(pa.int32()))], ["_fp0", "_set"])
+            yield pa.RecordBatch.from_arrays([b["_node"], pa.array(sets, pa.list_(pa.int32()))], ["_node", "_set"])
 
-    sets = written(texts.mapInArrow(lean(scan), "_fp0 long, _set array<int>"), "shingles")
-    of = lambda c, name: sets.select(F.col("_fp0").alias(c), F.col("_set").alias(name))
+    sets = written(texts.mapInArrow(lean(scan), "_node long, _set array<int>"), "shingles")
+    of = lambda c, name: sets.select(F.col("_node").alias(c), F.col("_set").alias(name))
     both = pairs.join(of("_a", "_left"), "_a").join(of("_b", "_right"), "_b")
     common = F.size(F.array_intersect("_left", "_right"))
     return both.filter(common >= F.lit(similarity) * (F.size("_left") + F.size("_right") - common)).select("_a", "_b")
@@ -396,19 +456,21 @@ def drop_near_duplicates(df: DataFrame, plan: Plan, similarity: float = 0.8, id_
         blank = blank & (F.col(lane) == 0)
     rows = rows.filter(~blank)
     least = F.min(F.struct(F.col("_id").isNull().alias("n"), F.col("_id").alias("i"), F.col("_h").alias("h"))).alias("_least")
-    nodes = written(rows.groupBy(*lanes).agg(least), "nodes")
-    one = nodes.groupBy("_fp0").agg(F.min("_least").alias("_least"))
-    pairs = written(links(nodes.select(*lanes), plan, tile), "pairs")
-    ends = pairs.select(F.col("_a").alias("_fp0")).unionByName(pairs.select(F.col("_b").alias("_fp0"))).distinct()
-    wanted = written(one.join(ends, "_fp0").select("_fp0", "_least.i", "_least.h").toDF("_fp0", "_id", "_h"), "ends")
-    texts = _among(keyed.select("_id", "_h", text), wanted, ["_id", "_h"], True).dropDuplicates(["_id", "_h"])
-    same = wanted["_id"].eqNullSafe(texts["_id"]) & (wanted["_h"] == texts["_h"])
-    verified = similar(pairs, wanted.join(texts, same).select("_fp0", "_text"), plan.words, similarity)
-    tree = components(verified)
-    rooted = one.join(tree, F.col("_fp0") == F.col("node"), "left").select("_fp0", F.coalesce("root", "_fp0").alias("_root"), "_least")
+    nodes = written(rows.groupBy(F.col("_fp0").alias("_node"), *lanes).agg(least), "nodes")
+    one = nodes.groupBy("_node").agg(F.min("_least").alias("_least"))
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        ends = pairs.select(F.col("_a").alias("_node")).unionByName(pairs.select(F.col("_b").alias("_node"))).distinct()
+        wanted = written(one.join(ends, "_node").select("_node", "_least.i", "_least.h").toDF("_node", "_id", "_h"), "ends")
+        texts = _among(keyed.select("_id", "_h", text), wanted, ["_id", "_h"], True).dropDuplicates(["_id", "_h"])
+        same = wanted["_id"].eqNullSafe(texts["_id"]) & (wanted["_h"] == texts["_h"])
+        return similar(pairs, wanted.join(texts, same).select("_node", "_text"), plan.words, similarity)
+
+    tree = verified_components(nodes.select("_node", *lanes), plan, verify, tile)
+    rooted = one.join(tree, F.col("_node") == F.col("node"), "left").select("_node", F.coalesce("root", "_node").alias("_root"), "_least")
     best = rooted.groupBy("_root").agg(F.min("_least").alias("_best"))
-    best = rooted.join(best, "_root").select(F.col("_fp0").alias("_fp"), "_best")
-    judged = rows.join(best, F.col("_fp0") == F.col("_fp"))
+    best = rooted.join(best, "_root").select(F.col("_node").alias("_of"), "_best")
+    judged = rows.join(best, F.col("_fp0") == F.col("_of"))
     gone = written(judged.filter((F.col("_h") != F.col("_best.h")) | ~F.col("_id").eqNullSafe(F.col("_best.i"))).select("_id", "_h").distinct(), "gone")
     return _among(keyed, gone, ["_id", "_h"], False).select("_row.*")
 

@@ -100,3 +100,33 @@ def test_awkward_rows(awkward, empty):
     named = awkward.withColumnsRenamed({"lang": "_id", "source": "_h", "rank": "_text"})
     assert drop_near_duplicates(named, NEAR).columns == named.columns and drop_near_duplicates(named, NEAR).count() == 7
     assert drop_near_duplicates(empty, NEAR).count() == 0
+
+
+def similar_pairs_meet(rows, kept):
+    """Whether every group of pairs at 0.8 or more has one kept row, and others all theirs."""
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if jaccard(rows[i], rows[j]) >= 0.8:
+                root[find(i)] = find(j)
+    return kept == {min(j for j in range(len(rows)) if find(j) == find(i)) for i in range(len(rows))}
+
+
+@pytest.mark.parametrize("tile", [8192, 20])
+def test_near_copies_within_a_template_group_go(spark, tile):
+    """Pages of one template, each unlike the others, and each with a copy that differs in a word."""
+    rng = random.Random(11)
+    template, rows = [f"t{k}" for k in range(300)], []
+    for page in range(60):
+        own = [f"p{page}x{k}" for k in range(50)]
+        rows += [" ".join(template + own), " ".join(template + own[:-1] + [f"c{page}"])]
+    rng.shuffle(rows)
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    kept = {r["doc_id"] for r in drop_near_duplicates(docs, NEAR, tile=tile).collect()}
+    assert len(kept) == 60 and similar_pairs_meet(rows, kept)
