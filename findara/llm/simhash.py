@@ -15,7 +15,7 @@ with it.  There every pair within the distance is proposed, except between nodes
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -94,31 +94,48 @@ def _spaced(data: bytes) -> Iterator[list[bytes]]:
         at = end
 
 
-def fingerprint(text: str | None, plan: Plan) -> list[int]:
-    """One unsigned 64-bit SimHash a lane, zero for a text without words."""
-    k = plan.words
-    ones = np.zeros((plan.lanes, 64), np.int64)
+def _hashed(text: str | None, words: int) -> Iterator[np.ndarray]:
+    """The 64-bit hashes of a text's shingles, repeats included, a chunk at a time."""
     n = 0
     carried: list[bytes] = []
     digest = xxhash.xxh64_intdigest
-    for words in _spaced((text or "").encode("utf-8", "surrogatepass").lower()):
-        words = carried + words
-        carried = words[max(0, len(words) - k + 1) :]
-        if len(words) < k:
+    for part in _spaced((text or "").encode("utf-8", "surrogatepass").lower()):
+        part = carried + part
+        carried = part[max(0, len(part) - words + 1) :]
+        if len(part) < words:
             continue
-        joined = b" ".join(words)
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-        starts = np.concatenate([[0], ends[:-1]])[: len(words) - k + 1]
-        hashes = np.array([digest(joined[a:b], 42) for a, b in zip(starts.tolist(), (ends[k - 1 :] - 1).tolist())], np.uint64)
+        joined = b" ".join(part)
+        ends = np.cumsum(np.fromiter(map(len, part), np.int64, len(part)) + 1)
+        starts = np.concatenate([[0], ends[:-1]])[: len(part) - words + 1]
+        hashes = np.array([digest(joined[a:b], 42) for a, b in zip(starts.tolist(), (ends[words - 1 :] - 1).tolist())], np.uint64)
         n += len(hashes)
-        _count(ones, hashes)
+        yield hashes
     if not n and carried:
-        n = 1
-        _count(ones, np.array([digest(b" ".join(carried), 42)], np.uint64))
+        yield np.array([digest(b" ".join(carried), 42)], np.uint64)
+
+
+def _simhash(hashes: Iterable[np.ndarray], plan: Plan) -> list[int]:
+    ones = np.zeros((plan.lanes, 64), np.int64)
+    n = 0
+    for h in hashes:
+        n += len(h)
+        _count(ones, h)
     bits = (2 * ones > n).astype(np.uint8)
     return [int(x) for x in np.packbits(bits, axis=1, bitorder="little").view(np.uint64)[:, 0]]
 
 
+def fingerprint(text: str | None, plan: Plan) -> list[int]:
+    """One unsigned 64-bit SimHash a lane, zero for a text without words."""
+    return _simhash(_hashed(text, plan.words), plan)
+
+
+def set_fingerprint(text: str | None, plan: Plan) -> tuple[int, int, list[int]]:
+    """A digest of the set of different shingles, how many there are, and the fingerprint."""
+    parts = list(_hashed(text, plan.words))
+    found = np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+    return xxhash.xxh64_intdigest(found.astype("<u8").tobytes(), 7), len(found), _simhash(parts, plan)
+
+
 def _count(ones: np.ndarray, hashes: np.ndarray) -> None:
     for lane in range(len(ones)):
         h = hashes
@@ -131,15 +148,24 @@ def _count(ones: np.ndarray, hashes: np.ndarray) -> None:
             ones[lane] += bits[a : a + 255].sum(axis=0, dtype=np.uint8)
 
 
-def fingerprints(df: DataFrame, plan: Plan, text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """``carry`` columns and ``fp0, fp1 ...`` (long, the unsigned value's bits), a lane each."""
-    names = [f"_fp{k}" for k in range(plan.lanes)]
+def fingerprints(df: DataFrame, plan: Plan, text_col: str = "text", carry: list[str] | None = None, sets: bool = False) -> DataFrame:
+    """``carry`` columns and ``fp0, fp1 ...`` (long, the unsigned value's bits), a lane each.
+
+    ``sets``: also ``_node, _n`` of :func:`set_fingerprint`.
+    """
+    names = [*(["_node", "_n"] if sets else []), *(f"_fp{k}" for k in range(plan.lanes))]
+
+    def of(text: str | None) -> list[int]:
+        if not sets:
+            return fingerprint(text, plan)
+        node, n, fps = set_fingerprint(text, plan)
+        return [node, n, *fps]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [fingerprint(t.as_py(), plan) for t in b["_text"]]
-            fps = np.array(rows, np.uint64).reshape(len(rows), plan.lanes).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b["_row"], *(pa.array(fps[:, k]) for k in range(plan.lanes))], ["_row", *names])
+            rows = [of(t.as_py()) for t in b["_text"]]
+            found = np.array(rows, np.uint64).reshape(len(rows), len(names)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b["_row"], *(pa.array(found[:, k]) for k in range(len(names)))], ["_row", *names])
 
     rows = in_small_batches(df).select(F.struct(*(carry or df.columns)).alias("_row"), F.col(text_col).cast("string").alias("_text"))
     schema = T.StructType([rows.schema["_row"], *(T.StructField(n, T.LongType()) for n in names)])
@@ -442,35 +468,31 @@ def drop_near_duplicates(df: DataFrame, plan: Plan, similarity: float = 0.8, id_
     """One row of each group, whole, with all columns: that of the smallest identifier.
 
     Fingerprints propose links; a link counts if the texts' sets of shingles are as similar as asked (Jaccard).
-    Texts with the same fingerprint are one group.  Rows whose text has no word stay.  Null identifiers go before
+    Texts with the same set of shingles are one group.  Rows whose text has no word stay.  Null identifiers go before
     others; rows that repeat with identifier and text stay or go together.  Whole texts are read; an empty table
     gives an empty result.
     """
     lanes = [f"_fp{k}" for k in range(plan.lanes)]
     keyed = df.select(F.struct(*df.columns).alias("_row"), F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_h"))
     text = F.col("_row")[text_col].alias("_text")
-    rows = fingerprints(keyed.select("_id", "_h", text), plan, "_text", ["_id", "_h"]).select("_row._id", "_row._h", *lanes)
-    rows = written(rows, "fingerprints")
-    blank = F.lit(True)
-    for lane in lanes:
-        blank = blank & (F.col(lane) == 0)
-    rows = rows.filter(~blank)
+    rows = fingerprints(keyed.select("_id", "_h", text), plan, "_text", ["_id", "_h"], sets=True).select("_row._id", "_row._h", "_node", "_n", *lanes)
+    rows = written(rows, "fingerprints").filter("_n > 0")
     least = F.min(F.struct(F.col("_id").isNull().alias("n"), F.col("_id").alias("i"), F.col("_h").alias("h"))).alias("_least")
-    nodes = written(rows.groupBy(F.col("_fp0").alias("_node"), *lanes).agg(least), "nodes")
-    one = nodes.groupBy("_node").agg(F.min("_least").alias("_least"))
+    # Lanes count repeated shingles, so one set can have several fingerprints: its first text's stand for it.
+    nodes = written(rows.groupBy("_node").agg(least, *[F.min_by(c, F.struct("_id", "_h", *lanes)).alias(c) for c in lanes]), "nodes")
 
     def verify(pairs: DataFrame) -> DataFrame:
         ends = pairs.select(F.col("_a").alias("_node")).unionByName(pairs.select(F.col("_b").alias("_node"))).distinct()
-        wanted = written(one.join(ends, "_node").select("_node", "_least.i", "_least.h").toDF("_node", "_id", "_h"), "ends")
+        wanted = written(nodes.join(ends, "_node").select("_node", "_least.i", "_least.h").toDF("_node", "_id", "_h"), "ends")
         texts = _among(keyed.select("_id", "_h", text), wanted, ["_id", "_h"], True).dropDuplicates(["_id", "_h"])
         same = wanted["_id"].eqNullSafe(texts["_id"]) & (wanted["_h"] == texts["_h"])
         return similar(pairs, wanted.join(texts, same).select("_node", "_text"), plan.words, similarity)
 
     tree = verified_components(nodes.select("_node", *lanes), plan, verify, tile)
-    rooted = one.join(tree, F.col("_node") == F.col("node"), "left").select("_node", F.coalesce("root", "_node").alias("_root"), "_least")
+    rooted = nodes.join(tree, F.col("_node") == F.col("node"), "left").select("_node", F.coalesce("root", "_node").alias("_root"), "_least")
     best = rooted.groupBy("_root").agg(F.min("_least").alias("_best"))
     best = rooted.join(best, "_root").select(F.col("_node").alias("_of"), "_best")
-    judged = rows.join(best, F.col("_fp0") == F.col("_of"))
+    judged = rows.join(best, F.col("_node") == F.col("_of"))
     gone = written(judged.filter((F.col("_h") != F.col("_best.h")) | ~F.col("_id").eqNullSafe(F.col("_best.i"))).select("_id", "_h").distinct(), "gone")
     return _among(keyed, gone, ["_id", "_h"], False).select("_row.*")
 

@@ -130,3 +130,12 @@ def test_near_copies_within_a_template_group_go(spark, tile):
     docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
     kept = {r["doc_id"] for r in drop_near_duplicates(docs, NEAR, tile=tile).collect()}
     assert len(kept) == 60 and similar_pairs_meet(rows, kept)
+
+
+def test_texts_of_one_fingerprint_that_differ_stay(spark):
+    """A line that outweighs all else gives different texts the same fingerprint."""
+    line = "home about contact terms privacy help login share follow subscribe copyright"
+    rows = [" ".join([line] * 100 + [f"p{page}x{k}" for k in range(80)]) for page in range(3)]
+    assert len({tuple(fingerprint(t, NEAR)) for t in rows}) == 1 and jaccard(*rows[:2]) < 0.15
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    assert drop_near_duplicates(docs, NEAR).count() == 3
