@@ -130,10 +130,10 @@ def fingerprint(text: str | None, plan: Plan) -> list[int]:
 
 
 def set_fingerprint(text: str | None, plan: Plan) -> tuple[int, int, list[int]]:
-    """A digest of the set of different shingles, how many there are, and the fingerprint."""
+    """A digest of the set of different shingles, how many there are, and their fingerprint, each counted once."""
     parts = list(_hashed(text, plan.words))
     found = np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
-    return xxhash.xxh64_intdigest(found.astype("<u8").tobytes(), 7), len(found), _simhash(parts, plan)
+    return xxhash.xxh64_intdigest(found.astype("<u8").tobytes(), 7), len(found), _simhash((found[a : a + CHUNK] for a in range(0, len(found), CHUNK)), plan)
 
 
 def _count(ones: np.ndarray, hashes: np.ndarray) -> None:
@@ -478,8 +478,7 @@ def drop_near_duplicates(df: DataFrame, plan: Plan, similarity: float = 0.8, id_
     rows = fingerprints(keyed.select("_id", "_h", text), plan, "_text", ["_id", "_h"], sets=True).select("_row._id", "_row._h", "_node", "_n", *lanes)
     rows = written(rows, "fingerprints").filter("_n > 0")
     least = F.min(F.struct(F.col("_id").isNull().alias("n"), F.col("_id").alias("i"), F.col("_h").alias("h"))).alias("_least")
-    # Lanes count repeated shingles, so one set can have several fingerprints: its first text's stand for it.
-    nodes = written(rows.groupBy("_node").agg(least, *[F.min_by(c, F.struct("_id", "_h", *lanes)).alias(c) for c in lanes]), "nodes")
+    nodes = written(rows.groupBy("_node", *lanes).agg(least), "nodes")
 
     def verify(pairs: DataFrame) -> DataFrame:
         ends = pairs.select(F.col("_a").alias("_node")).unionByName(pairs.select(F.col("_b").alias("_node"))).distinct()

@@ -139,3 +139,12 @@ def test_texts_of_one_fingerprint_that_differ_stay(spark):
     assert len({tuple(fingerprint(t, NEAR)) for t in rows}) == 1 and jaccard(*rows[:2]) < 0.15
     docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
     assert drop_near_duplicates(docs, NEAR).count() == 3
+
+
+def test_near_copies_with_a_repeated_line_go(spark):
+    line = "home about contact terms privacy help login share follow subscribe copyright"
+    text = " ".join(f"w{k}" for k in range(200))
+    rows = [text, " ".join([text] + [line] * 100)]
+    assert jaccard(*rows) >= 0.9
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    assert [r["doc_id"] for r in drop_near_duplicates(docs, NEAR).collect()] == [0]
