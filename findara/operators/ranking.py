@@ -35,11 +35,30 @@ def hybrid(pairs: DataFrame, weights: dict[str, float], semantic: bool = True) -
     )
 
 
-def asked(queries: DataFrame) -> DataFrame:
-    """The queries, marked for broadcast after counting them; more than ``MOST_QUERIES`` are asked in several calls."""
-    if queries.limit(MOST_QUERIES + 1).count() > MOST_QUERIES:
-        raise ValueError(f"more than {MOST_QUERIES} queries at a time")
-    return F.broadcast(queries)
+def blocks(queries: DataFrame) -> list[DataFrame]:
+    """The queries (query, ...) in blocks of at most ``MOST_QUERIES`` rows by a hash of ``query``.
+
+    Rows of one ``query`` stay together.  Blocks are counted; if the largest is too large there are twice as many.
+    """
+    n = queries.count()
+    parts = -(-n // MOST_QUERIES)
+    if parts <= 1:
+        return [queries]
+    while True:
+        block = F.pmod(F.xxhash64("query"), F.lit(parts))
+        largest = queries.groupBy(block.alias("b")).agg(F.count("*").alias("n"), F.count_distinct("query").alias("d"))
+        if not largest.filter((F.col("n") > MOST_QUERIES) & (F.col("d") > 1)).head(1):
+            return [queries.filter(block == k) for k in range(parts)]
+        parts *= 2
+
+
+def beside(corpus: DataFrame, queries: DataFrame) -> DataFrame:
+    """Every row of the corpus with every query; block after block of queries goes to the corpus by broadcast."""
+    out = None
+    for block in blocks(queries):
+        rows = corpus.join(F.broadcast(block))
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 def nearest(queries: DataFrame, corpus: DataFrame) -> DataFrame:
@@ -49,7 +68,7 @@ def nearest(queries: DataFrame, corpus: DataFrame) -> DataFrame:
     """
     q = queries.select("query", F.col("vector").alias("qv"), norm(F.col("vector")).alias("qn"))
     c = corpus.select("id", "vector", norm(F.col("vector")).alias("n"))
-    return c.join(asked(q)).select("query", "id", cosine(F.col("qv"), F.col("vector"), F.col("qn"), F.col("n")).alias("similarity"))
+    return beside(c, q).select("query", "id", cosine(F.col("qv"), F.col("vector"), F.col("qn"), F.col("n")).alias("similarity"))
 
 
 def mmr(pool: DataFrame, k: int = TOP_K, weight: float | Column = MMR_LAMBDA, group: str = "query", most: int = POOL) -> DataFrame:

@@ -17,7 +17,7 @@ from findara.functions.text import digits, without_suffix
 from findara.operators import facets, graph, opportunities
 from findara.operators.lexical import LexicalIndex
 from findara.operators.propagation import best_of, bridged, contributions, matched, mode, spread
-from findara.operators.ranking import asked, hybrid, mmr, nearest
+from findara.operators.ranking import beside, hybrid, mmr, nearest
 from findara.sources import institution
 from findara.sources.artifacts import fingerprint, get_or_build
 
@@ -96,7 +96,7 @@ class Engine:
             *[F.max(F.when(F.col("facet") == f, F.col("similarity"))).alias(f) for f in ("topic", "domain", "method")],
             *[F.max(F.when(F.col("facet") == f, F.col("terms"))).alias(f"t_{f}") for f in ("topic", "domain", "method")],
         )
-        every = entities.select("id", "kind", "name", "fields", "year").join(t["strength"], "id").join(asked(queries.select("query")))
+        every = beside(entities.select("id", "kind", "name", "fields", "year").join(t["strength"], "id"), queries.select("query"))
         out = every.join(lexical, ["query", "id"], "left").join(shared, ["query", "id"], "left")
         if self.vectors is not None and vectors is not None:
             out = out.join(nearest(vectors, self.vectors).withColumnRenamed("similarity", "semantic"), ["query", "id"], "left")

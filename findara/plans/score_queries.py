@@ -12,7 +12,7 @@ from findara.operators import facets
 from findara.operators.evaluation import mean, metrics, nearest_percentile, silver
 from findara.operators.lexical import LexicalIndex, top
 from findara.operators.propagation import mode
-from findara.operators.ranking import asked, hybrid, mmr, nearest
+from findara.operators.ranking import beside, hybrid, mmr, nearest
 from findara.plans.catalog import EVIDENCE, FACETS, SIGNALS, VOCABULARY, flow_band, hybrid_sql, query
 from findara.session import table
 
@@ -62,7 +62,7 @@ def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     semantic = nearest(own, vectors).withColumnRenamed("similarity", "semantic")
     lexical = LexicalIndex.fit(docs, "doc_id", "text").similarities(items, "item_id", "text").withColumnRenamed("similarity", "lexical")
     shared = facet_overlaps(spark, sf_dir).groupBy("query", "id").agg(*[F.max(F.when(F.col("facet") == f, F.col("similarity"))).alias(f) for f in FACETS_OF])
-    every = strength(spark, sf_dir).join(asked(items.select(F.col("item_id").alias("query"))))
+    every = beside(strength(spark, sf_dir), items.select(F.col("item_id").alias("query")))
     out = every.join(semantic, ["query", "id"], "left").join(lexical, ["query", "id"], "left").join(shared, ["query", "id"], "left")
     zero = F.lit(0.0)
     return out.select("query", "id", *[F.coalesce(c, zero).alias(c) for c in ("semantic", "lexical", *FACETS_OF)], "evidence")

@@ -179,3 +179,14 @@ def test_opportunities(spark):
     assert opportunities.renewal(theses, years, need).count() == 0 and opportunities.renewal(theses.filter("rank = 2"), years, need).first()["related"] == ["T1"]
     every = opportunities.combined([pairs, opportunities.renewal(theses.filter("rank = 2"), years, need)]).orderBy("position").collect()
     assert [r["priority"] for r in every] == sorted((r["priority"] for r in every), key=["Alta", "Media", "Baja"].index) and every[0]["type"] == "COLLABORATION"
+
+
+def test_more_queries_than_a_block_are_all_asked(spark, monkeypatch):
+    from findara.operators import ranking
+
+    monkeypatch.setattr(ranking, "MOST_QUERIES", 10)
+    queries = spark.createDataFrame([(k, [1.0, float(k)]) for k in range(57)], "query long, vector array<double>")
+    corpus = spark.createDataFrame([(k, [float(k), 1.0]) for k in range(3)], "id long, vector array<double>")
+    assert all(b.count() <= 10 for b in ranking.blocks(queries))
+    got = [(r["query"], r["id"]) for r in ranking.nearest(queries, corpus).collect()]
+    assert sorted(got) == [(q, i) for q in range(57) for i in range(3)]
