@@ -3,7 +3,7 @@
 A text is the vector of its letter n-grams (one to three letters, word ends included), hashed to a fixed number of
 dimensions, weighted by TF-IDF and normalised.  Document frequencies come from all learnable rows; each language's
 centroids from spherical k-means over a bounded sample of them.  A text gets the language of the centroid nearest by
-cosine, and is rejected if it is farther from it than nearly all sampled texts of that language and length are.
+cosine, and is rejected if it is much farther from it than three quarters of the sampled texts of that language and length are.
 """
 
 from __future__ import annotations
@@ -157,12 +157,24 @@ def _document_frequencies(df: DataFrame, text_col: str) -> tuple[np.ndarray, int
     return out, rows
 
 
-def train(df: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", centroids: int = 3, sample: int = 600, quantile: float = 0.002, slack: float = 0.6) -> Model:
+def class_quantiles(best: np.ndarray, kind: np.ndarray, quantile: float) -> np.ndarray:
+    """A quantile of the cosines of each length class; one with too few texts takes the nearest shorter one's, or 0."""
+    out = np.zeros(8)
+    for j in range(8):
+        if (kind == j).sum() >= 20:
+            out[j] = np.quantile(best[kind == j], quantile)
+        elif j:
+            out[j] = out[j - 1]
+    return out
+
+
+def train(df: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", centroids: int = 3, sample: int = 600, quantile: float = 0.25, slack: float = 0.6) -> Model:
     """Fit on rows with a text and a language.
 
     Document frequencies cover all of them.  The centroids are fitted to at most about ``sample`` texts of each
     language, chosen by a hash of the identifier; that bound does not grow with the table.  The rejection floor of
-    a language and length class is ``slack`` times the ``quantile`` of its sampled cosines.
+    a language and length class is ``slack`` times the ``quantile`` of its sampled cosines: a quartile, which
+    outliers in the sample cannot set.
     """
     rows = df.filter(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
     per = {r[0]: r[1] for r in rows.groupBy(lang_col).count().collect()}  # one row a language
@@ -189,10 +201,7 @@ def train(df: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col:
         centre.append(c)
         owner += [k] * len(c)
         best, kind = (x @ c.T).max(axis=1), length_class(counts.sum(axis=1))
-        floors = [np.quantile(best[kind == j], quantile) if (kind == j).sum() >= 20 else np.nan for j in range(8)]
-        for j in range(8):  # a class that the sample lacks takes the nearest shorter one's floor, or none
-            shorter = [f for f in floors[: j + 1] if not np.isnan(f)]
-            floor[k, j] = slack * shorter[-1] if shorter else 0.0
+        floor[k] = slack * class_quantiles(best, kind, quantile)
     return Model(languages, idf, np.concatenate(centre), np.array(owner, int), floor)
 
 

@@ -52,3 +52,13 @@ def test_awkward_rows(awkward, empty):
     assert identify(empty, model).count() == 0
     nothing = train(empty)
     assert [(r["lang_pred"], r["rejected"]) for r in identify(awkward.limit(1), nothing).collect()] == [(UNKNOWN, True)]
+
+
+def test_a_few_low_texts_do_not_set_a_floor():
+    from inspect import signature
+
+    from findara.llm.language_id import class_quantiles
+
+    best, kind = np.array([0.1] * 3 + [0.9] * 97 + [0.8] * 5), np.array([3] * 100 + [5] * 5)
+    floors = class_quantiles(best, kind, signature(train).parameters["quantile"].default)
+    assert np.allclose(floors, [0, 0, 0, 0.9, 0.9, 0.9, 0.9, 0.9])
