@@ -240,7 +240,8 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Archives of all pages, written to the shared folder and read back."""
     folder = new_path(spark, "warc")
     manifest = write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), folder)
-    read = read_chunks(manifest, folder, payload=False)
+    chunks = read_chunks(manifest, folder)
+    read = chunks.filter("chunks_end")  # whose running digest and size are the payload's
     revisit = F.col("record_type") == "revisit"
     number = lambda c: F.regexp_extract(c, r"^<urn:page:(-?\d+)>$", 1).try_cast("long")
     return read.select(

@@ -71,3 +71,14 @@ def test_damage_is_noticed(spark, pages):
         f.write(gzip.compress(text))
     with pytest.raises(Exception, match="does not have its digest"):
         read_chunks(manifest, folder).collect()
+
+
+def test_the_query_reads_every_chunk_row(spark, tmp_path, monkeypatch):
+    from findara.llm import warc
+
+    made = []
+    monkeypatch.setattr(warc, "read_chunks", lambda *a, **k: made.append(read_chunks(*a, **k)) or made[-1])
+    page = "x" * (3 * CHUNK + 5)
+    spark.createDataFrame([(1, "http://a.b/", page)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert [(r["payload_bytes"], r["record_type"]) for r in warc.op9_warc(spark, str(tmp_path)).collect()] == [(len(page), "response")]
+    assert sorted((r["chunk"], len(r["data"])) for r in made[0].collect()) == [(0, CHUNK), (1, CHUNK), (2, CHUNK), (3, 5)]
