@@ -1,7 +1,9 @@
-"""A session with the settings the engine expects."""
+"""A session with the settings the engine expects, and the folder that its executors share."""
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
@@ -15,3 +17,19 @@ def session(name: str = "findara", **settings: str) -> SparkSession:
 
 def table(spark: SparkSession, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder every executor sees: ``spark.checkpoint.dir``.
+
+    Where that is unset, a local session (tests, a single machine) gets a folder of its own; on a cluster it is an
+    error, as executors do not see the driver's disk.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="findara-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
