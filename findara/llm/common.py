@@ -5,7 +5,6 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import sys
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -13,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from findara.session import shared_dir
+
 #: Word characters of the contracts: everything but space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -21,15 +22,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees: ``spark.checkpoint.dir``; where it is unset (tests), one of our own."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="findara-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
 def new_path(spark: SparkSession, tag: str) -> str:
     """A new place in the shared folder, deleted when the application ends."""
     path = f"{shared_dir(spark)}/findara/{tag}-{uuid.uuid4().hex[:12]}"

@@ -27,8 +27,10 @@ from .common import documents, free_name, in_small_batches, lean, sorted_ranks,
 #: A pattern: [(class, how many), ...] and the number of windows that use it.
 Pattern = tuple[list[tuple[int, int]], int]
 
-#: Bytes of text that are tokenised at a time, words whose ids a worker remembers (twice), and words encoded as one.
-SLICE, WORDS, JOINED = 4 << 20, 150_000, 256
+#: Bytes of text that are tokenised at a time, and words encoded as one.
+SLICE, JOINED = 2 << 20, 256
+#: Bytes of words and their ids that a task remembers (twice), what a word takes beside its own, and the longest such.
+MEMORY, EACH, LONGEST = 12 << 20, 200, 64
 #: Marks that can follow a word's letters; none begins a contraction.
 MARKS = ".,!?;:|"
 #: The one letter whose lower case ends in a mark.
@@ -124,25 +126,27 @@ def plan_windows(counts: dict[int, int], units: int) -> list[Pattern]:
     return out
 
 
-def gathered(flat: np.ndarray, sizes: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Lists, given flat and by size, put together in the order of ``index``; and where each ends, from 0."""
-    size = sizes[index] if len(index) else np.zeros(0, np.int64)
-    ends = np.concatenate([[0], np.cumsum(size)])
-    first = (np.cumsum(sizes) - sizes)[index] if len(index) else size
-    at = np.repeat(first - ends[:-1], size)
-    at += np.arange(ends[-1])
-    return flat[at], ends
+def gathered(flat: np.ndarray, sizes: np.ndarray, index: np.ndarray, block: int = 1 << 16) -> tuple[np.ndarray, np.ndarray]:
+    """Lists, given flat and by size, put together in the order of ``index``; and where each ends, from 0.
 
+    ``block`` lists at a time, so that what is worked with beside the result stays small.
+    """
+    ends = np.zeros(len(index) + 1, np.int64)
+    np.cumsum(sizes[index], out=ends[1:])
+    first = np.cumsum(sizes) - sizes
+    out = np.empty(ends[-1], flat.dtype)
+    for a in range(0, len(index), block):
+        part = index[a : a + block]
+        lo, hi = ends[a], ends[a + len(part)]
+        at = np.repeat(first[part] - (ends[a : a + len(part)] - lo), sizes[part])
+        at += np.arange(hi - lo)
+        out[lo:hi] = flat[at]
+    return out, ends
 
-@functools.lru_cache(maxsize=1)
-def word_ids(path: str) -> Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]:
-    """A function from texts to (ids of all, end of each text's ids), as the tokenizer file gives them.
 
-    For tokenizers that lower case, drop white space and take letters and marks apart, and never look across either:
-    the ids of a word are those of its letters and those of the marks after them, in any text.  So each different
-    part is encoded once and remembered for a while.  New parts are encoded many at a time, with a special token
-    between them.
-    """
+@functools.lru_cache(maxsize=1)
+def tokenizer_at(path: str) -> tuple[object, str | None, int, np.ndarray]:
+    """A tokenizer file, loaded once a worker process; a special token and its id; which ids end a word."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
@@ -151,60 +155,82 @@ def word_ids(path: str) -> Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]:
     suffix = getattr(tokenizer.model, "end_of_word_suffix", None)
     last = np.zeros(tokenizer.get_vocab_size() + 1, bool)
     last[[i for t, i in tokenizer.get_vocab().items() if suffix and t.endswith(suffix)]] = True
+    return tokenizer, between, between_id, last
+
+
+def word_ids(path: str, memory: int = MEMORY) -> Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]:
+    """A function from texts to (ids of all, end of each text's ids), as the tokenizer file gives them.
+
+    For tokenizers that lower case, drop white space and take letters and marks apart, and never look across either:
+    the ids of a word are those of its letters and those of the marks after them, in any text.  So each different
+    part is encoded once and remembered for a while, in about twice ``memory`` bytes at most, which go with the
+    function.  New parts are encoded many at a time, with a special token between them; long ones one by one.
+    """
+    tokenizer, between, between_id, last = tokenizer_at(path)
     young: dict[str, bytes] = {"": b""}  # ids as little-endian unsigned 32-bit numbers
     old: dict[str, bytes] = {}
+    held = 0  # bytes that the young ones take
 
     def joined(words: list[str], sign: str, cut_at: Callable[[np.ndarray], np.ndarray]) -> list[bytes]:
         """Many words as one text; ``cut_at`` finds where a word's ids begin."""
         out: list[bytes] = []
         texts = [sign.join(words[k : k + JOINED]) for k in range(0, len(words), JOINED)]
-        for k in range(0, len(texts), 32):  # the library's results are large
-            for e in tokenizer.encode_batch_fast(texts[k : k + 32], add_special_tokens=False):
+        for k in range(0, len(texts), 8):  # the library's results are large
+            for e in tokenizer.encode_batch_fast(texts[k : k + 8], add_special_tokens=False):
                 ids = np.array(e.ids, "<u4")
                 cuts = [0, *cut_at(ids).tolist(), len(ids)]
                 raw = ids.tobytes()
                 out += [raw[4 * a : 4 * b] for a, b in zip(cuts, cuts[1:])]
         return out
 
-    def encode_new(words: list[str]) -> list[bytes]:
-        if all(map(str.isalpha, words)):  # each is one run of letters, whose last token ends a word
-            out = joined(words, " ", lambda ids: np.flatnonzero(last[ids[:-1]]) + 1)
-            if len(out) == len(words):
-                return out
-        if between is None or any(between in w for w in words):
-            return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        out = joined(words, between, lambda ids: np.flatnonzero(ids == between_id))
+    def one_by_one(words: list[str]) -> list[bytes]:
+        return [np.array(tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes() for w in words]
+
+    def letters(words: list[str]) -> list[bytes]:
+        """Each is one run of letters, whose last token ends a word."""
+        out = joined(words, " ", lambda ids: np.flatnonzero(last[ids[:-1]]) + 1)
+        return out if len(out) == len(words) else separated(words)
+
+    def separated(words: list[str]) -> list[bytes]:
         own = np.array([between_id], "<u4").tobytes()
-        return [x.removeprefix(own) for x in out]
+        return [x.removeprefix(own) for x in joined(words, between, lambda ids: np.flatnonzero(ids == between_id))]
+
+    def kind(word: str) -> Callable[[list[str]], list[bytes]]:
+        if len(word) > LONGEST or between is None or between in word:
+            return one_by_one
+        return letters if word.isalpha() else separated
 
     def ids_of(words: list[str]) -> list[bytes]:
-        nonlocal young, old
-        if len(young) > WORDS:
-            young, old = {"": b""}, young
+        nonlocal young, old, held
+        if held > memory:
+            young, old, held = {"": b""}, young, 0
         out = list(map(young.get, words))
-        missing = [k for k, x in enumerate(out) if x is None]
-        if old:
-            for k in missing:
-                if (x := old.get(words[k])) is not None:
-                    out[k] = young[words[k]] = x
-            missing = [k for k in missing if out[k] is None]
-        if missing:
-            kind = [0 if words[k].isalpha() else 2 if between is not None and between in words[k] else 1 for k in missing]
-            for group in ([k for k, x in zip(missing, kind) if x == g] for g in range(3)):
-                for k, x in zip(group, encode_new([words[k] for k in group]) if group else ()):
+        missing: dict[Callable, list[int]] = {}
+        for k, x in enumerate(out):
+            if x is None:
+                if (x := old.get(words[k])) is None:
+                    missing.setdefault(kind(words[k]), []).append(k)
+                else:
                     out[k] = young[words[k]] = x
+                    held += EACH + len(words[k]) + len(x)
+        for encode_new, places in missing.items():
+            for k, x in zip(places, encode_new([words[k] for k in places])):
+                out[k] = x
+                if len(words[k]) <= LONGEST:
+                    young[words[k]] = x
+                    held += EACH + len(words[k]) + len(x)
         return out
 
     def encode(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         words = pc.ascii_split_whitespace(texts)
         coded = words.flatten().dictionary_encode()
         word = coded.dictionary
-        letters = pc.utf8_rtrim(word, MARKS)
+        letters_of = pc.utf8_rtrim(word, MARKS)
         marks = pc.replace_substring_regex(word, r"^\pL+", "")
-        length = pc.add(pc.binary_length(letters), pc.binary_length(marks))
-        whole = pc.and_(pc.utf8_is_alpha(pc.utf8_normalize(letters, "NFC")), pc.invert(pc.match_substring(letters, DOTTED)))
+        length = pc.add(pc.binary_length(letters_of), pc.binary_length(marks))
+        whole = pc.and_(pc.utf8_is_alpha(pc.utf8_normalize(letters_of, "NFC")), pc.invert(pc.match_substring(letters_of, DOTTED)))
         apart = pc.and_(whole, pc.equal(length, pc.binary_length(word)))
-        parts = pa.concat_arrays([pc.if_else(apart, pc.ascii_lower(letters), word), pc.if_else(apart, marks, "")]).dictionary_encode()
+        parts = pa.concat_arrays([pc.if_else(apart, pc.ascii_lower(letters_of), word), pc.if_else(apart, marks, "")]).dictionary_encode()
         lists = ids_of(parts.dictionary.to_pylist())
         sizes = np.fromiter(map(len, lists), np.int64, len(lists)) // 4
         index = parts.indices.to_numpy(zero_copy_only=False).reshape(2, -1).T.ravel()
@@ -225,11 +251,24 @@ def slices(batch: pa.RecordBatch, column: str, most: int = SLICE, rows: int = 1
             yield batch.slice(at, min(rows, b - at))
 
 
+def _segments(text: pa.Scalar) -> Iterator[str]:
+    """A text in parts of about ``SLICE`` bytes that end with white space, which no token crosses."""
+    data, at = text.as_buffer().to_pybytes(), 0
+    while at < len(data):
+        end = at + SLICE
+        while end < len(data) and data[end - 1] not in b" \t\n\x0b\x0c\r":
+            end += 1
+        yield data[at:end].decode()
+        at = end
+
+
 def pieces(df: DataFrame, path: Callable[[], str], window: int, end_id: int, id_col: str = "doc_id", text_col: str = "text", ids: bool = False) -> DataFrame:
     """``<id_col>, start, length, ids_crc32, doc_tokens[, ids]``: each document's whole windows and its rest.
 
-    ``path`` gives the tokenizer file's place on the executor.  Null texts count as empty: they have ``end_id``
-    alone.
+    ``path`` gives the tokenizer file's place on the executor.  Null and empty texts have ``end_id`` alone.  Whole
+    texts are tokenised, a slice of ``SLICE`` bytes of rows at a time and a longer text by itself.  Rows that repeat,
+    with identifier or wholly, each have their own pieces; an empty table gives none.  Other columns are not read, so
+    their names may clash with ours.
     """
     names = ["_id", "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * ids
     kinds = [pa.int64()] * 4 + [pa.list_(pa.int32())] * ids
@@ -238,7 +277,11 @@ def pieces(df: DataFrame, path: Callable[[], str], window: int, end_id: int, id_
         encode = word_ids(path())
         for whole in batches:
             for b in slices(whole, "_text"):
-                found, ends = encode(b["_text"])
+                if b.num_rows == 1 and (text := b["_text"][0]).as_buffer().size > 2 * SLICE:
+                    found = np.concatenate([encode(pa.array([part]))[0] for part in _segments(text)])
+                    ends = np.array([len(found)])
+                else:
+                    found, ends = encode(b["_text"])
                 row, start, length, crc, total, lists = [], [], [], [], [], []
                 at = 0
                 for k, end in enumerate(ends.tolist()):
@@ -313,6 +356,7 @@ def tokenizer_path(name: str) -> Callable[[], str]:
 
 
 def pack_documents(docs: DataFrame) -> DataFrame:
+    """``pieces`` of the query's tokenizer, packed; nulls, repeats and empty tables as there."""
     cut = written(pieces(docs, tokenizer_path(TOKENIZER), WINDOW, END), "cut")  # else the ranking's sampling tokenises as well
     return pack(cut, WINDOW, order=["doc_id", "start", "ids_crc32", "length"])
 

@@ -101,3 +101,20 @@ def test_sequences_have_the_ids(prose):
     whole = sequences(pack(cut, 256)).collect()
     assert all(r["tokens"] == len(r["ids"]) <= 256 for r in whole)
     assert sum(r["tokens"] for r in whole) == sum(r["length"] for r in cut.collect())
+
+
+def test_little_memory_and_long_texts_change_nothing(spark, monkeypatch):
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice("abcd") * rng.randrange(1, 9) + rng.choice(["", ".", "é", "x" * 90]) for _ in range(rng.randrange(400))) for _ in range(30)]
+    want = word_ids(FILE)(pa.array(texts))
+    encode = word_ids(FILE, memory=500)
+    for _ in range(3):
+        got = encode(pa.array(texts))
+        assert (got[0] == want[0]).all() and (got[1] == want[1]).all()
+    from findara.llm import packing
+
+    tokenizer = Tokenizer.from_file(FILE)
+    monkeypatch.setattr(packing, "SLICE", 64)
+    whole = pa.array([texts[0] + "\n" + texts[1]])
+    ids = [i for part in packing._segments(whole[0]) for i in tokenizer.encode(part, add_special_tokens=False).ids]
+    assert ids == tokenizer.encode(whole[0].as_py(), add_special_tokens=False).ids and len(list(packing._segments(whole[0]))) > 5
