@@ -27,8 +27,8 @@ UNKNOWN = "und"
 #: Dimensions, and odd multipliers that hash the letters of an n-gram into them.
 DIMENSIONS = 1 << 12
 _MIX = np.array([0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35], np.uint32)
-#: Texts that are vectors at a time, and bytes of them.
-ROWS, SLICE = 256, 1 << 20
+#: Texts that are vectors at a time, and bytes of them; a longer text is counted in parts of as many characters.
+ROWS, SLICE = 128, 1 << 19
 
 
 def _letters() -> np.ndarray:
@@ -39,32 +39,58 @@ def _letters() -> np.ndarray:
 _table: np.ndarray | None = None
 
 
-def ngram_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Counts (texts x dimensions) and whether each text has a letter."""
+def _codes(text: str) -> np.ndarray:
+    """Each character's number if it is a letter, else 0, in lower case; no character's case depends on others."""
     global _table
     if _table is None:
         _table = _letters()
-    lowered = [t.lower() for t in texts]
-    sizes = np.fromiter(map(len, lowered), np.int64, len(lowered)) + 2
-    data = np.frombuffer("".join(f"\0{t}\0" for t in lowered).encode("utf-32-le", "surrogatepass"), np.uint32)
-    code = _table[data]
-    row = np.repeat(np.arange(len(texts), dtype=np.int64) * DIMENSIONS, sizes)
+    return _table[np.frombuffer(text.replace("\u03a3", "\u03c3").lower().encode("utf-32-le", "surrogatepass"), np.uint32)]
+
+
+def _add(out: np.ndarray, code: np.ndarray, row: np.ndarray) -> None:
+    """Count the n-grams that end at the third code or later; ``row``: the first of out's places for each of these.
+
+    An n-gram is one letter; two characters of which one is a letter; three of which the middle one is.
+    """
     letter = code != 0
+    mixed = [code * m for m in _MIX]
     shift = np.uint32(32 - 12)
-    out = np.zeros(len(texts) * DIMENSIONS, np.int64)
+    for hashed, keep in (
+        ((mixed[0][2:] + np.uint32(1)) * _MIX[1], letter[2:]),
+        ((mixed[0][1:-1] + mixed[1][2:] + np.uint32(2)) * _MIX[2], letter[1:-1] | letter[2:]),
+        ((mixed[0][:-2] + mixed[1][1:-1] + mixed[2][2:] + np.uint32(3)) * _MIX[0], letter[1:-1]),
+    ):
+        out += np.bincount(row[keep] + (hashed[keep] >> shift), minlength=len(out))
 
-    def add(hashed: np.ndarray, keep: np.ndarray) -> None:
-        nonlocal out
-        out += np.bincount(row[: len(hashed)][keep] + (hashed[keep] >> shift), minlength=len(out))
 
-    # An n-gram is one letter; two characters of which one is a letter; three of which the middle one is.  A text's
-    # zeros at both ends keep n-grams from reaching into the next text.
-    mixed = [code * m for m in _MIX]
-    add((mixed[0] + np.uint32(1)) * _MIX[1], letter)
-    add((mixed[0][:-1] + mixed[1][1:] + np.uint32(2)) * _MIX[2], letter[:-1] | letter[1:])
-    add((mixed[0][:-2] + mixed[1][1:-1] + mixed[2][2:] + np.uint32(3)) * _MIX[0], letter[1:-1])
-    has = np.add.reduceat(letter, np.cumsum(sizes) - sizes) > 0 if len(sizes) else np.zeros(0, bool)
-    return out.reshape(len(texts), DIMENSIONS), has
+def ngram_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Counts (texts x dimensions) and whether each text has a letter.
+
+    Texts have a 0 after them, and before the first, so that n-grams do not reach into the next one.
+    """
+    out = np.zeros((len(texts), DIMENSIONS), np.int64)
+    has = np.zeros(len(texts), bool)
+    short = [k for k, t in enumerate(texts) if len(t) <= SLICE]
+    if short:
+        parts = [_codes(texts[k]) for k in short]  # a character can become two
+        sizes = np.array([len(p) + 1 for p in parts])
+        code = np.zeros(2 + sizes.sum(), np.uint32)
+        for p, end in zip(parts, np.cumsum(sizes) + 1):
+            code[end - len(p) : end] = p
+        counts = np.zeros(len(short) * DIMENSIONS, np.int64)
+        _add(counts, code, np.repeat(np.arange(len(short), dtype=np.int64) * DIMENSIONS, sizes))
+        out[short], has[short] = counts.reshape(-1, DIMENSIONS), [p.any() for p in parts]
+    for k in set(range(len(texts))) - set(short):
+        carried = np.zeros(2, np.uint32)
+        for at in range(0, len(texts[k]) + 1, SLICE):  # the last part may be the 0 alone
+            part = _codes(texts[k][at : at + SLICE])
+            ends = at + SLICE > len(texts[k])
+            code = np.concatenate([carried, part, np.zeros(int(ends), np.uint32)])
+            if len(code) > 2:
+                _add(out[k], code, np.zeros(len(code) - 2, np.int64))
+            has[k] |= part.any()
+            carried = code[-2:]
+    return out, has
 
 
 def unit_rows(x: np.ndarray) -> np.ndarray:
@@ -122,7 +148,7 @@ class Model:
 
 
 def _vectors(df: DataFrame, text_col: str, lang: Column) -> DataFrame:
-    """``lang, n, dims, counts`` for each row: the n-gram counts that are not zero."""
+    """``lang, dims, counts`` for each row: the n-gram counts that are not zero."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -169,25 +195,27 @@ def class_quantiles(best: np.ndarray, kind: np.ndarray, quantile: float) -> np.n
 
 
 def train(df: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", centroids: int = 3, sample: int = 600, quantile: float = 0.25, slack: float = 0.6) -> Model:
-    """Fit on rows with a text and a language.
+    """Fit on rows with a text and a language; languages are few, as the model has some vectors for each.
 
-    Document frequencies cover all of them.  The centroids are fitted to at most about ``sample`` texts of each
-    language, chosen by a hash of the identifier; that bound does not grow with the table.  The rejection floor of
-    a language and length class is ``slack`` times the ``quantile`` of its sampled cosines: a quartile, which
-    outliers in the sample cannot set.
+    Document frequencies cover all rows.  The centroids are fitted to about ``sample`` different rows of each
+    language, chosen by a hash of identifier and text; that bound does not grow with the table, whatever the
+    identifiers are: null, repeated, or all the same.  The rejection floor of a language and length class is
+    ``slack`` times the ``quantile`` of its sampled cosines: a quartile, which outliers in the sample cannot set.
+    Empty texts count as texts without letters.  An empty table gives a model that rejects everything.
     """
-    rows = df.filter(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
-    per = {r[0]: r[1] for r in rows.groupBy(lang_col).count().collect()}  # one row a language
+    digest = F.xxhash64(F.lit(10), F.col(id_col).cast("string"), text_col)
+    rows = df.filter(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("_lang"), F.col(text_col).alias("_text"), digest.alias("_digest"))
+    per = {r["_lang"]: r["n"] for r in rows.groupBy("_lang").agg(F.approx_count_distinct("_digest", 0.02).alias("n")).collect()}  # one row a language
     if not per:
         return Model([], np.ones(DIMENSIONS, np.float32), np.zeros((0, DIMENSIONS), np.float32), np.zeros(0, int))
-    frequency, n = _document_frequencies(rows, text_col)
+    frequency, n = _document_frequencies(rows, "_text")
     idf = (np.log((1 + n) / (1 + frequency)) + 1).astype(np.float32)
     languages = sorted(per)
-    share = F.lit(0)
-    for lang in languages:  # a hash below this, of 2^20, is in the sample
-        share = F.when(F.col(lang_col) == lang, math.ceil(min(1.0, sample / per[lang]) * (1 << 20))).otherwise(share)
-    chosen = rows.filter(F.pmod(F.xxhash64(F.lit(10), id_col), F.lit(1 << 20)) < share)
-    got = sorted(_vectors(chosen, text_col, F.col(lang_col)).collect(), key=lambda r: (r["lang"], bytes(r["dims"]), bytes(r["counts"])))
+    # A hash below this, of 2^20, is in the sample.
+    shares = df.sparkSession.createDataFrame([(x, math.ceil(min(1.0, sample / max(1, per[x])) * (1 << 20))) for x in languages], "_of string, _share long")
+    chosen = rows.join(F.broadcast(shares), (F.col("_lang") == F.col("_of")) & (F.pmod("_digest", F.lit(1 << 20)) < F.col("_share")))
+    chosen = chosen.dropDuplicates(["_lang", "_digest"])
+    got = sorted(_vectors(chosen, "_text", F.col("_lang")).collect(), key=lambda r: (r["lang"], bytes(r["dims"]), bytes(r["counts"])))
     centre, owner, floor = [], [], np.zeros((len(languages), 8))
     for k, lang in enumerate(languages):
         mine = [r for r in got if r["lang"] == lang]
@@ -208,7 +236,9 @@ def train(df: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col:
 def identify(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """``_row`` (the row as a struct), ``lang_pred, score, rejected``; nothing is moved.
 
-    A text that is null or has no letter is ``und`` with score 0 and rejected.  Only the text is looked at.
+    A text that is null, empty or has no letter is ``und`` with score 0 and rejected.  Only the text is looked at, whole,
+    a long one in parts; rows that repeat are judged alike.  An empty table gives an empty result.  The row being a
+    struct, its names cannot clash with ours.
     """
     given = df.sparkSession.sparkContext.broadcast(model)
 

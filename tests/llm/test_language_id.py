@@ -17,6 +17,49 @@ def test_counts_against_a_plain_count():
     assert (one[0] == counts[0]).all() and counts.shape[1] == DIMENSIONS
 
 
+def test_parts_of_a_long_text_do_not_show(monkeypatch):
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("abΣσςİé 1.") for _ in range(n)) for n in (0, 1, 6, 7, 8, 14, 50, 300)]
+    whole, has = ngram_counts(texts)
+    monkeypatch.setattr("findara.llm.language_id.SLICE", 7)
+    parts, also = ngram_counts(texts)
+    assert (whole == parts).all() and (has == also).all() and has.tolist()[0] is False
+
+
+def plain_prediction(text, model):
+    """The nearest centroid, text by text and centroid by centroid."""
+    counts = ngram_counts([text or ""])[0][0]
+    vector = [(1 + np.log(c)) * model.idf[k] if c else 0.0 for k, c in enumerate(counts)]
+    length = sum(v * v for v in vector) ** 0.5
+    best = (-1.0, None)
+    for centre, owner in zip(model.centroids, model.owner):
+        cosine = sum(float(v) * float(c) for v, c in zip(vector, centre) if v) / length if length else 0.0
+        best = max(best, (cosine, -int(owner)))
+    letters = any(c.isalpha() for c in text or "")
+    return (model.languages[-best[1]] if letters else UNKNOWN), (min(1.0, max(0.0, best[0])) if letters else 0.0)
+
+
+def test_predictions_against_brute_force(spark, prose):
+    model = train(prose)
+    texts = [r["text"] for r in prose.limit(60).collect()] + [None, "", "12", "bala schrag", "ünïcödé"]
+    names, score, _ = model.predict(texts)
+    want = [plain_prediction(t, model) for t in texts]
+    assert names == [w[0] for w in want] and np.allclose(score, [w[1] for w in want], atol=1e-5)
+
+
+def test_the_sample_is_bounded_for_any_identifiers(spark, prose, monkeypatch):
+    """Null identifiers, one identifier for all, and rows that repeat."""
+    from findara.llm import language_id
+
+    seen = []
+    monkeypatch.setattr(language_id, "weighted", lambda counts, idf, f=language_id.weighted: seen.append(len(counts)) or f(counts, idf))
+    for name, docs in {"null": prose.withColumn("doc_id", F.lit(None).cast("long")), "one": prose.withColumn("doc_id", F.lit(7).cast("long")), "repeated": prose.limit(40).withColumn("x", F.explode(F.sequence(F.lit(1), F.lit(50)))).drop("x")}.items():
+        seen.clear()
+        model = train(docs, sample=30)
+        assert all(0 < n <= 60 for n in seen), (name, seen)
+        assert model.predict(["bala ruka tomi sefa"])[0] == ["aa"]
+
+
 def test_kmeans_separates():
     x = unit_rows(np.array([[1, 0.1], [1, 0.2], [0.1, 1], [0.2, 1]], float))
     c = spherical_kmeans(x, 2)
