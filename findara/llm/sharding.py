@@ -3,9 +3,10 @@
 Old shards hold rows of several size classes; new shards have capacities in rows.  A flow network of one node per
 (old shard, size class), solved on the driver, says how many rows of each class every old shard sends to every new
 one so that the capacities are met and the fewest bytes move.  Its size depends on the shard counts only.  Rows of
-a class are ordered by a hash; the flow cuts that order into intervals, and the keys at the cuts, found by a
-distributed ranking of narrow rows, let a scan place each row by comparing its key.  Texts are moved once, into
-the files of the shards that change.
+a class are ordered by size, the largest first, then by a hash; the flow cuts that order into intervals of which the
+first stays, so what moves are a shard's smallest rows.  The keys at the cuts, found by a distributed ranking of
+narrow rows, let a scan place each row by comparing its key; the rows of a key on both sides of a cut, which are
+alike, are numbered first.  Texts are moved once, into the files of the shards that change.
 """
 
 from __future__ import annotations
@@ -132,7 +133,8 @@ def plan_moves(blocks: Iterable[tuple[int, int, int, int]], capacities: list[int
 @dataclass
 class Resharded:
     """``rows``: the columns of the input, ``old_shard``, ``shard`` and ``slot``; ``path``: the rewritten files, a
-    folder per shard; ``changed``: the shards in it; ``moved_bytes``: as planned, at mean sizes."""
+    folder per shard; ``changed``: the shards in it; ``moved_bytes``: as planned, at each block's mean size, so at
+    most what the rows that move, a block's smallest, come to by that mean."""
 
     rows: DataFrame
     path: str
@@ -143,31 +145,41 @@ class Resharded:
 def reshard(df: DataFrame, old_shard: F.Column, size: F.Column, n_shards: int, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> Resharded:
     """Move rows from their old shards to ``n_shards`` new ones whose row counts differ by one at most.
 
-    Null identifiers and texts are values like any other.  Rows that repeat with identifier and text share a
-    shard, so counts can then differ by their number.  An empty table gives an empty result.  Where ``df`` has a
-    column named like one of ours, ours gets underscores appended.  ``path`` is where the files of changed shards
-    stay; without it they go when the application ends.
+    Null identifiers and texts are values like any other, and long texts are only hashed and moved.  A row without an
+    old shard is in none and always moves; a null size counts as 0.  Rows that repeat with identifier and text are
+    numbered, so they can go to different shards; which of them goes where does not show.  An empty table gives an
+    empty result.  Where ``df`` has a column named like one of ours, ours gets underscores appended.  ``path`` is
+    where the files of changed shards stay; without it they go when the application ends.
     """
-    key = [F.xxhash64(F.lit(1), id_col, text_col).alias("_rs_h"), F.xxhash64(text_col, F.lit(2), id_col).alias("_rs_g")]
+    key = [F.xxhash64(F.lit(1), id_col, text_col).alias("h"), F.xxhash64(text_col, F.lit(2), id_col).alias("g")]
     old_name, shard_name, slot_name = (free_name(df, x) for x in ("old_shard", "shard", "slot"))
-    keyed = df.select(F.struct(*df.columns).alias("_rs_row"), old_shard.cast("int").alias("_rs_old"), size.cast("long").alias("_rs_size"), *key)
-    keyed = keyed.withColumn("_rs_block", F.col("_rs_old") * 64 + F.floor(F.log2(F.greatest("_rs_size", F.lit(1)))).cast("int"))
-    narrow = keyed.select("_rs_block", "_rs_old", "_rs_size", "_rs_h", "_rs_g")
-    ranked = sorted_ranks(narrow, ["_rs_block"], ["_rs_h", "_rs_g"], "reshard-keys")
-    found = ranked.groupBy("_rs_block", "_rs_old").agg(F.count("*").alias("n"), F.sum("_rs_size").alias("b")).collect()  # shards x classes
-    blocks = sorted((r["_rs_block"], r["_rs_old"], r["n"], r["b"]) for r in found)
+    bytes_of = F.coalesce(size.cast("long"), F.lit(0))
+    keyed = df.select(F.struct(*df.columns).alias("_rs_row"), old_shard.cast("int").alias("_rs_old"), F.struct((-bytes_of).alias("s"), *key).alias("_rs_key"))
+    in_class = F.floor(F.log2(F.greatest(-F.col("_rs_key.s"), F.lit(1)))).cast("int")
+    keyed = keyed.withColumn("_rs_block", F.coalesce("_rs_old", F.lit(-1)) * 64 + in_class)
+    ranked = sorted_ranks(keyed.select("_rs_block", "_rs_key"), ["_rs_block"], ["_rs_key"], "reshard-keys")
+    found = ranked.groupBy("_rs_block").agg(F.count("*").alias("n"), F.sum(-F.col("_rs_key.s")).alias("b")).collect()  # shards x classes
+    blocks = sorted((r["_rs_block"], r["_rs_block"] // 64, r["n"], r["b"]) for r in found)
     total = sum(b[2] for b in blocks)
     intervals, moved = plan_moves(blocks, [total // n_shards + (t < total % n_shards) for t in range(n_shards)])
     spark = df.sparkSession
-    cuts = spark.createDataFrame([(i.block, i.lo, i.hi, i.shard) for i in intervals], "block int, lo long, hi long, shard int")
-    starts = F.broadcast(cuts).join(ranked, (F.col("block") == F.col("_rs_block")) & (F.col("lo") == F.col("rank"))).select("block", "hi", "shard", "lo", "_rs_h", "_rs_g").collect()
-    key_at = {(r["block"], r["lo"]): (r["_rs_h"], r["_rs_g"]) for r in starts}
-    rules = [(i.block, i.shard, *key_at[i.block, i.lo], *key_at.get((i.block, i.hi), (None, None))) for i in intervals]
-    rules = spark.createDataFrame(rules, "block int, _rs_shard int, h0 long, g0 long, h1 long, g1 long")
-    from_start = (F.col("_rs_h") > F.col("h0")) | ((F.col("_rs_h") == F.col("h0")) & (F.col("_rs_g") >= F.col("g0")))
-    to_end = F.col("h1").isNull() | (F.col("_rs_h") < F.col("h1")) | ((F.col("_rs_h") == F.col("h1")) & (F.col("_rs_g") < F.col("g1")))
-    placed = keyed.join(F.broadcast(rules), (F.col("_rs_block") == F.col("block")) & from_start & to_end)
-    placed = placed.select("_rs_row.*", F.col("_rs_old").alias(old_name), F.col("_rs_shard").alias(shard_name), "_rs_h", "_rs_g")
+    cuts = spark.createDataFrame([(i.block, i.lo + k) for i in intervals if i.lo for k in (-1, 0)], "block int, at long")
+    around = F.broadcast(cuts).join(ranked, (F.col("block") == F.col("_rs_block")) & (F.col("at") == F.col("rank"))).select("block", "at", "_rs_key").collect()
+    key_at = {(r["block"], r["at"]): tuple(r["_rs_key"]) for r in around}  # two for each interval
+    split = {(i.block, k) for i in intervals if i.lo and (k := key_at[i.block, i.lo]) == key_at[i.block, i.lo - 1]}
+    rules = []
+    for i in intervals:
+        first = key_at[i.block, i.lo] if i.lo else None
+        rules.append((i.block, i.shard, first, key_at.get((i.block, i.hi)), first is None or (i.block, first) not in split))
+    kind = "struct<s:bigint,h:bigint,g:bigint>"
+    rules = spark.createDataFrame(rules, f"block int, _rs_shard int, first {kind}, next {kind}, with_first boolean")
+    own = F.col("_rs_key")
+    from_start = F.col("first").isNull() | (own > F.col("first")) | (F.col("with_first") & (own == F.col("first")))
+    to_end = F.col("next").isNull() | (own < F.col("next"))
+    placed = keyed.join(F.broadcast(rules), (F.col("_rs_block") == F.col("block")) & from_start & to_end).select("_rs_row", "_rs_old", "_rs_key", "_rs_shard")
+    if split:
+        placed = placed.unionByName(_numbered(keyed, ranked, split, intervals))
+    placed = placed.select("_rs_row.*", F.col("_rs_old").alias(old_name), F.col("_rs_shard").alias(shard_name), F.col("_rs_key.h").alias("_rs_h"), F.col("_rs_key.g").alias("_rs_g"))
 
     touched = {i.shard for i in intervals if i.block // 64 != i.shard} | {i.block // 64 for i in intervals if i.block // 64 != i.shard}
     changed = sorted(touched & set(range(n_shards)))
@@ -180,6 +192,20 @@ def reshard(df: DataFrame, old_shard: F.Column, size: F.Column, n_shards: int, i
     return Resharded(rows.drop(*order).withColumnRenamed(free_name(placed, "rank"), slot_name), path, changed, moved)
 
 
+def _numbered(keyed: DataFrame, ranked: DataFrame, split: set[tuple], intervals: list[Interval]) -> DataFrame:
+    """The rows of keys that lie on both sides of a cut, each by its number among its like; one key spreads over many tasks."""
+    spark = keyed.sparkSession
+    kind = "struct<s:bigint,h:bigint,g:bigint>"
+    keys = F.broadcast(spark.createDataFrame(sorted(split), f"block int, key {kind}"))  # at most one for each cut
+    here = (F.col("_rs_block") == F.col("block")) & (F.col("_rs_key") == F.col("key"))
+    first = ranked.join(keys, here).groupBy("block", "key").agg(F.min("rank").alias("first"))
+    rows = sorted_ranks(keyed.join(keys, here, "left_semi"), ["_rs_block", "_rs_key"], [], "reshard-alike")
+    rows = rows.join(F.broadcast(first), here).withColumn("_at", F.col("rank") + F.col("first")).drop("block", "rank")
+    spans = spark.createDataFrame([(i.block, i.lo, i.hi, i.shard) for i in intervals], "block int, lo long, hi long, _rs_shard int")
+    inside = (F.col("_rs_block") == F.col("block")) & (F.col("_at") >= F.col("lo")) & (F.col("_at") < F.col("hi"))
+    return rows.join(F.broadcast(spans), inside).select("_rs_row", "_rs_old", "_rs_key", "_rs_shard")
+
+
 #: Shards before and after, as the query has them.
 OLD, NEW = 32, 40
 
