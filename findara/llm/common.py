@@ -87,10 +87,11 @@ def sorted_ranks(df: DataFrame, group: list[str], order: list[str], tag: str, pa
 
     Range-partitioned by group and order, so one group spreads over many tasks.  Each task numbers its rows; a
     small table, at most one row per group and task boundary, turns those numbers into ranks.  Rows that tie in
-    all of ``group`` and ``order`` get different ranks, in either order.
+    all of ``group`` and ``order`` get different ranks, in either order.  Without ``order`` all rows of a group tie:
+    they are numbered where they are.
     """
     at, part = F.col("_at"), F.shiftright("_at", 33)
-    ordered = df.repartitionByRange(*group, *order).sortWithinPartitions(*group, *order)
+    ordered = (df.repartitionByRange(*group, *order) if order else df).sortWithinPartitions(*group, *order)
     table = written(ordered.withColumn("_at", F.monotonically_increasing_id()), tag, path, by)
     runs = table.groupBy(*group, part.alias("_part")).agg(F.min(at).alias("_first"), F.count("*").alias("_n"))
     before = {}
@@ -108,3 +109,14 @@ def sorted_ranks(df: DataFrame, group: list[str], order: list[str], tag: str, pa
         on = on & s
     out = table.join(F.broadcast(shifts), on)
     return out.select(*[table[c] for c in df.columns], (table["_at"] + shifts["_shift"]).alias(free_name(df, "rank")))
+
+
+#: Tasks that the rows of one key are dealt to.
+SALT = 16
+
+
+def spread_join(rows: DataFrame, small: DataFrame, key: str, other: str, by: str, how: str) -> DataFrame:
+    """Join rows to a narrow table with at most one row a key; the rows of a key are dealt to ``SALT`` tasks by ``by``."""
+    dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALT)).cast("int"))
+    copies = small.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    return dealt.join(copies, (F.col(key) == F.col(other)) & (F.col("_salt") == F.col("_copy")), how).drop("_salt", "_copy")

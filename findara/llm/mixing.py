@@ -24,8 +24,8 @@ from pyspark.sql import types as T
 
 from .common import WORD, documents, in_small_batches, lean, sorted_ranks, written
 
-#: Rows of a chunk, about.
-CHUNK = 512
+#: Rows of a chunk, about, and rows of one chunk that fly at a time: rows that repeat wholly share a chunk.
+CHUNK, TOGETHER = 512, 1 << 12
 #: Nearer to 0 or 1 than this is there.
 NEAR = 1e-9
 
@@ -115,12 +115,14 @@ def _fly(seed: int, last: bool, at: str) -> Callable[[Iterator[pa.RecordBatch]],
         waiting: pa.Table | None = None
 
         def done(group: pa.Table) -> Iterator[pa.RecordBatch]:
-            rng = random.Random(f"{seed}|{at}|{group['_source'][0].as_py()!r}|{group['_chunk'][0].as_py()}")
-            sizes = group["_size"].to_pylist()
-            before = group["_p"].to_pylist()
-            p = flight(before, sizes, rng)
-            p = landing(before, p, sizes) if last else p
-            yield from group.set_column(group.schema.get_field_index("_p"), "_p", pa.array(p, pa.float64())).to_batches()
+            name = f"{seed}|{at}|{group['_source'][0].as_py()!r}|{group['_chunk'][0].as_py()}"
+            together = len(group) if last else TOGETHER
+            for k in range(0, len(group), together):
+                part = group.slice(k, together)
+                sizes, before = part["_size"].to_pylist(), part["_p"].to_pylist()
+                p = flight(before, sizes, random.Random(name))
+                p = landing(before, p, sizes) if last else p
+                yield from part.set_column(part.schema.get_field_index("_p"), "_p", pa.array(p, pa.float64())).to_batches()
 
         for batch in batches:
             rows = pa.Table.from_batches([batch])
@@ -131,20 +133,26 @@ def _fly(seed: int, last: bool, at: str) -> Callable[[Iterator[pa.RecordBatch]],
             for a, b in zip(cuts, cuts[1:]):
                 yield from done(rows.slice(a, b - a))
             waiting = rows.slice(cuts[-1]) if len(keys) else None
+            while not last and waiting is not None and len(waiting) >= TOGETHER:
+                yield from done(waiting.slice(0, TOGETHER))
+                waiting = waiting.slice(TOGETHER)
         if waiting is not None and len(waiting):
             yield from done(waiting)
 
     return scan
 
 
-def mix(df: DataFrame, size: F.Column, source_col: str = "source", id_col: str = "doc_id", weights: list[int] = [3, 1, 2], share: float = 1.5, cap: float = 2.0, seed: int = 1, chunk: int = CHUNK) -> DataFrame:
+def mix(df: DataFrame, size: F.Column, source_col: str = "source", weights: list[int] = [3, 1, 2], share: float = 1.5, cap: float = 2.0, seed: int = 1, chunk: int = CHUNK) -> DataFrame:
     """``_row`` (the row as a struct), ``size, source_size, target, copies``: how often the mix takes each row.
 
-    Sources are ordered by code point, null last and a source of its own.  A row of size zero takes part with its
-    chance and adds no words; a source without words has the target 0 and takes nothing.  Null identifiers are
-    values like any other; rows that repeat wholly are drawn one by one.  An empty table gives an empty result.
+    Sources are ordered by code point, null last and a source of its own.  A row of size zero (an empty or null text)
+    takes part with its chance and adds no words; a source without words has the target 0 and takes nothing.  Null
+    identifiers are values like any other: rows are dealt by a hash of all their columns but maps.  Rows that repeat
+    wholly are drawn one by one.  Long texts are only hashed.  An empty table gives an empty result; the row being a
+    struct, its names cannot clash with ours.
     """
-    rows = in_small_batches(df).select(F.struct(*df.columns).alias("_row"), F.col(source_col).cast("string").alias("_source"), F.col(id_col).alias("_id"), size.cast("long").alias("_size"))
+    digest = F.xxhash64(F.lit(seed), *[F.col(c) for c, kind in df.dtypes if "map<" not in kind])
+    rows = in_small_batches(df).select(F.struct(*df.columns).alias("_row"), F.col(source_col).cast("string").alias("_source"), digest.alias("_digest"), size.cast("long").alias("_size"))
     totals = written(rows.groupBy("_source").agg(F.sum("_size").alias("_total"), F.count("*").alias("_rows")), "sources")
     aims = written(targets(totals, weights, share, cap), "targets")
     small = aims.count() <= 10_000  # a table of this many narrow rows is broadcast, a larger one is joined by sorting
@@ -158,8 +166,8 @@ def mix(df: DataFrame, size: F.Column, source_col: str = "source", id_col: str =
         dealt *= chunk if not parts else chunk // 2  # each chunk leaves two rows at most
         n = chunks(dealt)
         most = aims.agg(F.max(n)).first()[0] or 1
-        flying = rows.withColumn("_chunk", F.pmod(F.xxhash64("_id", "_size", F.lit(seed)), n).cast("long"))
-        sort = ["_source", "_chunk", F.desc("_size"), F.xxhash64(F.lit(seed), "_id"), "_id"]
+        flying = rows.withColumn("_chunk", F.pmod("_digest", n).cast("long"))
+        sort = ["_source", "_chunk", F.desc("_size"), "_digest"]
         flying = flying.repartition("_source", "_chunk").sortWithinPartitions(*sort)
         schema = T.StructType([T.StructField(f.name, f.dataType) for f in flying.schema])
         table = written(flying.mapInArrow(lean(_fly(seed, most == 1, str(len(parts)))), schema), "flight")

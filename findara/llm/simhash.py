@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, in_small_batches, lean, written
+from .common import documents, in_small_batches, lean, spread_join, written
 
 #: Bytes of a text that are taken apart at a time.
 CHUNK = 1 << 20
@@ -34,6 +34,8 @@ CHUNK = 1 << 20
 TILE = 8192
 #: Rows up to which a bucket gives all its pairs, links a row beyond which a bucket is dense, rows of a block of such.
 SMALL, DENSE, BLOCK = 48, 24, 1024
+#: Edges that one task joins at a time.
+EDGES = 1 << 20
 #: Odd multipliers from the golden ratio, for further hash words of a shingle.
 _GOLDEN = 0x9E3779B97F4A7C15
 
@@ -344,7 +346,7 @@ def links(fps: DataFrame, plan: Plan, tile: int = TILE) -> DataFrame:
     pairs, big = _buckets(fps.withColumn("_node", F.col("_fp0")), plan, tile)
     if big.head(1):
         pairs = pairs.unionByName(_tiled(big, plan, tile))
-    return pairs.distinct()
+    return pairs  # a pair comes out of one bucket, and of one pair of blocks, only
 
 
 def verified_components(nodes: DataFrame, plan: Plan, verify: Callable[[DataFrame], DataFrame], tile: int = TILE) -> DataFrame:
@@ -356,21 +358,63 @@ def verified_components(nodes: DataFrame, plan: Plan, verify: Callable[[DataFram
     pairs, big = _buckets(nodes, plan, tile, every=True)
     dense = bool(big.head(1))
     if dense:
-        pairs = pairs.unionByName(_tiled(big, plan, tile))
-    kept = verify(written(pairs.distinct(), "pairs"))
+        pairs = pairs.unionByName(written(_tiled(big, plan, tile), "tiles"))
+    kept = written(verify(pairs), "verified")
     if not dense:
         return components(kept)
-    kept = written(kept, "verified")
     big = big.join(components(kept), F.col("_node") == F.col("node"), "left").withColumn("_root", F.coalesce("root", "_node")).drop("node", "root")
-    rest = written(_tiled(big, plan, min(tile, BLOCK), every=True).distinct(), "pairs")
+    rest = written(_tiled(big, plan, min(tile, BLOCK), every=True), "pairs")
     return components(kept.unionByName(verify(rest)))
 
 
+def forest_of(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of edges that are not the smallest of their component, and the smallest."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = at[: len(a)], at[len(a) :]
+    root = np.arange(len(nodes))
+    while True:
+        x, y = root[a], root[b]
+        apart = x != y
+        if not apart.any():
+            break
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while not np.array_equal(deeper := root[root], root):
+            root = deeper
+    low = np.flatnonzero(root != np.arange(len(nodes)))
+    return nodes[low], nodes[root[low]]
+
+
+def _contracted(edges: DataFrame, tasks: int) -> DataFrame:
+    """Edges with the same components: each task's, ``EDGES`` at a time, become stars."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(0, np.int64)] * 2
+
+        def star() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in forest_of(*held)], ["_a", "_b"])
+
+        for batch in batches:
+            held = [np.concatenate([h, batch[c].to_numpy()]) for h, c in zip(held, ("_a", "_b"))]
+            if len(held[0]) >= EDGES:
+                done = star()
+                held = [c.to_numpy() for c in done.columns]
+                if len(held[0]) >= EDGES // 2:  # the task has too many nodes for this: what is found is passed on
+                    yield done
+                    held = [np.zeros(0, np.int64)] * 2
+        yield star()
+
+    return edges.select("_a", "_b").coalesce(tasks).mapInArrow(lean(scan), "_a long, _b long")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``node, root`` for every node of the edges (_a, _b long): root is the smallest node of its component.
 
-    Large-star and small-star in turn until nothing changes; each turn's edges are a written table.
+    Blocks of about ``EDGES`` edges become stars, each in a task; if there is more than one block, large-star and
+    small-star turns join them until every node but the roots has one edge, to a root.  Each turn's edges are a
+    written table.
     """
+
     def turn(e: DataFrame, large: bool) -> DataFrame:
         if large:
             both = e.unionByName(e.select(F.col("_b").alias("_a"), F.col("_a").alias("_b")))
@@ -384,19 +428,21 @@ def components(edges: DataFrame) -> DataFrame:
             out = joined.select(F.col("_b").alias("_a"), F.col("_m").alias("_b")).unionByName(least.select(F.col("_n").alias("_a"), F.col("_m").alias("_b")))
         return out.filter("_a <> _b").distinct()
 
-    now = written(edges.filter("_a <> _b").select(F.greatest("_a", "_b").alias("_a"), F.least("_a", "_b").alias("_b")).distinct(), "stars")
-    state = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("_a", "_b").cast("decimal(20,0)"))).first()
-    before = state(now)
-    while True:
+    given = written(edges.filter("_a <> _b"), "edges")
+    tasks = -(-given.count() // EDGES)
+    now = written(_contracted(given, max(1, tasks)), "stars")
+    while tasks > 1 and not _all_stars(now):
         now = written(turn(turn(now, True), False), "stars")
-        after = state(now)
-        if after == before:
-            break
-        before = after
     stars = now.select(F.col("_a").alias("node"), F.col("_b").alias("root"))
     return stars.unionByName(stars.select(F.col("root").alias("node"), "root").distinct())
 
 
+def _all_stars(edges: DataFrame) -> bool:
+    """Whether every node has one edge to a smaller node, or edges to larger ones only."""
+    ends = edges.select(F.col("_a").alias("_n"), F.lit(1).alias("_up")).unionByName(edges.select("_b").distinct().select(F.col("_b").alias("_n"), F.lit(1).alias("_up")))
+    return not ends.groupBy("_n").agg(F.sum("_up").alias("_up")).filter("_up > 1").head(1) and not edges.filter("_a < _b").head(1)
+
+
 def near_duplicates(df: DataFrame, plan: Plan = Plan(), id_col: str = "doc_id", text_col: str = "text", tile: int = TILE) -> DataFrame:
     """``<id_col>, fingerprint, component_id``: the component's smallest identifier, for every row.
 
@@ -406,14 +452,22 @@ def near_duplicates(df: DataFrame, plan: Plan = Plan(), id_col: str = "doc_id",
     """
     rows = written(fingerprints(df, plan, text_col, [id_col]).select(F.col(f"_row.{id_col}").alias("_id"), *[f"_fp{k}" for k in range(plan.lanes)]), "fingerprints")
     lanes = [f"_fp{k}" for k in range(plan.lanes)]
-    nodes = rows.groupBy(*lanes).agg(F.min("_id").alias("_least"))
+    nodes = rows.groupBy(*lanes).agg(F.min("_id").alias("_least"), F.count("*").alias("_rows"))
     tree = components(links(nodes.select(*lanes), plan, tile))
-    by_fp = nodes.groupBy("_fp0").agg(F.min("_least").alias("_least"))
-    placed = by_fp.join(tree, F.col("_fp0") == F.col("node"), "left").select("_fp0", F.coalesce("root", "_fp0").alias("_root"), "_least")
-    least = placed.groupBy("_root").agg(F.min("_least").alias("_component")).withColumnRenamed("_root", "_r")
-    of = placed.join(least, F.col("_root") == F.col("_r")).select(F.col("_fp0").alias("_fp"), "_component")
+    by_fp = nodes.groupBy("_fp0").agg(F.min("_least").alias("_least"), F.sum("_rows").alias("_rows"))
+    of = _shared(by_fp.withColumnRenamed("_fp0", "_node"), tree).select(F.col("_node").alias("_fp"), F.col("_least").alias("_component"))
     hexed = F.lower(F.lpad(F.hex("_fp0"), 16, "0"))
-    return rows.join(of, F.col("_fp0") == F.col("_fp"), "left").select(F.col("_id").alias(id_col), hexed.alias("fingerprint"), F.col("_component").alias("component_id"))
+    component = F.when(F.col("_fp").isNull(), F.col("_id")).otherwise(F.col("_component"))
+    return spread_join(rows, of, "_fp0", "_fp", "_id", "left").select(F.col("_id").alias(id_col), hexed.alias("fingerprint"), component.alias("component_id"))
+
+
+def _shared(nodes: DataFrame, tree: DataFrame) -> DataFrame:
+    """``_node, _least`` of nodes (_node, _least, _rows) that stand for several rows or are linked: the component's least."""
+    placed = nodes.join(tree, F.col("_node") == F.col("node"), "left")
+    linked = placed.filter("root is not null")
+    best = linked.groupBy("root").agg(F.min("_least").alias("_best")).withColumnRenamed("root", "_root")
+    alone = placed.filter("root is null and _rows > 1").select("_node", "_least")
+    return alone.unionByName(spread_join(linked, best, "root", "_root", "_node", "inner").select("_node", F.col("_best").alias("_least")))
 
 
 def shingles(text: str | None, words: int) -> np.ndarray:
@@ -434,8 +488,8 @@ def shingles(text: str | None, words: int) -> np.ndarray:
 BUCKETS = 1 << 18
 
 
-def _among(df: DataFrame, keys: DataFrame, on: list[str], there: bool) -> DataFrame:
-    """Rows of ``df`` whose key is among ``keys`` (or is not); only rows whose key's bucket occurs are moved."""
+def _among(df: DataFrame, keys: DataFrame, on: list[str], how: str) -> DataFrame:
+    """``df`` joined to ``keys``, left_anti or inner; only rows whose key's bucket occurs are moved."""
     bucket = F.pmod(F.xxhash64(*on), F.lit(BUCKETS))
     buckets = keys.select(bucket.alias("_bucket")).distinct()
     marked = df.withColumn("_bucket", bucket)
@@ -443,10 +497,10 @@ def _among(df: DataFrame, keys: DataFrame, on: list[str], there: bool) -> DataFr
     same = F.lit(True)
     for c in on:
         same = same & F.col(f"_r.{c}").eqNullSafe(F.col(f"_k.{c}"))
-    if there:
-        return near.alias("_r").join(keys.alias("_k"), same, "left_semi")
+    if how == "inner":
+        return near.dropDuplicates(on).alias("_r").join(keys.alias("_k"), same)
     far = marked.join(F.broadcast(buckets), "_bucket", "left_anti").drop("_bucket")
-    return far.unionByName(near.alias("_r").join(keys.alias("_k"), same, "left_anti"))
+    return far.unionByName(near.alias("_r").join(keys.alias("_k"), same, how))
 
 
 def similar(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
@@ -478,22 +532,19 @@ def drop_near_duplicates(df: DataFrame, plan: Plan, similarity: float = 0.8, id_
     rows = fingerprints(keyed.select("_id", "_h", text), plan, "_text", ["_id", "_h"], sets=True).select("_row._id", "_row._h", "_node", "_n", *lanes)
     rows = written(rows, "fingerprints").filter("_n > 0")
     least = F.min(F.struct(F.col("_id").isNull().alias("n"), F.col("_id").alias("i"), F.col("_h").alias("h"))).alias("_least")
-    nodes = written(rows.groupBy("_node", *lanes).agg(least), "nodes")
+    nodes = written(rows.groupBy("_node", *lanes).agg(least, F.count("*").alias("_rows")), "nodes")
 
     def verify(pairs: DataFrame) -> DataFrame:
-        ends = pairs.select(F.col("_a").alias("_node")).unionByName(pairs.select(F.col("_b").alias("_node"))).distinct()
-        wanted = written(nodes.join(ends, "_node").select("_node", "_least.i", "_least.h").toDF("_node", "_id", "_h"), "ends")
-        texts = _among(keyed.select("_id", "_h", text), wanted, ["_id", "_h"], True).dropDuplicates(["_id", "_h"])
-        same = wanted["_id"].eqNullSafe(texts["_id"]) & (wanted["_h"] == texts["_h"])
-        return similar(pairs, wanted.join(texts, same).select("_node", "_text"), plan.words, similarity)
+        ends = pairs.select(F.explode(F.array("_a", "_b")).alias("_node")).distinct()
+        wanted = written(nodes.join(ends, "_node").select("_node", F.col("_least.i").alias("_id"), F.col("_least.h").alias("_h")), "ends")
+        texts = _among(keyed.select("_id", "_h", text), wanted, ["_id", "_h"], "inner")
+        return similar(pairs, texts.select("_k._node", "_r._text"), plan.words, similarity)
 
     tree = verified_components(nodes.select("_node", *lanes), plan, verify, tile)
-    rooted = nodes.join(tree, F.col("_node") == F.col("node"), "left").select("_node", F.coalesce("root", "_node").alias("_root"), "_least")
-    best = rooted.groupBy("_root").agg(F.min("_least").alias("_best"))
-    best = rooted.join(best, "_root").select(F.col("_node").alias("_of"), "_best")
-    judged = rows.join(best, F.col("_node") == F.col("_of"))
+    best = _shared(nodes.select("_node", "_least", "_rows"), tree).select(F.col("_node").alias("_of"), F.col("_least").alias("_best"))
+    judged = spread_join(rows, best, "_node", "_of", "_h", "inner")
     gone = written(judged.filter((F.col("_h") != F.col("_best.h")) | ~F.col("_id").eqNullSafe(F.col("_best.i"))).select("_id", "_h").distinct(), "gone")
-    return _among(keyed, gone, ["_id", "_h"], False).select("_row.*")
+    return _among(keyed, gone, ["_id", "_h"], "left_anti").select("_row.*")
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

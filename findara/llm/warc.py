@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import in_small_batches, lean, new_path, written
+from .common import in_small_batches, lean, new_path, spread_join, written
 
 #: Payload bytes of a chunk, and the shortest payload that others revisit.
 CHUNK, REVISIT_FROM = 1 << 16, 100
@@ -129,7 +129,7 @@ def first_of_copies(pages: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = in_small_batches(pages).select(F.col(id_col).alias("_id"), url.alias("_url"), text.alias("_text"), F.octet_length(text).cast("long").alias("_size"), F.sha2(F.encode(text, "UTF-8"), 256).alias("_sha"))
     copies = rows.filter(F.col("_size") >= REVISIT_FROM).groupBy("_sha").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
     copies = copies.filter("_n > 1").select(F.col("_sha").alias("_of"), "_first")  # payloads without copies need no join partner
-    return rows.join(copies, (F.col("_sha") == F.col("_of")) & (F.col("_size") >= REVISIT_FROM), "left").drop("_of")
+    return spread_join(rows, copies, "_sha", "_of", "_id", "left").drop("_of")  # copies of one page go to several archives
 
 
 def _write_files(folder: str, date: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -160,8 +160,10 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", text_
 
     Null payloads are empty; equal payloads of at least 100 bytes are stored once, under the smallest identifier,
     null identifiers being the smallest only where there is no other.  Rows that repeat with identifier and
-    payload are that response again.  Line breaks in addresses are escaped.  ``folder`` is an address that
-    every executor reaches, such as one below ``spark.checkpoint.dir``.
+    payload are that response again.  Line breaks in addresses are escaped.  Long payloads are written in chunks, though
+    a page is one value of its row.  An empty table gives an empty manifest.  Columns beside identifier, payload and
+    ``url`` are not read, so their names may clash with ours.  ``folder`` is an address that every executor reaches,
+    such as one below ``spark.checkpoint.dir``.
     """
     rows = first_of_copies(pages, id_col, text_col)
     revisit = F.coalesce(F.col("_first") != F.col("_id"), F.col("_first").isNotNull())
@@ -236,18 +238,40 @@ def read_chunks(manifest: DataFrame, folder: str, payload: bool = True) -> DataF
     return files.mapInArrow(lean(_read_files(folder, payload)), CHUNKS)
 
 
+def check_revisits(records: DataFrame) -> None:
+    """An error if a revisit's digest or length is not what was read of the response that it refers to.
+
+    ``records``: record_id, record_type, refers_to, digest, size.  Revisits are counted by response first, so a page
+    with many copies is one row here.
+    """
+    told = records.filter("record_type = 'revisit'").groupBy("refers_to", "digest", "size").agg(F.count("*").alias("n")).alias("t")
+    read = records.filter("record_type = 'response'").alias("r")
+    same = (F.col("t.refers_to") == F.col("r.record_id")) & (F.col("t.digest") == F.col("r.digest")) & (F.col("t.size") == F.col("r.size"))
+    wrong = told.join(read, same, "left_anti").head(1)
+    if wrong:
+        raise ValueError(f"{wrong[0]['refers_to']} does not have the payload that revisits say")
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Archives of all pages, written to the shared folder and read back."""
     folder = new_path(spark, "warc")
     manifest = write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), folder)
     chunks = read_chunks(manifest, folder)
-    read = chunks.filter("chunks_end")  # whose running digest and size are the payload's
     revisit = F.col("record_type") == "revisit"
+    read = chunks.filter("chunks_end").select(  # whose running digest and size are the payload's
+        "record_id",
+        "record_type",
+        "refers_to",
+        F.when(revisit, F.col("payload_digest")).otherwise(F.col("digest_so_far")).alias("digest"),
+        F.when(revisit, F.col("payload_length")).otherwise(F.col("size_so_far")).alias("size"),
+    )
+    records = written(read, "records")
+    check_revisits(records)
     number = lambda c: F.regexp_extract(c, r"^<urn:page:(-?\d+)>$", 1).try_cast("long")
-    return read.select(
+    return records.select(
         number(F.col("record_id")).alias("page_id"),
-        F.when(revisit, F.col("payload_length")).otherwise(F.col("size_so_far")).alias("payload_bytes"),
-        F.when(revisit, F.col("payload_digest")).otherwise(F.col("digest_so_far")).alias("payload_digest"),
+        F.col("size").alias("payload_bytes"),
+        F.col("digest").alias("payload_digest"),
         "record_type",
         F.when(revisit, number(F.col("refers_to"))).alias("refers_to"),
     )

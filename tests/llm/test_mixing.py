@@ -75,3 +75,16 @@ def test_mix(request, table, chunk):
 def test_words(spark):
     df = spark.createDataFrame([("a b",), (" \t",), (None,), ("a\x0bb\x1cc d",)], "t string")
     assert [r[0] for r in df.select(words(F.col("t"))).collect()] == [2, 0, 0, 2]
+
+
+def test_repeated_rows_fly_in_parts(spark, monkeypatch):
+    """Rows that are all alike share a chunk; parts of it fly one after the other, wherever batches end."""
+    monkeypatch.setattr("findara.llm.mixing.TOGETHER", 100)
+    df = spark.createDataFrame([(None, "s" if k % 3 else "t", 5) for k in range(1000)] + [(k, "u", k % 9) for k in range(300)], "doc_id long, source string, n long")
+    got = mix(df, F.col("n"), chunk=32).collect()
+    want = {r["_row"]["source"]: r["target"] for r in got}
+    for s, t in want.items():
+        assert abs(sum(r["size"] * r["copies"] for r in got if r["_row"]["source"] == s) - t) <= 5
+    again = mix(df.repartition(7), F.col("n"), chunk=32).collect()
+    key = lambda rows: sorted(str((r["_row"]["doc_id"], r["_row"]["source"], r["copies"])) for r in rows)
+    assert key(again) == key(got)

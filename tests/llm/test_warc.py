@@ -82,3 +82,14 @@ def test_the_query_reads_every_chunk_row(spark, tmp_path, monkeypatch):
     spark.createDataFrame([(1, "http://a.b/", page)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     assert [(r["payload_bytes"], r["record_type"]) for r in warc.op9_warc(spark, str(tmp_path)).collect()] == [(len(page), "response")]
     assert sorted((r["chunk"], len(r["data"])) for r in made[0].collect()) == [(0, CHUNK), (1, CHUNK), (2, CHUNK), (3, 5)]
+
+
+def test_revisits_are_checked_against_what_was_read(spark):
+    from findara.llm.warc import check_revisits
+
+    rows = [("a", "response", None, "x", 5), ("b", "revisit", "a", "x", 5), ("c", "revisit", "a", "x", 5)]
+    schema = "record_id string, record_type string, refers_to string, digest string, size long"
+    check_revisits(spark.createDataFrame(rows, schema))
+    for wrong in (("d", "revisit", "a", "y", 5), ("d", "revisit", "a", "x", 6), ("d", "revisit", "z", "x", 5)):
+        with pytest.raises(ValueError, match="does not have the payload"):
+            check_revisits(spark.createDataFrame([*rows, wrong], schema))
