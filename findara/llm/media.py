@@ -18,8 +18,8 @@ from .webp import decode_grey, encode_grey
 
 #: Samples of an image row; payloads are filled up to whole rows, at least one, with this byte.
 WIDTH, FILL = 576, 255
-#: Rows of an image: longer payloads are several images, one after the other, so decoding them stays in step.
-ROWS = 16
+#: Most rows of an image of the format: longer payloads are several files, one after the other.
+ROWS = 1 << 14
 #: Payload bytes that are encoded, and stored bytes that are decoded, at a time; and rows.
 SLICE, STORED, MANY = 6 << 20, 4 << 20, 1 << 13
 
@@ -29,7 +29,7 @@ def filled(payload: bytes) -> bytes:
 
 
 def to_media(payloads: list[bytes]) -> list[bytes]:
-    """Each filled payload as one or more WebP files that follow each other; the same bytes give the same files."""
+    """Each filled payload as a WebP file, from 9 MB on as several that follow each other; the same bytes give the same files."""
     frames, owners = [], []
     for k, p in enumerate(payloads):
         data = np.frombuffer(p, np.uint8)
@@ -43,7 +43,12 @@ def to_media(payloads: list[bytes]) -> list[bytes]:
 
 
 def store(df: DataFrame, payload: Column, id_col: str = "doc_id") -> DataFrame:
-    """``<id_col>, n_bytes, media``, a row for each row: the payload (binary, null as empty) as lossless images."""
+    """``<id_col>, n_bytes, media``, a row for each row: the payload (binary, null as empty) as a lossless image.
+
+    An empty payload is a row of filling.  Rows that repeat are stored alike, each for itself; an empty table gives an
+    empty result.  Whole payloads are stored, a slice of ``SLICE`` bytes of rows at a time and a longer one by itself.
+    Other columns are not read, so their names may clash with ours.
+    """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -71,7 +76,8 @@ def load(stored: DataFrame, id_col: str = "doc_id", pixels: bool = True) -> Data
     """Decode stored media: ``<id_col>, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes,
     media_sha256, feature`` and, if asked, ``pixels`` (8-bit samples, rows of ``WIDTH``).
 
-    Damaged media are an error, not a row.
+    Rows stay rows, repeated ones too; an empty table gives an empty result.  A null or damaged medium is an error, not
+    a row.  Columns beside these three are an error as well, as nothing is known of them.
     """
     fields = [("payload_bytes", T.LongType()), ("payload_sha256", T.StringType()), ("tail_crc32", T.LongType()), ("media_bytes", T.LongType()), ("media_sha256", T.StringType()), ("feature", T.StringType())]
     fields += [("pixels", T.BinaryType())] if pixels else []

@@ -2,8 +2,11 @@
 
 The decoder reads prefix codes (simple and normal, several groups), literals, back-references and the colour cache,
 inverts the predictor, cross-colour, subtract-green and palette transforms and gives ARGB arrays.  The encoder
-writes any of these as asked.  For columns of many small images, frames whose green code alone has bits are decoded
-in step, one lane a frame; a lane that meets anything but a literal goes on in the whole decoder.
+writes any of these as asked.  For columns of grey images it takes, image by image, what is shortest: the samples,
+their steps from the left neighbour (predictor), or a palette of few samples with several to a pixel.
+
+Frames whose green code alone has bits are decoded many steps at once: small ones side by side, one lane a frame,
+large ones in blocks of bits.  What meets anything but a literal goes on in the whole decoder.
 """
 
 from __future__ import annotations
@@ -36,6 +39,10 @@ NEAR = [
 
 #: Longest code of frames that are decoded in step.
 LANE_BITS = 11
+#: Pixels from which a frame is decoded in blocks; bits of a block; bytes of a stream that are looked at together.
+LARGE, BLOCK, SEGMENT = 1 << 14, 512, 1 << 18
+#: Literals whose bits are put together at a time.
+TOGETHER = 1 << 20
 
 
 class Bits:
@@ -432,6 +439,11 @@ def each_cell(cell: np.ndarray, bits: int, width: int, height: int) -> np.ndarra
 
 
 def predictor_inverse(pixels: np.ndarray, width: int, height: int, bits: int, modes: np.ndarray) -> np.ndarray:
+    if (modes >> 8 & 15 == 1).all():  # the left one, but the upper one in the first column: running sums
+        grid = pixels.reshape(height, width).copy()
+        grid[0, 0] = added(int(grid[0, 0]), BLACK)
+        grid[:, 0] = sums_of_channels(grid[:, 0])
+        return sums_of_channels(grid).ravel()
     mode = each_cell(modes >> 8 & 15, bits, width, height).tolist()
     out = pixels.tolist()
     for at in range(len(out)):
@@ -488,9 +500,11 @@ def palette_forward(pixels: np.ndarray, width: int, height: int, colours: np.nda
 
 
 def sums_of_channels(deltas: np.ndarray) -> np.ndarray:
-    """Running sums, channel by channel."""
-    parts = np.stack([deltas >> k & 255 for k in (24, 16, 8, 0)]).astype(np.int64).cumsum(axis=1) & 255
-    return sum((parts[k] << s for k, s in enumerate((24, 16, 8, 0))), np.zeros(len(deltas), np.int64)).astype(np.uint32)
+    """Running sums along the last axis, channel by channel."""
+    out = np.zeros(deltas.shape, np.uint32)
+    for k in (24, 16, 8, 0):
+        out |= (deltas >> np.uint32(k)).astype(np.uint8).cumsum(axis=-1, dtype=np.uint8).astype(np.uint32) << np.uint32(k)
+    return out
 
 
 @dataclass
@@ -693,16 +707,69 @@ def encode(image: np.ndarray, transforms: list[tuple] = (), cache_bits: int = 0,
 # Grey frames in batches.
 
 
+def entropy_bits(counts: np.ndarray) -> float:
+    """About how many bits so many symbols of each kind take, with what their code takes."""
+    some = counts[counts > 0]
+    return float(some @ np.log2(some.sum() / some)) + 6.0 * len(some)
+
+
+def grey_plan(f: np.ndarray, width: int) -> tuple[int | None, np.ndarray, np.ndarray]:
+    """What is shortest for a frame of 8-bit samples: a transform, the green values to code, and the palette.
+
+    None: the samples; PREDICTOR: steps from the left neighbour, in the first column from the upper one; PALETTE: for
+    at most 16 different samples, several to a pixel.
+    """
+    counts = np.bincount(f, minlength=256)
+    values = np.flatnonzero(counts).astype(np.uint8)
+    if len(values) <= 16:
+        shared = palette_bits(len(values))
+        each = 1 << shared
+        index = np.searchsorted(values, f).reshape(-1, width)
+        index = np.pad(index, ((0, 0), (0, -width % each))).reshape(-1, each)
+        return PALETTE, (index << (np.arange(each) * (8 >> shared))).sum(axis=1).astype(np.uint8), values
+    steps = np.diff(f, prepend=np.uint8(0))
+    steps[width::width] = f[width::width] - f[:-width:width]
+    if entropy_bits(np.bincount(steps, minlength=256)) < 0.98 * entropy_bits(counts):
+        return PREDICTOR, steps, values
+    return None, f, values
+
+
+def _write_single(out: BitsOut, *symbols: int) -> None:
+    """Codes of one symbol, which take no bits."""
+    for s in symbols:
+        one = np.zeros(256, np.int64)
+        one[s] = 1
+        write_code(out, one)
+
+
+def _write_head(out: BitsOut, kind: int | None, values: np.ndarray, width: int, height: int) -> None:
+    """All up to the codes: size, no alpha, version 0, transforms, no cache, no groups."""
+    out.write(SIGNATURE | (width - 1) << 8 | (height - 1) << 22, 40)
+    if kind == PALETTE:
+        out.write(1 | PALETTE << 1, 3)
+        out.write(len(values) - 1, 8)
+        grey = [BLACK | int(v) * 0x010101 for v in values]
+        _write_entropy(out, np.array([subtracted(c, b) for c, b in zip(grey, [0, *grey])], np.uint32), len(grey), False)
+    else:
+        out.write(1 | SUBTRACT_GREEN << 1, 3)
+        if kind == PREDICTOR:
+            out.write(1 | PREDICTOR << 1 | 7 << 3, 6)  # cells of 512 pixels, all in mode 1
+            out.write(0, 1)
+            _write_single(out, 1, 0, 0, 255, 0)
+    out.write(0, 3)
+
+
 def encode_grey(frames: list[np.ndarray], width: int) -> list[bytes]:
     """A WebP file of each array of 8-bit samples, whose number is a multiple of ``width``.
 
-    Grey by the subtract-green transform: red and blue are constant, so the green code alone takes bits.  A run
-    of one value at the end is a back-reference to the sample before it; the rest are literals.
+    Red, blue and alpha are constant, by the subtract-green transform or the palette, so the green code alone takes
+    bits.  A run of one value at the end is a back-reference to the pixel before it; the rest are literals.
     """
-    heads, tails, counts, sizes, codes = [], [], [], [], []
-    for f in frames:
+    heads, tails, counts, whole, sizes, codes, literals = [], [], [], [], [], [], []
+    for samples in frames:
+        kind, f, values = grey_plan(samples, width)
         differs = np.flatnonzero(f[::-1] != f[-1])
-        run = int(differs[0]) if len(differs) else len(f)  # samples of the last value at the end
+        run = int(differs[0]) if len(differs) else len(f)  # pixels of the last value at the end
         run = min(run - 1, 4096) if run > 8 else 0
         literal = len(f) - run
         count = np.bincount(f[:literal], minlength=LITERALS + LENGTHS)
@@ -713,44 +780,48 @@ def encode_grey(frames: list[np.ndarray], width: int) -> list[bytes]:
         code = codes_for(length)
         alone = np.count_nonzero(length) < 2
         out = BitsOut()
-        out.write(SIGNATURE | (width - 1) << 8 | (len(f) // width - 1) << 22, 40)  # no alpha, version 0
-        out.write(1 | SUBTRACT_GREEN << 1, 6)  # one transform; no cache, no groups
+        _write_head(out, kind, values, width, len(samples) // width)
         write_code(out, length)
-        one = np.zeros(256, np.int64)
-        for symbol in (0, 0, 255):
-            one[:] = 0
-            one[symbol] = 1
-            write_code(out, one)
+        _write_single(out, 0, 0, 0 if kind == PREDICTOR else 255)
         distance = np.zeros(DISTANCES, np.int64)
-        distance[1 if run else 0] = 1  # code 2 is the sample before
+        distance[1 if run else 0] = 1  # code 2 is the pixel before
         write_code(out, distance)
         if alone:
             length = np.zeros_like(length)
         heads.append(out)
         tails.append((int(code[LITERALS + s]) | extra << int(length[LITERALS + s]), int(length[LITERALS + s]) + more) if run else (0, 0))
         counts.append(literal)
-        sizes.append(length[:LITERALS])
-        codes.append(code[:LITERALS])
-    # All literals' bits at once: each code adds to two 32-bit words at most.
-    n = np.array(counts)
-    which = np.repeat(np.arange(len(frames), dtype=np.int32) * LITERALS, n)
-    index = which + (np.concatenate([f[:k] for f, k in zip(frames, counts)]) if frames else np.zeros(0, np.uint8))
-    size = np.concatenate(sizes).astype(np.uint8)[index] if frames else np.zeros(0, np.uint8)
-    value = np.concatenate(codes).astype(np.uint64)[index] if frames else np.zeros(0, np.uint64)
-    ends = np.cumsum(size, dtype=np.int64)
-    bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(n)])]
-    first, whole = bounds[:-1], np.diff(bounds)
-    head = np.array([h.length() for h in heads], np.int64)
-    tail = np.array([t[1] for t in tails], np.int64)
+        whole.append(int(np.bincount(f[:literal], minlength=LITERALS) @ length[:LITERALS]))
+        sizes.append(length[:LITERALS].astype(np.uint8))
+        codes.append(code[:LITERALS].astype(np.uint16))
+        literals.append(f[:literal])
+    if not frames:
+        return []
+    # The literals' bits, many at once: each code adds to two 32-bit words at most.
+    head, tail = np.array([h.length() for h in heads], np.int64), np.array([t[1] for t in tails], np.int64)
+    whole = np.array(whole, np.int64)
     length = (head + whole + tail + 7) >> 3
     start = np.cumsum(length) - length
-    at = ends - size + np.repeat(8 * start + head - first, n)
-    value <<= (at & 31).astype(np.uint64)
-    at >>= 5
-    many = (int(length.sum()) >> 2) + 2
-    low = np.bincount(at, weights=(value & np.uint64(0xFFFFFFFF)).astype(float), minlength=many)
-    low[1:] += np.bincount(at, weights=(value >> np.uint64(32)).astype(float), minlength=many)[:-1]
-    data = low.astype("<u4").view(np.uint8)
+    shift = 8 * start + head - (np.cumsum(whole) - whole)
+    words = np.zeros((int(length.sum()) >> 2) + 2)
+    flat, size_of, code_of_ = np.concatenate(literals), np.concatenate(sizes), np.concatenate(codes)
+    bounds = np.concatenate([[0], np.cumsum(counts)])
+    done = 0
+    for a in range(0, len(flat), TOGETHER):
+        part = flat[a : a + TOGETHER]
+        own = np.diff(np.clip(bounds, a, a + len(part)))
+        index = np.repeat(np.arange(len(frames), dtype=np.int32) * LITERALS, own) + part
+        size, value = size_of[index], code_of_[index].astype(np.uint64)
+        ends = np.cumsum(size, dtype=np.int64) + done
+        done = int(ends[-1])
+        at = ends - size + np.repeat(shift, own)
+        value <<= (at & 31).astype(np.uint64)
+        at >>= 5
+        first = int(at[0])
+        many = int(at[-1]) - first + 2
+        words[first : first + many] += np.bincount(at - first, weights=(value & np.uint64(0xFFFFFFFF)).astype(float), minlength=many)
+        words[first + 1 : first + many] += np.bincount(at - first, weights=(value >> np.uint64(32)).astype(float), minlength=many)[:-1]
+    data = words.astype("<u4").view(np.uint8)
     out = []
     for k, h in enumerate(heads):
         part = data[start[k] : start[k] + length[k]]
@@ -766,25 +837,113 @@ def encode_grey(frames: list[np.ndarray], width: int) -> list[bytes]:
 
 
 def decode_grey(files: list[bytes]) -> list[np.ndarray]:
-    """The 8-bit samples of each image of grey WebP files (their green channel), in order."""
+    """The 8-bit samples of the images of grey WebP files (their green channel), in order."""
     images = [(k, Image.read(chunk)) for k, f in enumerate(files) for chunk in contained(f)]
     lanes, out = [], [None] * len(images)
     for k, (_, image) in enumerate(images):
         e = image.entropy
-        simple = not e.cache_bits and len(e.groups) == 1 and not any(c.bits for c in e.groups[0][RED : ALPHA + 1])
-        if simple and 0 < e.groups[0][GREEN].bits <= LANE_BITS and [t[0] for t in image.transforms] == [SUBTRACT_GREEN]:
+        simple = not e.cache_bits and len(e.groups) == 1 and not any(c.bits for c in e.groups[0][RED : ALPHA + 1]) and e.groups[0][GREEN].bits
+        if simple and e.width * e.height < LARGE and e.groups[0][GREEN].bits <= LANE_BITS:
             lanes.append(k)
+        elif simple:
+            out[k] = _samples(image, _in_blocks(e))
         else:
             out[k] = (image.finished(e.pixels()) >> 8 & 255).astype(np.uint8)
-    for k, samples in zip(lanes, _in_step([images[k][1] for k in lanes])):
-        out[k] = samples
-    return [np.concatenate([o for o, (f, _) in zip(out, images) if f == k] or [np.zeros(0, np.uint8)]) for k in range(len(files))] if len(images) != len(files) else out
+    for k, green in zip(lanes, _in_step([images[k][1] for k in lanes])):
+        out[k] = _samples(images[k][1], green)
+    parts: list[list[np.ndarray]] = [[] for _ in files]
+    for (k, _), o in zip(images, out):
+        parts[k].append(o)
+    return [p[0] if len(p) == 1 else np.concatenate([*p, np.zeros(0, np.uint8)]) for p in parts]
+
+
+def _samples(image: Image, green: np.ndarray) -> np.ndarray:
+    """A grey image's samples from its coded green values; the other channels' codes have one symbol each."""
+    if [t[0] for t in image.transforms] in ([], [SUBTRACT_GREEN]):
+        return green
+    red, blue, alpha = (c.list[0] >> 4 for c in image.entropy.groups[0][RED : ALPHA + 1])
+    pixels = green.astype(np.uint32) << np.uint32(8) | np.uint32(alpha << 24 | red << 16 | blue)
+    return (image.finished(pixels) >> 8 & 255).astype(np.uint8)
+
+
+def _rest(entropy: Entropy, green: np.ndarray, done: int, bit: int) -> None:
+    """Fill in the green values from ``done`` on; at ``bit`` of the stream stands something else than a literal."""
+    entropy.source.at = bit
+    codes = entropy.groups[0]
+    length, distance = entropy.reference(codes) if codes[GREEN].list[entropy.source.peek() & ((1 << codes[GREEN].bits) - 1)] >> 4 < LITERALS + LENGTHS else (0, 0)
+    if 0 < distance <= done and done + length == len(green):  # it fills the frame
+        green[done:] = np.resize(green[done - distance : done], length)
+    else:
+        entropy.source.at = bit
+        red, blue, alpha = (c.list[0] >> 4 for c in codes[RED : ALPHA + 1])
+        green[done:] = entropy.pixels((green[:done].astype(np.int64) << 8 | alpha << 24 | red << 16 | blue).tolist())[done:] >> 8 & 255
+
+
+def _in_blocks(entropy: Entropy) -> np.ndarray:
+    """A large image's green values.
+
+    Which bit a code ends at is worked out for every bit of a segment of the stream at once.  The segment is cut into
+    blocks; for each of the few bits at which a block's first code can begin, the blocks find in step where their
+    last code ends; these maps give every block's true beginning, and from there the blocks are read in step.
+    """
+    code, data = entropy.groups[0][GREEN], entropy.source.data
+    out = np.zeros(entropy.width * entropy.height, np.uint8)
+    at, done = entropy.source.at, 0
+    while done < len(out):
+        if at >= 8 * len(data):
+            raise ValueError("the image ends too early")
+        part = np.frombuffer(data[at >> 3 : (at >> 3) + SEGMENT + 3].ljust(SEGMENT + 3 if len(data) - (at >> 3) > SEGMENT else len(data) - (at >> 3) + 3, b"\0"), np.uint8).astype(np.uint32)
+        words = part[:-3] | part[1:-2] << np.uint32(8) | part[2:-1] << np.uint32(16) | part[3:] << np.uint32(24)
+        bits = 8 * len(words)
+        entry = np.empty(bits, np.uint16)
+        for k in range(8):
+            entry[k::8] = code.table[words >> np.uint32(k) & np.uint32((1 << code.bits) - 1)]
+        step = np.where(entry < LITERALS << 4, entry & 15, 0).astype(np.uint8)
+        start = np.arange(at & 7, bits, BLOCK)
+        end = np.minimum(start + BLOCK, bits)
+        place = (start[:, None] + np.arange(code.bits)).ravel()
+        limit = np.repeat(end, code.bits)
+        live = np.flatnonzero(place < limit)
+        while len(live):
+            n = step[place[live]]
+            place[live] += n
+            live = live[(n > 0) & (place[live] < limit[live])]
+        ended = place.reshape(-1, code.bits).tolist()
+        begin, first, stopped = [], 0, False
+        for k, (s, e) in enumerate(zip(start.tolist(), end.tolist())):
+            begin.append(s + first)
+            last = ended[k][first]
+            if stopped := last < e:
+                break
+            first = last - e
+        place = np.array(begin)
+        limit = end[: len(place)]
+        found = np.zeros((BLOCK, len(place)), np.uint8)
+        n_found = np.zeros(len(place), np.int64)
+        live, turn = np.flatnonzero((place < limit) & (step[np.minimum(place, bits - 1)] > 0)), 0
+        while len(live):
+            p = place[live]
+            found[turn, live] = entry[p] >> 4
+            n_found[live] += 1
+            place[live] = p = p + step[p]
+            inside = p < limit[live]
+            live = live[inside]
+            live = live[step[place[live]] > 0]
+            turn += 1
+        green = found.T[np.arange(BLOCK) < n_found[:, None]][: len(out) - done]
+        out[done : done + len(green)] = green
+        done += len(green)
+        at = 8 * (at >> 3) + last
+        if stopped and done < len(out):
+            _rest(entropy, out, done, at)
+            break
+    return out
 
 
 def _in_step(images: list[Image]) -> list[np.ndarray]:
     if not images:
         return []
-    total = np.array([i.width * i.height for i in images])
+    total = np.array([i.entropy.width * i.entropy.height for i in images])
     order = np.argsort(-total, kind="stable")
     images, total = [images[k] for k in order], total[order]
     chunks = [i.entropy.source.data for i in images]
@@ -821,14 +980,7 @@ def _in_step(images: list[Image]) -> list[np.ndarray]:
             lane, base, at, place, left = (a[:alive] for a in (lane, base, at, place, left))
     ends = 8 * (np.cumsum(size) - size)
     for k, done, bit in unfinished:
-        entropy, mine = images[k].entropy, out[begin[k] : begin[k] + total[k]]
-        entropy.source.at = bit - int(ends[k])
-        length, distance = entropy.reference(entropy.groups[0])
-        if distance <= done and done + length == len(mine):  # it fills the frame
-            mine[done:] = np.resize(mine[done - distance : done], length)
-        else:  # red, blue and alpha do not matter for the green channel
-            entropy.source.at = bit - int(ends[k])
-            mine[:] = entropy.pixels((mine[:done].astype(np.int64) << 8 | BLACK).tolist()) >> 8 & 255
+        _rest(images[k].entropy, out[begin[k] : begin[k] + total[k]], done, bit - int(ends[k]))
     samples = [None] * len(images)
     for k, o in enumerate(order):
         samples[o] = out[begin[k] : begin[k] + total[k]]

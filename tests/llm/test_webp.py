@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from findara.llm.media import WIDTH, filled, load, store, to_media
-from findara.llm.webp import BLACK, CROSS_COLOUR, PALETTE, PREDICTOR, SUBTRACT_GREEN, decode, decode_grey, encode, encode_grey, lengths_for
+from findara.llm.webp import BLACK, CROSS_COLOUR, PALETTE, PREDICTOR, SUBTRACT_GREEN, decode, decode_grey, encode, encode_grey, grey_plan, lengths_for
 
 rng = np.random.default_rng(4)
 
@@ -73,6 +73,10 @@ def test_code_lengths():
 
 def test_grey_frames_of_all_kinds():
     frames = [np.frombuffer(filled(t.encode()), np.uint8) for t in ("", "a", "hello world " * 300, "é" * 500)]
+    long = "".join(chr(97 + int(k)) for k in rng.geometric(0.2, 60_000).clip(1, 26))
+    frames += [np.frombuffer(filled(t.encode()), np.uint8) for t in (long, "ab" * 20_000, "x" * 30_000, long[:20_000] + "y" * 3000 + long[:9000])]
+    frames += [rng.integers(0, 256, WIDTH * 40, dtype=np.uint8), np.cumsum(rng.integers(0, 3, WIDTH * 50)).astype(np.uint8), np.cumsum(rng.integers(0, 3, WIDTH * 3)).astype(np.uint8)]
+    frames += [rng.integers(0, n, WIDTH * h, dtype=np.uint8) * 3 for n in (2, 3, 4, 5, 16, 17) for h in (2, 60)]
     frames += [np.full(WIDTH, 7, np.uint8), np.array([1, 2] * 288, np.uint8), np.arange(WIDTH).astype(np.uint8), rng.integers(0, 256, WIDTH * 5, dtype=np.uint8)]
     files = encode_grey(frames, WIDTH)
     assert all((a == b).all() for a, b in zip(frames, decode_grey(files)))
@@ -81,6 +85,38 @@ def test_grey_frames_of_all_kinds():
         assert (image.ravel() == (0xFF000000 | f.astype(np.uint32) * 0x010101)).all()
 
 
+def test_shortest_transform_is_taken():
+    plans = {name: grey_plan(f, WIDTH)[0] for name, f in {
+        "prose": np.frombuffer(filled(b"It was the best of times, it was the worst of times (1859)! " * 40), np.uint8),
+        "few": np.frombuffer(filled(b"0110" * 500), np.uint8),
+        "slope": np.cumsum(rng.integers(0, 3, WIDTH * 9)).astype(np.uint8),
+    }.items()}
+    assert plans == {"prose": None, "few": PALETTE, "slope": PREDICTOR}
+
+
+@pytest.mark.parametrize("segment,block", [(64, 32), (1000, 512)])
+def test_segments_and_blocks_do_not_show(monkeypatch, segment, block):
+    monkeypatch.setattr("findara.llm.webp.SEGMENT", segment)
+    monkeypatch.setattr("findara.llm.webp.BLOCK", block)
+    monkeypatch.setattr("findara.llm.webp.LARGE", 1)
+    monkeypatch.setattr("findara.llm.webp.TOGETHER", 700)
+    frames = [np.frombuffer(filled(t), np.uint8) for t in (b"", b"abc", b"some words of a text, and more. " * 90)] + [rng.integers(0, 256, WIDTH * 4, dtype=np.uint8), rng.integers(0, 9, WIDTH * 4, dtype=np.uint8)]
+    assert all((a == b).all() for a, b in zip(frames, decode_grey(encode_grey(frames, WIDTH))))
+
+
+def test_foreign_streams_of_grey_images():
+    """Back-references, a colour cache and other transforms within large grey images."""
+    small = np.frombuffer(filled(b"the same words again and again; " * 700), np.uint8)
+    image = (BLACK | small.astype(np.uint32) * 0x010101).reshape(-1, WIDTH)
+    for options in ({"transforms": [(SUBTRACT_GREEN,)]}, {"cache_bits": 6}, {"transforms": [(PALETTE,)], "references": False}, {"transforms": [(SUBTRACT_GREEN,), (PALETTE,)], "cache_bits": 2}):
+        assert (decode_grey([encode(image, **options)] * 2)[1] == small).all()
+
+
+def test_one_file_a_payload():
+    (stored,) = to_media([filled(b"a text of some length. " * 30_000)])
+    assert len(stored) == 8 + int.from_bytes(stored[4:8], "little") and len(decode(stored)) == 1
+
+
 def test_column(awkward, empty):
     texts = {str(r["doc_id"]): (r["text"] or "").encode() for r in awkward.collect()}
     rows = load(store(awkward, F.encode(F.coalesce("text", F.lit("")), "UTF-8"))).collect()
