@@ -9,8 +9,10 @@ Equal fingerprints are one node, so copies cost nothing.  A bucket gives at most
 (a spanning forest, from which connected components come out the same), never all pairs; a bucket too large for
 one task is dealt out in tiles.  Components come from alternating large-star and small-star steps.
 
-Where links only propose and are verified afterwards, a forest is not enough: a link that fails would take others
-with it.  There every pair within the distance is proposed, except between nodes that verified links join already.
+Where links only propose, they are verified where they are found, and the forest is made of verified links.  A
+bucket then gives its members, those rows that have a partner in it, each with its set of shingles; a task compares
+the sets of a bucket's members that are within the distance and not joined yet, and gives the links that join them.
+So no pair is ever a row, and none within the distance goes unseen.
 """
 
 from __future__ import annotations
@@ -19,7 +21,6 @@ from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -32,8 +33,8 @@ from .common import documents, in_small_batches, lean, spread_join, written
 CHUNK = 1 << 20
 #: Rows of a bucket that one task compares; more are dealt out in tiles of this many.
 TILE = 8192
-#: Rows up to which a bucket gives all its pairs, links a row beyond which a bucket is dense, rows of a block of such.
-SMALL, DENSE, BLOCK = 48, 24, 1024
+#: Rows up to which buckets are compared side by side; members whose sets a task compares, and bytes of those sets.
+SMALL, BLOCK, HELD = 48, 1024, 32 << 20
 #: Edges that one task joins at a time.
 EDGES = 1 << 20
 #: Odd multipliers from the golden ratio, for further hash words of a shingle.
@@ -203,139 +204,235 @@ def _forest(fps: np.ndarray, plan: Plan, variant: int, side: np.ndarray | None =
     return left, right
 
 
-def _every(fps: np.ndarray, plan: Plan, variant: int, side: np.ndarray | None = None, root: np.ndarray | None = None, most: int | None = None) -> tuple[list[int], list[int]] | None:
-    """All links, or None once there are more than ``most``; ``side`` as in :func:`_forest`, rows of one ``root`` need none."""
-    left, right = [], []
-    for at in range(len(fps) - 1):
-        near = plan.linked(fps[at + 1 :], fps[at], variant)
-        if side is not None:
-            near &= side[at + 1 :] != side[at]
-        if root is not None:
-            near &= root[at + 1 :] != root[at]
-        found = (np.flatnonzero(near) + at + 1).tolist()
-        left += [at] * len(found)
-        right += found
-        if most is not None and len(left) > most:
-            return None
-    return left, right
+def _numbers(b: pa.RecordBatch, columns: list[str]) -> list[np.ndarray]:
+    return [b[c].to_numpy() for c in columns]
 
 
-def _links(plan: Plan, tile: int, every: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows (_v, _key, _node, lanes), sorted by variant and key, to links (_a, _b) and rows of overfull buckets.
+def _whole_buckets(batches: Iterator[pa.RecordBatch], columns: list[str], tile: int) -> Iterator[tuple[bool, list[np.ndarray]]]:
+    """Rows (_v, _key, ``columns``), sorted by variant and key, as (whether overfull, columns).
 
-    ``every``: buckets give all their links; those with too many for that are passed on like overfull ones.
+    Whole buckets, many at a time, or parts of a bucket that has more than ``tile`` rows.
     """
+    rest: list[np.ndarray] | None = None
+    overfull = None  # the bucket that is being passed on
+    for b in batches:
+        if not b.num_rows:
+            continue
+        rows = _numbers(b, ["_v", "_key", *columns])
+        if overfull is not None:
+            more = (rows[0] == overfull[0]) & (rows[1] == overfull[1])
+            if more.any():
+                yield True, [c[more] for c in rows]
+                rows = [c[~more] for c in rows]
+            if not len(rows[0]):
+                continue
+            overfull = None
+        if rest is not None:
+            rows = [np.concatenate(x) for x in zip(rest, rows)]
+        last = (rows[0] == rows[0][-1]) & (rows[1] == rows[1][-1])  # this bucket may go on
+        rest = [c[last] for c in rows]
+        if not last.all():
+            yield False, [c[~last] for c in rows]
+        if len(rest[0]) > tile:
+            yield True, rest
+            overfull, rest = (rest[0][0], rest[1][0]), None
+    if rest is not None:
+        yield False, rest
+
+
+def _bounds(*keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal keys begin, and the end."""
+    new = np.zeros(len(keys[0]) - 1, bool)
+    for k in keys:
+        new |= k[1:] != k[:-1]
+    return np.concatenate([[0], np.flatnonzero(new) + 1, [len(keys[0])]])
+
+
+def _side_by_side(plan: Plan, v: np.ndarray, bounds: np.ndarray, fp: np.ndarray) -> Iterator[tuple[np.ndarray, int]]:
+    """All links within buckets of at most ``SMALL`` rows, as (rows, step to their partners)."""
+    size = np.diff(bounds)
+    of, at = np.repeat(size, size), np.arange(len(v)) - np.repeat(bounds[:-1], size)
+    rows = np.flatnonzero((of > 1) & (of <= SMALL))
+    for step in range(1, SMALL):
+        rows = rows[at[rows] + step < of[rows]]
+        if not len(rows):
+            break
+        yield rows[plan.linked(fp[rows], fp[rows + step], v[rows])], step
+
+
+def _links(plan: Plan, tile: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (_v, _key, _node, lanes), sorted by variant and key, to links (_a, _b) and rows of overfull buckets."""
     lanes = [f"_fp{k}" for k in range(plan.lanes)]
     names = ["_a", "_b", "_v", "_key", "_node", *lanes]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None = None
-        overfull = None  # the bucket that is being passed on
-
-        def passed(v: np.ndarray, key: np.ndarray, node: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
-            none = pa.nulls(len(v), pa.int64())
-            return pa.RecordBatch.from_arrays([none, none, pa.array(v), pa.array(key), pa.array(node), *(pa.array(c) for c in fp.view(np.int64).T.copy())], names)
-
-        def link(v: np.ndarray, key: np.ndarray, node: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
-            """Whole buckets."""
-            start = np.flatnonzero(np.concatenate([[True], (v[1:] != v[:-1]) | (key[1:] != key[:-1])]))
-            size = np.diff(np.append(start, len(v)))
+        for overfull, (v, key, node, *words) in _whole_buckets(batches, ["_node", *lanes], tile):
+            if overfull:
+                none = pa.nulls(len(v), pa.int64())
+                yield pa.RecordBatch.from_arrays([none, none, *map(pa.array, (v, key, node, *words))], names)
+                continue
+            fp, bounds = np.stack(words, axis=1).view(np.uint64), _bounds(v, key)
             lefts, rights = [], []
-            of = np.repeat(size, size)
-            at = np.arange(len(v)) - np.repeat(start, size)
-            rows = np.flatnonzero((of > 1) & (of <= SMALL))
-            for step in range(1, SMALL):
-                rows = rows[at[rows] + step < of[rows]]
-                if not len(rows):
-                    break
-                near = rows[plan.linked(fp[rows], fp[rows + step], v[rows])]
-                lefts.append(node[near])
-                rights.append(node[near + step])
-            for s, n in zip(start[size > SMALL], size[size > SMALL]):
-                own = fp[s : s + n]
-                found = _every(own, plan, int(v[s]), most=DENSE * int(n)) if every else _forest(own, plan, int(v[s]))
-                if found is None:
-                    yield passed(v[s : s + n], key[s : s + n], node[s : s + n], own)
-                    continue
-                lefts.append(node[s + np.array(found[0], int)])
-                rights.append(node[s + np.array(found[1], int)])
+            for rows, step in _side_by_side(plan, v, bounds, fp):
+                lefts.append(node[rows])
+                rights.append(node[rows + step])
+            for s, e in zip(bounds[:-1], bounds[1:]):
+                if e - s > SMALL:
+                    found = _forest(fp[s:e], plan, int(v[s]))
+                    lefts.append(node[s + np.array(found[0], int)])
+                    rights.append(node[s + np.array(found[1], int)])
             a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (lefts, rights))
             if len(a):
                 none = pa.nulls(len(a), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.nulls(len(a), pa.int32()), none, none, *[none] * plan.lanes], names)
 
-        for b in batches:
-            if not b.num_rows:
+    return scan
+
+
+def _sharing(plan: Plan, v: int, fp: np.ndarray, root: np.ndarray | None = None, side: np.ndarray | None = None) -> np.ndarray:
+    """Which rows of a bucket have a partner within the distance, of another root and on the other side if those are given."""
+    out = np.zeros(len(fp), bool)
+    for at in range(len(fp) - 1):
+        near = plan.linked(fp[at + 1 :], fp[at], v)
+        if side is not None:
+            near &= side[at + 1 :] != side[at]
+        if root is not None:
+            near &= root[at + 1 :] != root[at]
+        if near.any():
+            out[at] = True
+            out[at + 1 :] |= near
+    return out
+
+
+#: What a member is, besides its lanes: bucket, pair of blocks and its own of them, node, shingles, known root.
+MEMBER = {"_v": "int", "_key": "long", "_i": "int", "_j": "int", "_mine": "int", "_node": "long", "_n": "long", "_root": "long"}
+
+
+def _members(plan: Plan, tile: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (_v, _key, _node, _n, lanes), sorted by variant and key, to members and, with null blocks, rows of overfull buckets.
+
+    A bucket with many members, or large sets, is dealt out in blocks; every pair of blocks is one group.
+    """
+    lanes = [f"_fp{k}" for k in range(plan.lanes)]
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for overfull, (v, key, node, n, *words) in _whole_buckets(batches, ["_node", "_n", *lanes], tile):
+            if overfull:
+                none = pa.nulls(len(v), pa.int32())
+                yield pa.RecordBatch.from_arrays([*map(pa.array, (v, key)), none, none, none, *map(pa.array, (node, n, node, *words))], [*MEMBER, *lanes])
                 continue
-            v, key, node = b["_v"].to_numpy(), b["_key"].to_numpy(), b["_node"].to_numpy()
-            fp = np.stack([b[c].to_numpy() for c in lanes], axis=1).view(np.uint64)
-            if overfull is not None:
-                more = (v == overfull[0]) & (key == overfull[1])
-                if more.any():
-                    yield passed(v[more], key[more], node[more], fp[more])
-                    v, key, node, fp = v[~more], key[~more], node[~more], fp[~more]
-                if not len(v):
-                    continue
-                overfull = None
-            if rest is not None:
-                v, key, node, fp = (np.concatenate(x) for x in zip(rest, (v, key, node, fp)))
-            last = (v == v[-1]) & (key == key[-1])  # this bucket may go on
-            rest = (v[last], key[last], node[last], fp[last])
-            if not last.all():
-                yield from link(v[~last], key[~last], node[~last], fp[~last])
-            if len(rest[0]) > tile:
-                yield passed(*rest)
-                overfull, rest = (rest[0][0], rest[1][0]), None
-        if rest is not None:
-            yield from link(*rest)
+            fp, bounds = np.stack(words, axis=1).view(np.uint64), _bounds(v, key)
+            member = np.zeros(len(v), bool)
+            for rows, step in _side_by_side(plan, v, bounds, fp):
+                member[rows] = member[rows + step] = True
+            for s, e in zip(bounds[:-1], bounds[1:]):
+                if e - s > SMALL:
+                    member[s:e] = _sharing(plan, int(v[s]), fp[s:e])
+            at = np.flatnonzero(member)
+            if not len(at):
+                continue
+            mine, other = np.zeros(len(at), np.int32), np.zeros(len(at), np.int32)
+            runs = _bounds(v[at], key[at])
+            extra = []
+            for s, e in zip(runs[:-1], runs[1:]):
+                blocks = max(-(-int(e - s) // BLOCK), -(-4 * int(n[at[s:e]].sum()) // HELD))
+                if blocks > 1:
+                    mine[s:e] = node[at[s:e]].view(np.uint64) * np.uint64(_GOLDEN) % np.uint64(blocks)
+                    extra += [(np.arange(s, e), k) for k in range(1, blocks)]
+            rows = np.concatenate([np.arange(len(at)), *(r for r, _ in extra)])
+            other = np.concatenate([other, *(np.full(len(r), k, np.int32) for r, k in extra)])
+            at, mine = at[rows], mine[rows]
+            columns = [v[at], key[at], np.minimum(mine, other), np.maximum(mine, other), mine, node[at], n[at], node[at], *(w[at] for w in words)]
+            for k in range(0, len(at), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(c[k : k + (1 << 16)]) for c in columns], [*MEMBER, *lanes])
 
     return scan
 
 
-def _tiled(big: DataFrame, plan: Plan, tile: int, every: bool = False) -> DataFrame:
-    """Links within overfull buckets: rows are dealt to blocks by hash, and every pair of blocks is one group.
+def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """The rows of each group, from rows sorted by their keys."""
+    waiting: list[pa.RecordBatch] = []  # of a group that may go on
+    last = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        bounds = _bounds(*_numbers(b, keys))
+        first = tuple(b[k][0].as_py() for k in keys)
+        if waiting and first != last:
+            yield pa.Table.from_batches(waiting)
+            waiting = []
+        for s, e in zip(bounds[:-2], bounds[1:-1]):
+            yield pa.Table.from_batches([*waiting, b.slice(s, e - s)])
+            waiting = []
+        waiting.append(b.slice(bounds[-2]))
+        last = tuple(b[k][b.num_rows - 1].as_py() for k in keys)
+    if waiting:
+        yield pa.Table.from_batches(waiting)
+
+
+def _grouped(rows: DataFrame, keys: list[str], of_group: Callable[[pa.Table], pa.RecordBatch | None], schema: str) -> DataFrame:
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made, n = [], 0
+        for group in _groups(batches, keys):
+            found = of_group(group)
+            if found is not None and found.num_rows:
+                made.append(found)
+                n += found.num_rows
+            if n > 1 << 16:
+                yield from pa.Table.from_batches(made).combine_chunks().to_batches()
+                made, n = [], 0
+        if made:
+            yield from pa.Table.from_batches(made).combine_chunks().to_batches()
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "_node").mapInArrow(lean(scan), schema)
+
 
-    ``every``: all links but those between rows of one ``_root``, not a spanning forest.
+def _tiled(big: DataFrame, plan: Plan, tile: int, contested: bool = False) -> DataFrame:
+    """Overfull buckets: rows are dealt to blocks by hash, and every pair of blocks is one group.
+
+    Gives links that join what is connected; or, if ``contested``, the members with a partner of another ``_root``.
     """
     lanes = [f"_fp{k}" for k in range(plan.lanes)]
-    sizes = big.groupBy("_v", "_key").agg(F.count("*").alias("_rows"))
-    blocks = F.ceil(F.col("_rows") / tile).cast("int")
-    rows = big.join(sizes, ["_v", "_key"]).withColumn("_blocks", blocks)
+    more = ["_n", "_root"] if contested else []
+    sizes = big.groupBy("_v", "_key").agg(F.count("*").alias("_rows"), *([F.sum("_n").alias("_sets")] if contested else []))
+    blocks = F.ceil(F.col("_rows") / tile)
+    blocks = F.greatest(blocks, F.ceil(F.col("_sets") * 4 / HELD)) if contested else blocks
+    rows = big.join(sizes, ["_v", "_key"]).withColumn("_blocks", blocks.cast("int"))
     rows = rows.withColumn("_mine", F.pmod(F.xxhash64("_node"), F.col("_blocks")).cast("int"))
     rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    more = ["_root"] if every else []
     rows = rows.select("_v", "_key", F.least("_mine", "_other").alias("_i"), F.greatest("_mine", "_other").alias("_j"), "_mine", "_node", *more, *lanes)
 
-    def tile_links(t: pd.DataFrame) -> pd.DataFrame:
-        fps = t[lanes].to_numpy().view(np.uint64)
-        side = None if t["_i"].iloc[0] == t["_j"].iloc[0] else (t["_mine"] == t["_i"]).to_numpy()
-        if every:
-            a, b = _every(fps, plan, int(t["_v"].iloc[0]), side, t["_root"].to_numpy())
-        else:
-            a, b = _forest(fps, plan, int(t["_v"].iloc[0]), side)
+    def of_group(t: pa.Table) -> pa.RecordBatch | None:
+        fp = np.stack([t[c].to_numpy() for c in lanes], axis=1).view(np.uint64)
+        v, i, j = (t[c][0].as_py() for c in ("_v", "_i", "_j"))
+        side = None if i == j else t["_mine"].to_numpy() == i
+        if contested:
+            found = t.filter(pa.array(_sharing(plan, v, fp, t["_root"].to_numpy(), side)))
+            return found.select([*MEMBER, *lanes]).combine_chunks().to_batches()[0] if len(found) else None
         node = t["_node"].to_numpy()
-        return pd.DataFrame({"_a": node[np.array(a, int)], "_b": node[np.array(b, int)]})
+        return pa.RecordBatch.from_arrays([pa.array(node[np.array(x, int)]) for x in _forest(fp, plan, v, side)], ["_a", "_b"])
+
+    schema = _member_schema(plan) if contested else "_a long, _b long"
+    return _grouped(rows, ["_v", "_key", "_i", "_j"], of_group, schema)
 
-    return rows.groupBy("_v", "_key", "_i", "_j").applyInPandas(tile_links, "_a long, _b long")
 
+def _member_schema(plan: Plan) -> str:
+    return ", ".join(f"{c} {kind}" for c, kind in (MEMBER | {f"_fp{k}": "long" for k in range(plan.lanes)}).items())
 
-def _buckets(fps: DataFrame, plan: Plan, tile: int, every: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Links ``_a, _b`` between nodes, and the rows of buckets that are passed on; ``fps``: ``_node`` and lanes."""
+
+def _indexed(fps: DataFrame, plan: Plan, more: list[str]) -> DataFrame:
+    """A row for each variant of each node, dealt and sorted by variant and key."""
     lanes = [f"_fp{k}" for k in range(plan.lanes)]
-    variants = plan.variants()
     signed = lambda x: x - (1 << 64) if x >> 63 else x
-    masks = F.array(*[F.lit(signed(m)).cast("long") for _, _, m in variants])
+    masks = F.array(*[F.lit(signed(m)).cast("long") for _, _, m in plan.variants()])
     # Each row becomes as many as there are variants: spread them first, however few files or partitions they fill.
     spread = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_node")
-    index = spread.select(F.posexplode(masks).alias("_v", "_mask"), "_node", *lanes)
+    index = spread.select(F.posexplode(masks).alias("_v", "_mask"), "_node", *more, *lanes)
     lane = F.col("_fp0")
     for k in range(1, plan.lanes):
         lane = F.when(F.col("_v") >= 64 * k, F.col(f"_fp{k}")).otherwise(lane)
-    index = index.select("_v", lane.bitwiseAND(F.col("_mask")).alias("_key"), "_node", *lanes)
-    dealt = index.repartition("_v", "_key").sortWithinPartitions("_v", "_key", "_node")
-    schema = "_a long, _b long, _v int, _key long, _node long, " + ", ".join(f"{c} long" for c in lanes)
-    found = written(dealt.mapInArrow(lean(_links(plan, tile, every)), schema), "simhash-links")
-    return found.filter("_b is not null").select("_a", "_b"), found.filter("_b is null").select("_v", "_key", "_node", *lanes)
+    index = index.select("_v", lane.bitwiseAND(F.col("_mask")).alias("_key"), "_node", *more, *lanes)
+    return index.repartition("_v", "_key").sortWithinPartitions("_v", "_key", "_node")
 
 
 def links(fps: DataFrame, plan: Plan, tile: int = TILE) -> DataFrame:
@@ -343,28 +440,86 @@ def links(fps: DataFrame, plan: Plan, tile: int = TILE) -> DataFrame:
 
     ``fps``: distinct rows ``_fp0, _fp1 ...``.
     """
-    pairs, big = _buckets(fps.withColumn("_node", F.col("_fp0")), plan, tile)
+    lanes = [f"_fp{k}" for k in range(plan.lanes)]
+    schema = "_a long, _b long, _v int, _key long, _node long, " + ", ".join(f"{c} long" for c in lanes)
+    found = written(_indexed(fps.withColumn("_node", F.col("_fp0")), plan, []).mapInArrow(lean(_links(plan, tile)), schema), "simhash-links")
+    pairs, big = found.filter("_b is not null").select("_a", "_b"), found.filter("_b is null").select("_v", "_key", "_node", *lanes)
     if big.head(1):
         pairs = pairs.unionByName(_tiled(big, plan, tile))
     return pairs  # a pair comes out of one bucket, and of one pair of blocks, only
 
 
-def verified_components(nodes: DataFrame, plan: Plan, verify: Callable[[DataFrame], DataFrame], tile: int = TILE) -> DataFrame:
-    """:func:`components` of all pairs that the plan links and ``verify`` keeps; ``nodes``: ``_node``, lanes.
+def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether two sorted sets have at least this Jaccard similarity; two empty ones have."""
+    if len(a) > len(b):
+        a, b = b, a
+    if len(a) < similarity * len(b):
+        return False
+    if not len(a):
+        return True
+    at = np.searchsorted(b, a)
+    common = int((b[np.minimum(at, len(b) - 1)] == a).sum())
+    return common >= similarity * (len(a) + len(b) - common)
+
+
+def _verified(plan: Plan, similarity: float) -> Callable[[pa.Table], pa.RecordBatch | None]:
+    """Of a group's members with their sets, the links that join what verified links connect, at most one a member."""
+    lanes = [f"_fp{k}" for k in range(plan.lanes)]
 
-    Buckets with so many links that all their pairs would be too many first propose a spanning forest, which joins
-    most of a group of copies, and then all links between nodes that verified links have not joined.
+    def of_group(t: pa.Table) -> pa.RecordBatch | None:
+        node, n = t["_node"].to_numpy(), len(t)
+        v, i, j = (t[c][0].as_py() for c in ("_v", "_i", "_j"))
+        side = None if i == j or v < 0 else t["_mine"].to_numpy() == i
+        fp = np.stack([t[c].to_numpy() for c in lanes], axis=1).view(np.uint64)
+        lists = t["_set"].combine_chunks()
+        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+        ends = lists.offsets.to_numpy()
+        flat = lists.values.to_numpy().view(np.uint32)
+        part = np.unique(t["_root"].to_numpy(), return_inverse=True)[1].copy()  # rows of one number are joined
+        left, right = [], []
+        for at in range(n - 1):
+            near = part[at + 1 :] != part[at]
+            if side is not None:
+                near &= side[at + 1 :] != side[at]
+            if v >= 0 and near.any():  # else every row is to be compared
+                near &= plan.linked(fp[at + 1 :], fp[at], v)
+            mine = flat[ends[at] : ends[at + 1]]
+            for k in (np.flatnonzero(near) + at + 1).tolist():
+                if part[k] != part[at] and alike(mine, flat[ends[k] : ends[k + 1]], similarity):
+                    left.append(node[at])
+                    right.append(node[k])
+                    part[part == part[k]] = part[at]
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (left, right)], ["_a", "_b"]) if left else None
+
+    return of_group
+
+
+def verified_components(nodes: DataFrame, plan: Plan, similarity: float, sets: Callable[[DataFrame], DataFrame], tile: int = TILE) -> DataFrame:
+    """:func:`components` of all pairs that the plan links and whose sets are similar.
+
+    ``nodes``: ``_node, _n`` (the size of its set), lanes.  ``sets`` gives ``_node, _set`` (sorted) of those asked for.
+    Overfull buckets first give the links of a spanning forest, which join most of a group of copies, and then the
+    members with a partner that verified links have not joined to them.
     """
-    pairs, big = _buckets(nodes, plan, tile, every=True)
-    dense = bool(big.head(1))
-    if dense:
-        pairs = pairs.unionByName(written(_tiled(big, plan, tile), "tiles"))
-    kept = written(verify(pairs), "verified")
-    if not dense:
-        return components(kept)
-    big = big.join(components(kept), F.col("_node") == F.col("node"), "left").withColumn("_root", F.coalesce("root", "_node")).drop("node", "root")
-    rest = written(_tiled(big, plan, min(tile, BLOCK), every=True), "pairs")
-    return components(kept.unionByName(verify(rest)))
+    lanes = [f"_fp{k}" for k in range(plan.lanes)]
+    found = written(_indexed(nodes, plan, ["_n"]).mapInArrow(lean(_members(plan, tile)), _member_schema(plan)), "members")
+    members, big = found.filter("_i is not null"), found.filter("_i is null").select("_v", "_key", "_node", "_n", *lanes)
+
+    def verify(rows: DataFrame) -> DataFrame:
+        own = sets(rows.select("_node").distinct())
+        keys = ["_v", "_key", "_i", "_j"]
+        return _grouped(rows.join(own, "_node"), keys, _verified(plan, similarity), "_a long, _b long")
+
+    if not big.head(1):
+        return components(verify(members))
+    pairs = written(_tiled(big, plan, tile), "tiles")
+    ends = pairs.select(F.col("_a").alias("_key"), F.pmod(F.xxhash64("_b"), F.lit(1 << 30)).cast("int").alias("_i"), F.explode(F.array("_a", "_b")).alias("_node"))
+    zero = [F.lit(0).cast("long").alias(c) for c in ("_n", *lanes)]
+    ends = ends.select(F.lit(-1).alias("_v"), "_key", "_i", F.col("_i").alias("_j"), F.lit(0).alias("_mine"), "_node", zero[0], F.col("_node").alias("_root"), *zero[1:])
+    kept = written(verify(ends), "verified")
+    rooted = big.join(components(kept), F.col("_node") == F.col("node"), "left").withColumn("_root", F.coalesce("root", "_node")).drop("node", "root")
+    rest = written(_tiled(rooted, plan, min(tile, BLOCK), contested=True), "contested")
+    return components(kept.unionByName(verify(members.unionByName(rest))))
 
 
 def forest_of(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -503,28 +658,24 @@ def _among(df: DataFrame, keys: DataFrame, on: list[str], how: str) -> DataFrame
     return far.unionByName(near.alias("_r").join(keys.alias("_k"), same, how))
 
 
-def similar(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """Those of the pairs (_a, _b) whose shingle sets are similar; ``texts``: a text (_node, _text) of each."""
+def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
+    """``_node, _set``: the sorted 32-bit hashes of a text's different shingles, from ``_node, _text``."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [shingles(t.as_py(), words).view(np.int32) for t in b["_text"]]
             yield pa.RecordBatch.from_arrays([b["_node"], pa.array(sets, pa.list_(pa.int32()))], ["_node", "_set"])
 
-    sets = written(texts.mapInArrow(lean(scan), "_node long, _set array<int>"), "shingles")
-    of = lambda c, name: sets.select(F.col("_node").alias(c), F.col("_set").alias(name))
-    both = pairs.join(of("_a", "_left"), "_a").join(of("_b", "_right"), "_b")
-    common = F.size(F.array_intersect("_left", "_right"))
-    return both.filter(common >= F.lit(similarity) * (F.size("_left") + F.size("_right") - common)).select("_a", "_b")
+    return texts.mapInArrow(lean(scan), "_node long, _set array<int>")
 
 
 def drop_near_duplicates(df: DataFrame, plan: Plan, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", tile: int = TILE) -> DataFrame:
     """One row of each group, whole, with all columns: that of the smallest identifier.
 
     Fingerprints propose links; a link counts if the texts' sets of shingles are as similar as asked (Jaccard).
-    Texts with the same set of shingles are one group.  Rows whose text has no word stay.  Null identifiers go before
-    others; rows that repeat with identifier and text stay or go together.  Whole texts are read; an empty table
-    gives an empty result.
+    Texts with the same set of shingles are one group.  Rows whose text is null, empty or has no word stay.  Null
+    identifiers go before others; rows that repeat with identifier and text stay or go together.  Whole texts are
+    read, in chunks; an empty table gives an empty result.  Rows keep their columns, whatever their names.
     """
     lanes = [f"_fp{k}" for k in range(plan.lanes)]
     keyed = df.select(F.struct(*df.columns).alias("_row"), F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_h"))
@@ -532,15 +683,14 @@ def drop_near_duplicates(df: DataFrame, plan: Plan, similarity: float = 0.8, id_
     rows = fingerprints(keyed.select("_id", "_h", text), plan, "_text", ["_id", "_h"], sets=True).select("_row._id", "_row._h", "_node", "_n", *lanes)
     rows = written(rows, "fingerprints").filter("_n > 0")
     least = F.min(F.struct(F.col("_id").isNull().alias("n"), F.col("_id").alias("i"), F.col("_h").alias("h"))).alias("_least")
-    nodes = written(rows.groupBy("_node", *lanes).agg(least, F.count("*").alias("_rows")), "nodes")
+    nodes = written(rows.groupBy("_node", "_n", *lanes).agg(least, F.count("*").alias("_rows")), "nodes")
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        ends = pairs.select(F.explode(F.array("_a", "_b")).alias("_node")).distinct()
-        wanted = written(nodes.join(ends, "_node").select("_node", F.col("_least.i").alias("_id"), F.col("_least.h").alias("_h")), "ends")
-        texts = _among(keyed.select("_id", "_h", text), wanted, ["_id", "_h"], "inner")
-        return similar(pairs, texts.select("_k._node", "_r._text"), plan.words, similarity)
+    def sets(wanted: DataFrame) -> DataFrame:
+        ends = written(nodes.join(wanted, "_node").select("_node", F.col("_least.i").alias("_id"), F.col("_least.h").alias("_h")), "ends")
+        texts = _among(keyed.select("_id", "_h", text), ends, ["_id", "_h"], "inner")
+        return written(shingle_sets(texts.select("_k._node", "_r._text"), plan.words), "shingles")
 
-    tree = verified_components(nodes.select("_node", *lanes), plan, verify, tile)
+    tree = verified_components(nodes.select("_node", "_n", *lanes), plan, similarity, sets, tile)
     best = _shared(nodes.select("_node", "_least", "_rows"), tree).select(F.col("_node").alias("_of"), F.col("_least").alias("_best"))
     judged = spread_join(rows, best, "_node", "_of", "_h", "inner")
     gone = written(judged.filter((F.col("_h") != F.col("_best.h")) | ~F.col("_id").eqNullSafe(F.col("_best.i"))).select("_id", "_h").distinct(), "gone")
