@@ -3,12 +3,10 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: A token of the lexical index: two or more word characters.
 TOKEN = r"[\p{L}\p{N}_]{2,}"
@@ -47,29 +45,30 @@ def digits(c: Column) -> Column:
 
 
 def _folding() -> tuple[str, str]:
-    """Lower-case letters below U+0250 that are a letter with marks, and those letters."""
-    pairs = []
-    for code in range(0xC0, 0x250):
-        plain = "".join(x for x in unicodedata.normalize("NFKD", chr(code)) if not unicodedata.combining(x))
-        if chr(code).islower() and len(plain) == 1 and plain != chr(code):
-            pairs.append((chr(code), plain))
-    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+    """Characters that are one letter in another form (marked, full-width, mathematical), and those letters; then
+    combining marks, which stand for nothing."""
+    one, plain, marks = [], [], []
+    for code in range(0xA0, 0x20000):
+        c = chr(code)
+        if unicodedata.combining(c):
+            marks.append(c)
+            continue
+        parts = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x)).lower()
+        if len(parts) == 1 and parts != c and c == c.lower():
+            one.append(c)
+            plain.append(parts)
+    return "".join(one + marks), "".join(plain)
 
 
 _MARKED, _PLAIN = _folding()
 
 
 def folded(c: Column) -> Column:
-    """Lower case, trimmed, Latin letters without their marks; stays in generated code."""
-    return F.translate(F.lower(F.trim(c)), _MARKED, _PLAIN)
-
+    """Lower case, trimmed, without marks; stays in generated code.
 
-@F.pandas_udf(T.StringType())
-def folded_fully(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """As :func:`folded` for all of Unicode: compatibility decomposition without combining marks."""
-    for texts in batches:
-        parts = texts.str.lower().str.strip().str.normalize("NFKD")
-        yield parts.map(lambda t: "".join(x for x in t if not unicodedata.combining(x)), na_action="ignore")
+    Characters that stand for several letters, such as ligatures, stay as they are.
+    """
+    return F.translate(F.lower(F.trim(c)), _MARKED, _PLAIN)
 
 
 def tokens(c: Column) -> Column:

@@ -35,13 +35,13 @@ def hybrid(pairs: DataFrame, weights: dict[str, float], semantic: bool = True) -
     )
 
 
-def blocks(queries: DataFrame) -> list[DataFrame]:
-    """The queries (query, ...) in blocks of at most ``MOST_QUERIES`` rows by a hash of ``query``.
+def blocks(queries: DataFrame, least: int = 1) -> list[DataFrame]:
+    """The queries (query, ...) in ``least`` blocks or more, of at most ``MOST_QUERIES`` rows, by a hash of ``query``.
 
     Rows of one ``query`` stay together.  Blocks are counted; if the largest is too large there are twice as many.
     """
     n = queries.count()
-    parts = -(-n // MOST_QUERIES)
+    parts = max(least, -(-n // MOST_QUERIES))
     if parts <= 1:
         return [queries]
     while True:
@@ -71,11 +71,25 @@ def nearest(queries: DataFrame, corpus: DataFrame) -> DataFrame:
     return beside(c, q).select("query", "id", cosine(F.col("qv"), F.col("vector"), F.col("qn"), F.col("n")).alias("similarity"))
 
 
-def mmr(pool: DataFrame, k: int = TOP_K, weight: float | Column = MMR_LAMBDA, group: str = "query", most: int = POOL) -> DataFrame:
+def pool_likeness(pool: DataFrame, weights: DataFrame, most: int = POOL) -> DataFrame:
+    """The pool (query, id, score) with ``vector``: each item's likeness to those of its pool, by place, for
+    :func:`mmr` with ``by_place``; from sparse unit vectors ``weights`` (id, term, w)."""
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "id")
+    placed = pool.select("query", "id", "score").withColumn("_p", F.row_number().over(order)).filter(F.col("_p") <= most)
+    terms = weights.join(placed.select("query", "id", "_p"), "id").select("query", "_p", "term", "w")
+    other = terms.select("query", F.col("_p").alias("_o"), "term", F.col("w").alias("v"))
+    likes = terms.join(other, ["query", "term"]).groupBy("query", "_p", "_o").agg(F.sum(F.col("w") * F.col("v")).alias("like"))
+    likes = likes.groupBy("query", "_p").agg(F.map_from_entries(F.collect_list(F.struct("_o", "like"))).alias("likes"))  # most entries
+    vector = F.transform(F.sequence(F.lit(1), F.lit(most)), lambda o: F.coalesce(F.element_at("likes", o), F.lit(0.0)))
+    return placed.join(likes, ["query", "_p"], "left").select("query", "id", "score", vector.alias("vector"))
+
+
+def mmr(pool: DataFrame, k: int = TOP_K, weight: float | Column = MMR_LAMBDA, group: str = "query", most: int = POOL, by_place: bool = False) -> DataFrame:
     """``<group>, id, rank, mmr, score``: a greedy choice of k that weighs score against likeness to those chosen.
 
     ``pool``: group, id, score, vector.  The best max(most, k) rows a group are its pool; ties go by id.  A missing
-    vector is unlike any other.  The pool is the only thing gathered, in one row a group.
+    vector is unlike any other; ``by_place``: a vector holds the likeness to the item at each place of the pool.  The
+    pool is the only thing gathered, in one row a group.
     """
     order = Window.partitionBy(group).orderBy(F.desc("score"), "id")
     ranked = pool.withColumn("_place", F.row_number().over(order)).filter(F.col("_place") <= max(most, k))
@@ -95,7 +109,8 @@ def mmr(pool: DataFrame, k: int = TOP_K, weight: float | Column = MMR_LAMBDA, gr
         return F.element_at(F.filter(s["rest"], lambda x: x["_place"] == -best["p"]), 1)
 
     def after(s: Column, best: Column, chosen: Column) -> Column:
-        liked = lambda x: F.greatest(F.coalesce(x["like"], F.lit(-2.0)), cosine(x["v"], chosen["v"], x["n"], chosen["n"]))
+        near = lambda x: F.coalesce(F.get(x["v"], chosen["_place"] - 1), F.lit(0.0)) if by_place else cosine(x["v"], chosen["v"], x["n"], chosen["n"])
+        liked = lambda x: F.greatest(F.coalesce(x["like"], F.lit(-2.0)), near(x))
         rest = F.transform(
             F.filter(s["rest"], lambda x: x["_place"] != chosen["_place"]),
             lambda x: F.struct(*[x[c].alias(c) for c in ("_place", "id", "score", "v", "n")], liked(x).alias("like")),

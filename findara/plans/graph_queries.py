@@ -13,10 +13,10 @@ from findara.functions.scores import band
 from findara.functions.text import without_suffix
 from findara.operators import opportunities as opp
 from findara.operators.graph import ForeignKey, Relation, dangling, edges, induced, neighbours, nodes, two_steps
-from findara.operators.lexical import LexicalIndex
 from findara.operators.propagation import best_of, bridged, contributions, matched, spread
 from findara.plans.catalog import FACETS, LEXICAL, query
 from findara.plans.score_queries import facet_overlaps
+from findara.plans.text_queries import lexical_index
 from findara.session import table
 
 #: Weights of the roles; any other has 0.6.
@@ -216,7 +216,7 @@ def _bridged(spark: SparkSession, sf_dir: str) -> DataFrame:
                FROM lexical l FULL JOIN (SELECT * FROM overlap WHERE facet = 'domain') o ON o.query = l.query AND o.id = l.id)
            SELECT query AS item_id, id AS doc_id, round(0.5::DOUBLE * lex, 4) AS affinity, round(0.3::DOUBLE * dom, 4) AS overlap, round(0.5::DOUBLE * lex + 0.3::DOUBLE * dom, 4) AS total FROM p WHERE round(0.5::DOUBLE * lex + 0.3::DOUBLE * dom, 9) >= 0.10""")
 def capability_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = LexicalIndex.fit(table(spark, sf_dir, "documents"), "doc_id", "text")
+    index = lexical_index(spark, sf_dir)
     lexical = index.similarities(table(spark, sf_dir, "benchmark"), "item_id", "text").withColumnRenamed("similarity", "lex")
     domain = facet_overlaps(spark, sf_dir).filter("facet = 'domain'").select("query", "id", F.col("similarity").alias("dom"))
     zero = F.lit(0.0)

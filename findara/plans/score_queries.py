@@ -9,11 +9,13 @@ from findara.functions.evidence import citation, cited, explanation, factors, na
 from findara.functions.scores import RELIABILITY, VARIANTS, WEIGHTS, band, completeness, effective, looked_up, recency
 from findara.functions.text import bigrams, folded, tokens, value
 from findara.operators import facets
-from findara.operators.evaluation import mean, metrics, nearest_percentile, silver
-from findara.operators.lexical import LexicalIndex, top
+from findara.operators.evaluation import mean, metrics, silver
+from findara.operators.lexical import top
 from findara.operators.propagation import mode
-from findara.operators.ranking import beside, hybrid, mmr, nearest
+from findara.operators.ranking import hybrid, mmr, nearest
+from findara.operators.signals import signals as all_signals
 from findara.plans.catalog import EVIDENCE, FACETS, SIGNALS, VOCABULARY, flow_band, hybrid_sql, query
+from findara.plans.text_queries import lexical_index, saved
 from findara.session import table
 
 FACETS_OF = ("topic", "domain", "method")
@@ -28,7 +30,9 @@ def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document_facets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return facets.extract(table(spark, sf_dir, "documents"), vocabulary(spark, sf_dir), "doc_id", "text")
+    docs, vocab = table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary(spark, sf_dir)
+    build = lambda: {"facets": facets.extract(docs, vocab, "doc_id", "text")}
+    return saved(spark, sf_dir, "facets", ["facets"], build, docs, vocab)["facets"]
 
 
 def facet_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,17 +59,15 @@ def strength(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``query, id, semantic, lexical, topic, domain, method, evidence`` of every benchmark item and document."""
-    items, docs = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents")
+    items = table(spark, sf_dir, "benchmark")
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
     # Items and documents pair with the vectors of their numbers.
-    own = items.select(F.col("item_id").alias("query")).join(vectors.withColumnRenamed("id", "query"), "query")
-    semantic = nearest(own, vectors).withColumnRenamed("similarity", "semantic")
-    lexical = LexicalIndex.fit(docs, "doc_id", "text").similarities(items, "item_id", "text").withColumnRenamed("similarity", "lexical")
-    shared = facet_overlaps(spark, sf_dir).groupBy("query", "id").agg(*[F.max(F.when(F.col("facet") == f, F.col("similarity"))).alias(f) for f in FACETS_OF])
-    every = beside(strength(spark, sf_dir), items.select(F.col("item_id").alias("query")))
-    out = every.join(semantic, ["query", "id"], "left").join(lexical, ["query", "id"], "left").join(shared, ["query", "id"], "left")
-    zero = F.lit(0.0)
-    return out.select("query", "id", *[F.coalesce(c, zero).alias(c) for c in ("semantic", "lexical", *FACETS_OF)], "evidence")
+    asked = items.select(F.col("item_id").alias("query")).join(vectors.toDF("query", "asked_vector"), "query", "left")
+    corpus = strength(spark, sf_dir).join(vectors, "id", "left")
+    index = lexical_index(spark, sf_dir)
+    asked_found = facets.extract(items, vocabulary(spark, sf_dir), "item_id", "text")
+    out = all_signals(corpus, asked, index.weights, index.asked(items, "item_id", "text"), document_facets(spark, sf_dir), asked_found)
+    return out.select("query", "id", "semantic", "lexical", *FACETS_OF, "evidence")
 
 
 @query(f"WITH {VOCABULARY} SELECT facet, term FROM vocab")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,8 +11,27 @@ from findara.functions.evidence import citation, compared, provenance, top_field
 from findara.functions.text import bigrams, digits, first_of, folded, joined, tokens, value, values, without_suffix
 from findara.operators.lexical import LexicalIndex, term_counts, top
 from findara.plans.catalog import FOLD, LEXICAL, TFIDF, TOKENS, query
-from findara.session import table
-from findara.sources.artifacts import fingerprint
+from findara.session import shared_dir, table
+from findara.sources.artifacts import fingerprint, get_or_build
+
+
+def saved(spark: SparkSession, sf_dir: str, what: str, names: list[str], build, *parts: DataFrame) -> dict[str, DataFrame]:
+    """Tables of an artefact in the shared folder, built again if one of the (id, text) tables it follows from changed."""
+    digests = [fingerprint(p, *p.columns[:2]).first() for p in parts]
+    manifest = {f"{n}{k}": str(d[n]) for k, d in enumerate(digests) for n in ("rows", "digest")} | {"format": "1"}
+    folder = f"{shared_dir(spark)}/findara/{what}-{hashlib.sha256(sf_dir.encode()).hexdigest()[:16]}"
+    return get_or_build(spark, folder, names, manifest, build)
+
+
+def lexical_index(spark: SparkSession, sf_dir: str) -> LexicalIndex:
+    """The index of all documents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+
+    def build() -> dict[str, DataFrame]:
+        index = LexicalIndex.fit(docs, "doc_id", "text")
+        return {"terms": index.terms, "weights": index.weights}
+
+    return LexicalIndex(**saved(spark, sf_dir, "index", ["terms", "weights"], build, docs))
 
 
 @query("""SELECT p_partkey, CAST(len(v) AS INT) AS n_values, v[1] AS first_value, array_to_string(v, '|') AS all_values
@@ -67,27 +88,27 @@ def ngram_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {TFIDF} SELECT term, df, round(idf, 6) AS idf FROM terms")
 def doc_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = LexicalIndex.fit(table(spark, sf_dir, "documents"), "doc_id", "text")
+    index = lexical_index(spark, sf_dir)
     return index.terms.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query(f"""WITH {TFIDF}, r AS (SELECT id AS doc_id, term, round(w, 6) AS w FROM dw)
            SELECT doc_id, term, w, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY w DESC, term) AS rank FROM r) WHERE rank <= 5""")
 def tfidf_top_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = LexicalIndex.fit(table(spark, sf_dir, "documents"), "doc_id", "text")
+    index = lexical_index(spark, sf_dir)
     rows = index.weights.select(F.col("id").alias("doc_id"), "term", F.round("w", 6).alias("w"))
     return top(rows, 5, "w", ["doc_id"], ["term"])
 
 
 @query(f"""WITH {TFIDF} SELECT id AS doc_id, count(*) AS n_terms, round(sqrt(sum(w * w)), 6) AS norm, round(max(w), 6) AS largest FROM dw GROUP BY id""")
 def tfidf_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = LexicalIndex.fit(table(spark, sf_dir, "documents"), "doc_id", "text")
+    index = lexical_index(spark, sf_dir)
     w = F.col("w")
     return index.weights.groupBy(F.col("id").alias("doc_id")).agg(F.count("*").alias("n_terms"), F.round(F.sqrt(F.sum(w * w)), 6).alias("norm"), F.round(F.max(w), 6).alias("largest"))
 
 
 def _lexical(spark: SparkSession, sf_dir: str, queries: DataFrame) -> DataFrame:
-    index = LexicalIndex.fit(table(spark, sf_dir, "documents"), "doc_id", "text")
+    index = lexical_index(spark, sf_dir)
     found = index.similarities(queries, "item_id", "text").select(F.col("query").alias("item_id"), F.col("id").alias("doc_id"), F.round("similarity", 6).alias("score"))
     return top(found, 10, "score", ["item_id"], ["doc_id"])
 
@@ -138,7 +159,13 @@ def compare_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one.select(F.explode(compared(a, b)).alias("component", "d"), winner(best(a), best(b)).alias("winner")).select("component", F.round("d", 6).alias("difference"), "winner")
 
 
-@query(None)
+def _hash_sql() -> str:
+    row = "sha256(CAST(doc_id AS VARCHAR) || chr(0) || coalesce(text, '') || chr(0))"
+    sums = ", ".join(f"CAST(sum(CAST(('0x' || substring({row}, {1 + 15 * k}, 15)) AS BIGINT)) AS VARCHAR) AS s{k}" for k in range(4))
+    return f"WITH s AS (SELECT count(*) AS rows, {sums} FROM documents) SELECT rows, sha256(concat_ws('|', rows, s0, s1, s2, s3)) AS digest FROM s"
+
+
+@query(_hash_sql())
 def corpus_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The digest that decides whether saved artefacts are still valid."""
     return fingerprint(table(spark, sf_dir, "documents"), "doc_id", "text")
