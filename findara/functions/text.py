@@ -75,7 +75,8 @@ def tokens(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit(TOKEN), F.lit(0))
 
 
-def _pairs(words: Column) -> Column:
+def pairs(words: Column) -> Column:
+    """Neighbours with a blank between them."""
     n = F.greatest(F.size(words) - 1, F.lit(0))
     return F.zip_with(F.slice(words, 1, n), F.slice(words, 2, n), lambda x, y: F.concat(x, F.lit(" "), y))
 
@@ -87,12 +88,12 @@ def once(c: Column, f: Callable[[Column], Column]) -> Column:
 
 def bigrams(words: Column) -> Column:
     """Neighbouring tokens with a blank between them."""
-    return once(words, _pairs)
+    return once(words, pairs)
 
 
 def ngrams(words: Column) -> Column:
     """Tokens and bigrams."""
-    return once(words, lambda w: F.concat(w, _pairs(w)))
+    return once(words, lambda w: F.concat(w, pairs(w)))
 
 
 def has_word(text: Column, term: Column) -> Column:
