@@ -5,14 +5,13 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import sys
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from findara.session import shared_dir
+from findara.session import new_path, written  # noqa: F401  (the operators take them from here)
 
 #: Word characters of the contracts: everything but space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -22,27 +21,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def new_path(spark: SparkSession, tag: str) -> str:
-    """A new place in the shared folder, deleted when the application ends."""
-    path = f"{shared_dir(spark)}/findara/{tag}-{uuid.uuid4().hex[:12]}"
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    store = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    store.mkdirs(where)  # what does not exist yet cannot be marked
-    store.deleteOnExit(where)
-    return path
-
-
-def written(df: DataFrame, tag: str, path: str | None = None, by: list[str] | None = None) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder, read back.
-
-    Cuts the lineage: a lost executor costs at most the tasks of the running stage, as the files outlive it.
-    """
-    spark = df.sparkSession
-    path = path or new_path(spark, tag)
-    df.write.mode("overwrite").partitionBy(*by or []).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 #: Bytes of an Arrow batch: rows can be long, and a Python worker holds a few batches at a time.
 BATCH = 4 << 20
 
