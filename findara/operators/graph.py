@@ -51,8 +51,8 @@ def _edges(df: DataFrame, src: Column, dst: Column, label: str, role: Column, fi
     )
 
 
-def edges(known: DataFrame, keys: list[ForeignKey], relations: list[Relation]) -> DataFrame:
-    """Edges whose ends are both known nodes; an empty key makes none.  Keys come before relations."""
+def declared(keys: list[ForeignKey], relations: list[Relation]) -> DataFrame:
+    """Edges as the tables say, whether or not their ends are known; an empty key makes none.  Keys come before relations."""
     out = None
     for n, k in enumerate(keys):
         rows = _edges(k.df, F.col(k.id_col), F.col(k.column), k.label, F.lit(None), k.file, F.col(k.id_col), k.column, n)
@@ -61,14 +61,19 @@ def edges(known: DataFrame, keys: list[ForeignKey], relations: list[Relation]) -
         record = F.concat_ws("|", F.col(r.src).cast("string"), F.col(r.dst).cast("string"))
         rows = _edges(r.df, F.col(r.src), F.col(r.dst), r.label, F.col(r.role) if r.role else F.lit(None), r.file, record, r.role or r.label, n)
         out = rows if out is None else out.unionByName(rows)
+    return out.filter("dst is not null and trim(dst) <> ''")
+
+
+def edges(known: DataFrame, keys: list[ForeignKey], relations: list[Relation]) -> DataFrame:
+    """Declared edges whose ends are both known nodes."""
     ids = known.select(F.col("id").alias("known"))
-    return out.filter("dst is not null and trim(dst) <> ''").join(ids, F.col("dst") == F.col("known"), "left_semi").join(ids, F.col("src") == F.col("known"), "left_semi")
+    return declared(keys, relations).join(ids, F.col("dst") == F.col("known"), "left_semi").join(ids, F.col("src") == F.col("known"), "left_semi")
 
 
 def neighbours(start: DataFrame, graph: DataFrame, labels: list[str], direction: str) -> DataFrame:
-    """``id, neighbour, label, role, ordinal`` one step from ``start`` (id); direction: in, out or both."""
+    """``id, neighbour, label, role, ordinal, file, record, field`` one step from ``start`` (id); direction: in, out or both."""
     chosen = graph.filter(F.col("label").isin(labels))
-    step = lambda a, b: start.join(chosen, F.col("id") == F.col(a)).select("id", F.col(b).alias("neighbour"), "label", "role", "ordinal")
+    step = lambda a, b: start.join(chosen, F.col("id") == F.col(a)).select("id", F.col(b).alias("neighbour"), "label", "role", "ordinal", "file", "record", "field")
     if direction == "in":
         return step("dst", "src")
     if direction == "out":

@@ -5,19 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from findara.functions.scores import AFFINITY, DAMPING, OTHER_ROLE, band, looked_up, ratio
+from findara.functions.scores import AFFINITY, DAMPING, OTHER_ROLE, band, looked_up
 
 
-def contributions(sources: DataFrame, steps: DataFrame, roles: dict[str, float]) -> DataFrame:
-    """``id, neighbour, role, weight, contribution``: parallel edges count once, in their best role.
+def contributions(sources: DataFrame, steps: DataFrame, roles: dict[str, float], carry: list[str] = []) -> DataFrame:
+    """``id, neighbour, role, weight, contribution`` and ``carry``: parallel edges count once, in their best role.
 
     ``sources``: id, score; ``steps``: id, neighbour, role, ordinal.  Of roles of the same weight the last declared
     is the evidence.
     """
     weighed = steps.withColumn("w", looked_up(F.coalesce("role", F.lit("")), roles, OTHER_ROLE))
-    best = weighed.groupBy("id", "neighbour").agg(F.max_by(F.struct("w", "role"), F.struct("w", "ordinal", F.coalesce("role", F.lit("")))).alias("best"))
+    best = weighed.groupBy("id", "neighbour").agg(F.max_by(F.struct("w", "role", *carry), F.struct("w", "ordinal", F.coalesce("role", F.lit("")))).alias("best"))
     scored = best.join(sources.select("id", "score"), "id")
-    return scored.select("id", "neighbour", F.col("best.role").alias("role"), F.col("best.w").alias("weight"), (F.lit(DAMPING) * F.col("score") * F.col("best.w")).alias("contribution"))
+    return scored.select("id", "neighbour", F.col("best.role").alias("role"), F.col("best.w").alias("weight"), (F.lit(DAMPING) * F.col("score") * F.col("best.w")).alias("contribution"), *[F.col(f"best.{c}").alias(c) for c in carry])
 
 
 def spread(found: DataFrame, affinity: DataFrame | None = None) -> DataFrame:
@@ -62,7 +62,3 @@ def mode(votes: DataFrame, key: str, level: str, ordinal: str) -> DataFrame:
     """``key, level``: the most frequent level, of ties the first met."""
     counts = votes.filter(F.col(level).isNotNull()).groupBy(key, level).agg(F.count("*").alias("n"), F.min(ordinal).alias("first"))
     return counts.groupBy(key).agg(F.max_by(level, F.struct("n", -F.col("first"))).alias(level))
-
-
-def share(part: Column, whole: Column) -> Column:
-    return ratio(part, whole)

@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 from findara.functions.scores import band
 from findara.functions.text import without_suffix
 from findara.operators import opportunities as opp
-from findara.operators.graph import ForeignKey, Relation, dangling, edges, induced, neighbours, nodes, two_steps
+from findara.operators.graph import ForeignKey, Relation, dangling, declared, edges, induced, neighbours, nodes, two_steps
 from findara.operators.propagation import best_of, bridged, contributions, matched, spread
-from findara.plans.catalog import FACETS, LEXICAL, query
+from findara.plans.catalog import FACETS, LEXICAL, SQL, query
 from findara.plans.score_queries import facet_overlaps
 from findara.plans.text_queries import lexical_index
 from findara.session import table
@@ -128,11 +128,19 @@ def induced_subgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return induced(members, graph)
 
 
-@query(f"WITH {NODES}, {KEYS} SELECT label, count(*) FILTER (dst NOT IN (SELECT id FROM nodes) OR src NOT IN (SELECT id FROM nodes)) AS dangling, count(*) AS edges FROM keys GROUP BY label")
+@query(f"""WITH {NODES}, planted AS (SELECT 'c' || c_custkey AS src, 'n' || (c_nationkey + CASE WHEN c_custkey % 97 = 0 THEN 20 ELSE 0 END) AS dst, 'customer_of_nation' AS label FROM customer
+               UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey, 'supplier_of_nation' FROM supplier)
+           SELECT label, count(*) FILTER (dst NOT IN (SELECT id FROM nodes) OR src NOT IN (SELECT id FROM nodes)) AS dangling, count(*) AS edges FROM planted GROUP BY label""")
 def dangling_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edges with an end that is unknown, by label: none may be left."""
-    known, graph = graph_tables(spark, sf_dir)
-    keys = graph.filter("ordinal < 4")
+    """Declared edges with an end that is unknown, by label; some customers' nations are made up."""
+    known = graph_tables(spark, sf_dir)[0]
+    customers, suppliers = table(spark, sf_dir, "customer"), table(spark, sf_dir, "supplier")
+    nation = F.col("c_nationkey") + F.when(F.col("c_custkey") % 97 == 0, 20).otherwise(0)
+    rows = [
+        ForeignKey(customers.select(_key("c", "c_custkey").alias("id"), F.concat(F.lit("n"), nation.cast("string")).alias("to")), "id", "to", "customer_of_nation"),
+        ForeignKey(suppliers.select(_key("s", "s_suppkey").alias("id"), _key("n", "s_nationkey").alias("to")), "id", "to", "supplier_of_nation"),
+    ]
+    keys = declared(rows, [])
     loose = dangling(keys, known).groupBy("label").agg(F.count("*").alias("dangling"))
     return keys.groupBy("label").agg(F.count("*").alias("edges")).join(loose, "label", "left").select("label", F.coalesce("dangling", F.lit(0)).alias("dangling"), "edges")
 
@@ -304,7 +312,18 @@ def opp_collaboration_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(opp.collaboration(_ranked_people(spark, sf_dir), F.lit("HIGH")))
 
 
-@query(None)
+@query(f"""WITH {BEST}, bridges AS (SELECT c_nationkey AS nation, greatest(0, max(score)) AS best FROM results JOIN customer ON c_custkey = o_custkey GROUP BY 1), {LIKE},
+           j AS (SELECT s_suppkey, s_name, s_nationkey, best, greatest(coalesce(a.s, 0), 0) AS sem FROM supplier LEFT JOIN bridges ON nation = s_nationkey LEFT JOIN alike a ON a.neighbour = s_suppkey),
+           t AS (SELECT s_suppkey, s_name, s_nationkey AS program, coalesce(best * 0.5::DOUBLE, 0) + 0.4::DOUBLE * sem AS total FROM j WHERE best IS NOT NULL OR sem >= 0.35),
+           ten AS (SELECT *, row_number() OVER (ORDER BY round(total, 6) DESC, s_suppkey) AS rank FROM t QUALIFY rank <= 10),
+           covered AS (SELECT program, arg_max(s_suppkey, (total, -rank)) AS subject, arg_max(s_name, (total, -rank)) AS subject_name, greatest(0, max(total)) AS cover FROM ten GROUP BY 1),
+           programs AS (SELECT n_nationkey AS program, n_name, max(score) AS source, min(rank) AS first FROM results JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey GROUP BY 1, 2),
+           g AS (SELECT p.*, subject, subject_name, coalesce(cover, 0) AS cover, coalesce(cover, 0) < 0.2 AS gap FROM programs p LEFT JOIN covered USING (program) WHERE coalesce(cover, 0) < 0.2 OR coalesce(cover, 0) >= 0.35)
+           SELECT 'CURRICULAR_INTEGRATION' AS type, CASE WHEN gap THEN 'Brecha curricular en ' || n_name ELSE 'Integrar como caso de estudio en ' || subject_name END AS title,
+           CASE WHEN gap THEN CAST(program AS VARCHAR) ELSE program || ',' || subject END AS related,
+           CASE WHEN gap THEN printf('El programa %s produce antecedentes relevantes para esta necesidad, pero ninguna de sus asignaturas muestra articulación temática clara (mejor cobertura curricular encontrada: %.2f). Se sugiere revisar el currículo del programa.', n_name, cover)
+           ELSE printf('La asignatura %s (%s) ya está alineada temáticamente (score %.2f); puede incorporar antecedentes reales del proyecto/tesis relacionado como caso de estudio.', subject_name, n_name, cover) END AS reason,
+           round(CASE WHEN gap THEN source ELSE cover END, 6) AS score, {_priority_sql('CASE WHEN gap THEN source ELSE cover END')} AS priority, CAST(row_number() OVER (ORDER BY first, program) AS INT) AS place FROM g""")
 def opp_curricular_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(opp.integration(*_programs(spark, sf_dir), F.lit("HIGH")))
 
@@ -318,21 +337,35 @@ def opp_capability(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(opp.activation(_capabilities(spark, sf_dir), F.lit("HIGH")))
 
 
+#: Years that the query on old results takes off them, as the best order is a recent one.
+EARLIER = 10
+
+
 @query(f"""WITH {BEST}, y AS (SELECT min(year(o_orderdate)) AS a, max(year(o_orderdate)) AS b FROM orders)
            SELECT 'THESIS_OPPORTUNITY' AS type, 'Nuevo trabajo de grado que actualice ' || o_orderkey AS title, CAST(o_orderkey AS VARCHAR) AS related,
-           printf('El antecedente más relevante disponible (%s) data de %d, anterior a la mitad del rango observado en el dataset (%d-%d). Es un hueco razonable para proponer un nuevo trabajo de grado que actualice esta línea.', o_orderpriority, year(o_orderdate), a, b) AS reason,
-           round(score, 6) AS score, {_priority_sql('score')} AS priority, 1 AS place FROM results, y WHERE rank = 1 AND year(o_orderdate) <= (a + b) / 2""")
+           printf('El antecedente más relevante disponible (%s) data de %d, anterior a la mitad del rango observado en el dataset (%d-%d). Es un hueco razonable para proponer un nuevo trabajo de grado que actualice esta línea.', o_orderpriority, year(o_orderdate) - {EARLIER}, a, b) AS reason,
+           round(score, 6) AS score, {_priority_sql('score')} AS priority, 1 AS place FROM results, y WHERE rank = 1 AND year(o_orderdate) - {EARLIER} <= (a + b) / 2""")
 def opp_stale(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _shown(opp.renewal(_theses(spark, sf_dir), _years(spark, sf_dir), F.lit("HIGH")))
+    return _shown(opp.renewal(_older(spark, sf_dir), _years(spark, sf_dir), F.lit("HIGH")))
+
+
+def _older(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _theses(spark, sf_dir).withColumn("year", F.col("year") - EARLIER)
+
+
+def _all_sql() -> str:
+    parts = " UNION ALL ".join(f"SELECT {k} AS made, * FROM ({SQL[name]})" for k, name in enumerate(("opp_continuity", "opp_collaboration_pairs", "opp_curricular_gap", "opp_capability", "opp_stale")))
+    order = "CASE priority WHEN 'Alta' THEN 0 WHEN 'Media' THEN 1 ELSE 2 END, made, place"
+    return f"SELECT CAST(row_number() OVER (ORDER BY {order}) AS INT) AS position, type, title, related, score, priority FROM ({parts})"
 
 
-@query(None)
+@query(_all_sql())
 def opp_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All five kinds for one search, by priority."""
-    need, theses = F.lit("HIGH"), _theses(spark, sf_dir)
+    need = F.lit("HIGH")
     parts = [
-        opp.continuity(theses, _directed(spark, sf_dir), need), opp.collaboration(_ranked_people(spark, sf_dir), need), opp.integration(*_programs(spark, sf_dir), need),
-        opp.activation(_capabilities(spark, sf_dir), need), opp.renewal(theses, _years(spark, sf_dir), need),
+        opp.continuity(_theses(spark, sf_dir), _directed(spark, sf_dir), need), opp.collaboration(_ranked_people(spark, sf_dir), need), opp.integration(*_programs(spark, sf_dir), need),
+        opp.activation(_capabilities(spark, sf_dir), need), opp.renewal(_older(spark, sf_dir), _years(spark, sf_dir), need),
     ]
     return opp.combined(parts).select("position", "type", "title", F.array_join("related", ",").alias("related"), F.round("score", 6).alias("score"), "priority")
 

@@ -23,7 +23,12 @@ FACETS_OF = ("topic", "domain", "method")
 
 def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Topics are benchmark bigrams of one item, methods those of several, domains its long tokens."""
-    words = table(spark, sf_dir, "benchmark").select("item_id", tokens(folded(F.col("text"))).alias("toks"))
+    items = table(spark, sf_dir, "benchmark").select("item_id", "text")
+    return saved(spark, sf_dir, "vocabulary", ["vocabulary"], lambda: {"vocabulary": _vocabulary(items)}, items)["vocabulary"]
+
+
+def _vocabulary(items: DataFrame) -> DataFrame:
+    words = items.select("item_id", tokens(folded(F.col("text"))).alias("toks"))
     pairs = words.select("item_id", F.explode(bigrams(F.col("toks"))).alias("term")).distinct().groupBy("term").agg(F.count("*").alias("items"))
     single = words.select(F.explode("toks").alias("term")).distinct()
     return facets.vocabulary([("topic", pairs.filter("items = 1")), ("method", pairs.filter("items > 1")), ("domain", single.filter(F.length("term") >= 10))])

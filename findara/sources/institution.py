@@ -53,6 +53,8 @@ RELATIONS = {
     "publication_researcher": ("researcher_id", "publication_id", "role", "autor_de_publicacion"),
 }
 RELATION_LAYER = "03_knowledge_needs"
+# The catalogue of whole text files, and their folder.
+CATALOGUE, DOCUMENTS = "03_knowledge_needs/document_catalog.csv", "documents"
 NAMES = ("full_name", "title", "group_name", "program_name", "faculty_name", "line_name", "capability_name", "subject_name")
 # Where the vocabulary's terms come from: facet to (kind, field).
 VOCABULARY = {
@@ -107,3 +109,15 @@ def text_files(spark: SparkSession, path: str) -> DataFrame:
     """``file_name, value`` of every Markdown file, at any depth."""
     found = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(path, wholetext=True)
     return found.select(F.col("_metadata.file_name").alias("file_name"), "value")
+
+
+def load_with_documents(spark: SparkSession, folder: str, documents: str = DOCUMENTS) -> DataFrame:
+    """Entities of all kinds with ``document_file, document_text`` of those that the catalogue gives a text file."""
+    return with_documents(load(spark, folder), text_files(spark, f"{folder}/{documents}"), read_csv(spark, f"{folder}/{CATALOGUE}"))
+
+
+def save_processed(rows: DataFrame, tables: dict[str, DataFrame], folder: str) -> None:
+    """Entities as a Parquet table partitioned by kind, and a table for each relation."""
+    rows.write.mode("overwrite").partitionBy("kind").parquet(f"{folder}/entities")
+    for name, df in tables.items():
+        df.write.mode("overwrite").parquet(f"{folder}/rel_{name}")

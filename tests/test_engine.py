@@ -139,3 +139,75 @@ def test_artifacts(spark, tmp_path, engine):
 def test_phases(spark):
     state = lambda *n: spark.range(1).select(phases(*[F.lit(x) for x in n])).first()[0]
     assert state(1, 0, 1, 0, 1) == ["completado", "completado", "activo", "pendiente"] and state(0, 0, 0, 0, 0) == ["pendiente"] * 4
+
+
+def test_answer_to_many_texts(spark, engine):
+    """All in one call: each query has its own rows, blank ones none."""
+    asked = spark.createDataFrame([("a", "Diagnóstico por imagen médica con redes neuronales", "HIGH"), ("b", "danza, cuerpo y memoria corporal en escena", None), ("c", "  ", "LOW")], "query string, text string, need string")
+    found = engine.answer(asked, "set", k=5)
+    rows = {name: df.collect() for name, df in found.items()}
+    for name, rs in rows.items():
+        assert {r["query"] for r in rs} <= {"a", "b"}, name
+        if name != "opportunities":
+            assert all(r["explanation"] and r["rank"] <= 5 for r in rs)
+    assert {r["query"] for r in rows["results"]} == {"a", "b"}
+    ana = next(r for r in rows["researchers"] if r["query"] == "a" and r["id"] == "R1")
+    assert "set / researcher_project.csv / R1|P1 / role" in ana["citations"] and "autoría o dirección real" in ana["explanation"] and "Evidencia: set / " in ana["explanation"]
+    subject = next(r for r in rows["subjects"] if r["query"] == "a" and r["id"] == "S1")
+    assert subject["citations"][-1] == "set / subjects.csv / S1 / program_id" and "articulación curricular" in subject["explanation"]
+    assert all("capacidad institucional activable" in r["explanation"] for r in rows["capabilities"]) and rows["capabilities"]
+    alone = {q: engine.answer(asked.filter(F.col("query") == q), "set", k=5)["opportunities"].orderBy("position").collect() for q in "b"}
+    for q in alone:
+        assert sorted((r["position"], r["title"], r["priority"]) for r in rows["opportunities"] if r["query"] == q) == sorted((r["position"], r["title"], r["priority"]) for r in alone[q])
+    assert {r["need"] for r in rows["opportunities"] if r["query"] == "b"} <= {"MEDIUM"}
+
+
+def test_diversity_by_lexical_vectors(spark, engine, need):
+    """Without semantic vectors, a greedy choice by hand over TF-IDF weights."""
+    pool = {r["id"]: r["total"] for r in engine.search(need, k=50, diversity=1.0).collect()}
+    weights = {}
+    for r in engine.tables["weights"].collect():
+        weights.setdefault(r["id"], {})[r["term"]] = r["w"]
+    like = lambda a, b: sum(w * weights[b].get(t, 0.0) for t, w in weights[a].items())
+    most, chosen = max(pool.values()), []
+    while len(chosen) < 4:
+        rest = sorted((i for i in pool if i not in chosen), key=lambda i: (-pool[i], i))
+        chosen.append(max(rest, key=lambda i: 0.3 * pool[i] / most - 0.7 * max((like(i, c) for c in chosen), default=0.0)))
+    got = engine.search(need, k=4, diversity=0.3).orderBy("rank").collect()
+    assert [r["id"] for r in got] == chosen
+
+
+def test_a_changed_relation_or_vote_is_a_new_graph(spark, folder, tmp_path):
+    entities, relations = institution.load(spark, folder).filter("kind in ('RESEARCHER', 'PROJECT', 'FACULTY')"), institution.relations(spark, folder)
+    build = lambda r, v=None: Engine.build(spark, entities, r, v, str(tmp_path / "t"))
+    owners = lambda e: {r["src"] for r in e.tables["edges"].filter("label = 'participa_en_proyecto' and dst = 'P1'").collect()}
+    first = build(relations)
+    assert owners(first) == {"R1", "R2"}
+    changed = relations | {"researcher_project": relations["researcher_project"].filter("researcher_id = 'R2'")}
+    assert owners(build(changed)) == {"R2"} and owners(build(relations)) == {"R1", "R2"}
+
+
+def test_evaluation_and_ablation(spark, engine, need):
+    relevant = spark.createDataFrame([("N1", "P1"), ("N1", "T1"), ("N2", "P2")], "query string, id string")
+    got = {r["query"]: r for r in engine.evaluate(need, relevant).collect()}
+    assert got["N1"]["recall"] == 1.0 and 0 < got["N1"]["ndcg"] <= 1 and got["N2"]["ndcg"] == 0
+
+
+def test_encoder(spark):
+    import numpy as np
+
+    from findara.functions.vectors import encoder, pooled
+
+    f = encoder(lambda: lambda texts: np.array([[len(t), 1.0] for t in texts]), most=2)
+    rows = spark.createDataFrame([("abc",), (None,), ("x",)], "t string").coalesce(1).select(f("t").alias("v")).collect()
+    assert [r["v"] for r in rows] == [[3.0, 1.0], [0.0, 1.0], [1.0, 1.0]]
+    assert pooled(np.array([[[1.0], [3.0], [9.0]]]), np.array([[1, 1, 0]])).tolist() == [[2.0]] and pooled(np.ones((1, 2, 1)), np.zeros((1, 2))).tolist() == [[0.0]]
+
+
+def test_processed_tables_and_documents(spark, folder, tmp_path):
+    with open(f"{folder}/{institution.CATALOGUE}", "w") as f:
+        f.write("file_name,entity_type,entity_id\np1.md,PROJECT,P1\n")
+    rows = institution.load_with_documents(spark, folder)
+    assert {r["id"]: r["document_file"] for r in rows.filter("document_file is not null").collect()} == {"P1": "p1.md"}
+    institution.save_processed(rows, institution.relations(spark, folder), str(tmp_path / "p"))
+    assert spark.read.parquet(str(tmp_path / "p/entities")).filter("kind = 'THESIS'").count() == 2 and spark.read.parquet(str(tmp_path / "p/rel_thesis_advisor")).count() == 1
