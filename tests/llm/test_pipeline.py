@@ -29,9 +29,22 @@ def test_stages_in_turn(spark, prose):
     assert copies == want and max(copies.values()) == 2
 
 
-@pytest.mark.parametrize("table", ["awkward", "empty"])
-def test_awkward_rows(request, spark, table):
-    docs = request.getfixturevalue(table)
+def test_awkward_rows(spark, awkward):
+    """What each stage keeps of nulls, empty and long texts, repeated rows and clashing names."""
+    docs, kept = awkward, {}
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, "")
+        kept[name] = sorted(str(r["doc_id"]) for r in docs.collect())
+        if name != "pack":
+            assert docs.columns == awkward.columns
+    assert set(kept["language_id"]) <= {"1", "2", "6", "7", "8", "None"} and kept["language_id"].count("2") == 2 and {"1", "6", "7"} <= set(kept["language_id"])
+    left = set(kept["language_id"]) - {"2", "7"}  # copies of 1 and of 6
+    assert kept["exact_dedup"] == kept["simhash_near_dedup"] == sorted(left)
+    assert set(kept["mix_sources"]) <= left and set(kept["pack"]) == set(kept["mix_sources"])
+
+
+def test_empty_table(spark, empty):
+    docs = empty
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, "")
-        docs.collect()
+        assert docs.count() == 0

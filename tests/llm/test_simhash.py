@@ -148,3 +148,23 @@ def test_near_copies_with_a_repeated_line_go(spark):
     assert jaccard(*rows) >= 0.9
     docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
     assert [r["doc_id"] for r in drop_near_duplicates(docs, NEAR).collect()] == [0]
+
+
+def test_recall_and_precision_at_the_threshold(spark):
+    """120 pairs of similarity 0.8 to 0.97, and as many of 0.5 to 0.75, each against its true Jaccard similarity."""
+    rng = random.Random(17)
+    rows, near, far = [], [], []
+    while len(near) < 120 or len(far) < 120:
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.randrange(80, 500))]
+        changed = list(words)
+        for at in rng.sample(range(len(words)), max(1, int(len(words) * rng.uniform(0.002, 0.08)))):
+            changed[at] = f"c{rng.randrange(5000)}"
+        a, b = " ".join(words), " ".join(changed)
+        j = jaccard(a, b)
+        into = near if 0.8 <= j < 0.97 else far if 0.5 <= j < 0.75 else None
+        if into is not None and len(into) < 120:
+            into.append(len(rows) + 1)
+            rows += [a, b]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    gone = {r["doc_id"] for r in docs.select("doc_id").collect()} - {r["doc_id"] for r in drop_near_duplicates(docs, NEAR).collect()}
+    assert gone <= set(near) and len(gone) >= 0.9 * len(near)
