@@ -29,8 +29,8 @@ Pattern = tuple[list[tuple[int, int]], int]
 
 #: Bytes of text that are tokenised at a time, and words encoded as one.
 SLICE, JOINED = 2 << 20, 256
-#: Bytes of words and their ids that a task remembers (twice), what a word takes beside its own, and the longest such.
-MEMORY, EACH, LONGEST = 12 << 20, 200, 64
+#: Bytes of words and their ids that a task remembers, what a word takes beside its own, and the longest such.
+MEMORY, EACH, LONGEST = 20 << 20, 16, 64
 #: Marks that can follow a word's letters; none begins a contraction.
 MARKS = ".,!?;:|"
 #: The one letter whose lower case ends in a mark.
@@ -158,68 +158,94 @@ def tokenizer_at(path: str) -> tuple[object, str | None, int, np.ndarray]:
     return tokenizer, between, between_id, last
 
 
+#: Ids of several words, one after another, and how many each word has.
+Coded = tuple[np.ndarray, np.ndarray]
+
+
 def word_ids(path: str, memory: int = MEMORY) -> Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]:
     """A function from texts to (ids of all, end of each text's ids), as the tokenizer file gives them.
 
     For tokenizers that lower case, drop white space and take letters and marks apart, and never look across either:
     the ids of a word are those of its letters and those of the marks after them, in any text.  So each different
-    part is encoded once and remembered for a while, in about twice ``memory`` bytes at most, which go with the
-    function.  New parts are encoded many at a time, with a special token between them; long ones one by one.
+    part is encoded once and remembered in flat arrays of ``memory`` bytes at most, which go with the function; of
+    more parts those used last stay.  New parts are encoded many at a time, with a blank or a special token between
+    them; long ones one by one.
     """
     tokenizer, between, between_id, last = tokenizer_at(path)
-    young: dict[str, bytes] = {"": b""}  # ids as little-endian unsigned 32-bit numbers
-    old: dict[str, bytes] = {}
-    held = 0  # bytes that the young ones take
-
-    def joined(words: list[str], sign: str, cut_at: Callable[[np.ndarray], np.ndarray]) -> list[bytes]:
-        """Many words as one text; ``cut_at`` finds where a word's ids begin."""
-        out: list[bytes] = []
-        texts = [sign.join(words[k : k + JOINED]) for k in range(0, len(words), JOINED)]
-        for k in range(0, len(texts), 8):  # the library's results are large
-            for e in tokenizer.encode_batch_fast(texts[k : k + 8], add_special_tokens=False):
-                ids = np.array(e.ids, "<u4")
-                cuts = [0, *cut_at(ids).tolist(), len(ids)]
-                raw = ids.tobytes()
-                out += [raw[4 * a : 4 * b] for a, b in zip(cuts, cuts[1:])]
-        return out
-
-    def one_by_one(words: list[str]) -> list[bytes]:
-        return [np.array(tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes() for w in words]
-
-    def letters(words: list[str]) -> list[bytes]:
+    known = pa.array([""])
+    flat, sizes, used = np.zeros(0, "<u4"), np.zeros(1, np.int64), np.zeros(1, np.int32)
+    turn = 0
+
+    def joined(words: list[str], sign: str, cut: Callable[[np.ndarray], Coded]) -> Coded | None:
+        """Many words as one text, whose ids ``cut`` deals to them; none if that gives another number of words."""
+        flat, sizes = [], []
+        for k in range(0, len(words), 8 * JOINED):  # the library's results are large
+            parts = [words[j : j + JOINED] for j in range(k, min(k + 8 * JOINED, len(words)), JOINED)]
+            for part, e in zip(parts, tokenizer.encode_batch_fast([sign.join(p) for p in parts], add_special_tokens=False)):
+                ids, n = cut(np.array(e.ids, "<u4"))
+                if len(n) != len(part):
+                    return None
+                flat.append(ids)
+                sizes.append(n)
+        return np.concatenate(flat), np.concatenate(sizes)
+
+    def one_by_one(words: list[str]) -> Coded:
+        lists = [np.array(tokenizer.encode(w, add_special_tokens=False).ids, "<u4") for w in words]
+        return np.concatenate(lists), np.array([len(x) for x in lists], np.int64)
+
+    def at_ends(ids: np.ndarray) -> Coded:
+        whole = len(ids) > 0 and last[ids[-1]]
+        return ids, np.diff(np.flatnonzero(last[ids]), prepend=-1) if whole else np.zeros(0, np.int64)
+
+    def at_signs(ids: np.ndarray) -> Coded:
+        sign = ids == between_id
+        return ids[~sign], np.diff(np.flatnonzero(sign), prepend=-1, append=len(ids)) - 1
+
+    def letters(words: list[str]) -> Coded:
         """Each is one run of letters, whose last token ends a word."""
-        out = joined(words, " ", lambda ids: np.flatnonzero(last[ids[:-1]]) + 1)
-        return out if len(out) == len(words) else separated(words)
-
-    def separated(words: list[str]) -> list[bytes]:
-        own = np.array([between_id], "<u4").tobytes()
-        return [x.removeprefix(own) for x in joined(words, between, lambda ids: np.flatnonzero(ids == between_id))]
-
-    def kind(word: str) -> Callable[[list[str]], list[bytes]]:
-        if len(word) > LONGEST or between is None or between in word:
-            return one_by_one
-        return letters if word.isalpha() else separated
-
-    def ids_of(words: list[str]) -> list[bytes]:
-        nonlocal young, old, held
-        if held > memory:
-            young, old, held = {"": b""}, young, 0
-        out = list(map(young.get, words))
-        missing: dict[Callable, list[int]] = {}
-        for k, x in enumerate(out):
-            if x is None:
-                if (x := old.get(words[k])) is None:
-                    missing.setdefault(kind(words[k]), []).append(k)
-                else:
-                    out[k] = young[words[k]] = x
-                    held += EACH + len(words[k]) + len(x)
-        for encode_new, places in missing.items():
-            for k, x in zip(places, encode_new([words[k] for k in places])):
-                out[k] = x
-                if len(words[k]) <= LONGEST:
-                    young[words[k]] = x
-                    held += EACH + len(words[k]) + len(x)
-        return out
+        return joined(words, " ", at_ends) or separated(words)
+
+    def separated(words: list[str]) -> Coded:
+        return joined(words, between, at_signs) or one_by_one(words)
+
+    def new_ids(words: pa.Array) -> Coded:
+        alone = pc.or_(pc.greater(pc.binary_length(words), LONGEST), pc.match_substring(words, between) if between else True)
+        run = pc.and_(pc.utf8_is_alpha(words), pc.invert(alone))
+        alone, run = (x.to_numpy(zero_copy_only=False) for x in (alone, run))
+        order, found = [], []
+        for of, these in ((one_by_one, alone), (letters, run), (separated, ~alone & ~run)):
+            at = np.flatnonzero(these)
+            if len(at):
+                order.append(at)
+                found.append(of(words.take(pa.array(at)).to_pylist()))
+        flat, sizes = (np.concatenate(x) for x in zip(*found))
+        index = np.argsort(np.concatenate(order))
+        return gathered(flat, sizes, index)[0], sizes[index]
+
+    def ids_of(words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids and sizes of parts, and which of them each of the different ``words`` is."""
+        nonlocal known, flat, sizes, used, turn
+        turn += 1
+        at = pc.fill_null(pc.index_in(known, value_set=words), -1).to_numpy()  # the shorter side is hashed
+        hit = np.flatnonzero(at >= 0)
+        place = np.full(len(words), -1, np.int64)
+        place[at[hit]] = hit
+        used[hit] = turn
+        fresh = np.flatnonzero(place < 0)
+        if len(fresh):
+            place[fresh] = len(known) + np.arange(len(fresh))
+            new = words.take(pa.array(fresh))
+            ids, n = new_ids(new)
+            known, flat, sizes = pa.concat_arrays([known, new]), np.concatenate([flat, ids]), np.concatenate([sizes, n])
+            used = np.concatenate([used, np.full(len(fresh), turn, np.int32)])
+        found = flat, sizes, place
+        takes = EACH + pc.binary_length(known).to_numpy() + 4 * sizes
+        if (held := int(takes.sum())) > memory:
+            kept = np.flatnonzero(takes <= EACH + 8 * LONGEST)
+            kept = kept[np.argsort(-used[kept], kind="stable")[: int(len(kept) * memory / held / 2)]]
+            known = known.take(pa.array(kept))
+            flat, sizes, used = gathered(flat, sizes, kept)[0], sizes[kept], used[kept]
+        return found
 
     def encode(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         words = pc.ascii_split_whitespace(texts)
@@ -231,10 +257,9 @@ def word_ids(path: str, memory: int = MEMORY) -> Callable[[pa.Array], tuple[np.n
         whole = pc.and_(pc.utf8_is_alpha(pc.utf8_normalize(letters_of, "NFC")), pc.invert(pc.match_substring(letters_of, DOTTED)))
         apart = pc.and_(whole, pc.equal(length, pc.binary_length(word)))
         parts = pa.concat_arrays([pc.if_else(apart, pc.ascii_lower(letters_of), word), pc.if_else(apart, marks, "")]).dictionary_encode()
-        lists = ids_of(parts.dictionary.to_pylist())
-        sizes = np.fromiter(map(len, lists), np.int64, len(lists)) // 4
-        index = parts.indices.to_numpy(zero_copy_only=False).reshape(2, -1).T.ravel()
-        flat, ends = gathered(np.frombuffer(b"".join(lists), "<u4"), sizes, index)
+        flat, sizes, place = ids_of(parts.dictionary)
+        index = place[parts.indices.to_numpy(zero_copy_only=False)].reshape(2, -1).T.ravel()
+        flat, ends = gathered(flat, sizes, index)
         ids, ends = gathered(flat, np.diff(ends[::2]), coded.indices.to_numpy(zero_copy_only=False))
         return ids, ends[words.offsets.to_numpy()[1:] - words.offsets[0].as_py()]
 
