@@ -25,7 +25,7 @@ from findara.session import written
 FACETS = ("topic", "domain", "method")
 SIGNALS = ("semantic", "lexical", "topic", "domain", "method", "evidence")
 #: Bytes of an Arrow batch; bytes of text a bucket of terms; code points looked at together; queries a run.
-BATCH, BUCKET, SLICE, QUERIES = 4 << 20, 16 << 20, 1 << 19, 2000
+BATCH, BUCKET, SLICE, QUERIES = 2 << 20, 16 << 20, 1 << 19, 2000
 #: Texts, and meetings of their terms with queries, that are scored together; pairs that wait to be ranked.
 ROWS, MEETINGS, WAITING = 256, 1 << 19, 100_000
 GONE = 0xFFFFFFFF
@@ -188,6 +188,11 @@ def _rows(kind: list[str], *columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, types[t]) for c, (_, t) in zip(columns, named, strict=True)], names=[n for n, _ in named])
 
 
+def _small(x: np.ndarray) -> np.ndarray:
+    """Whole numbers in as few bytes each as they take."""
+    return x.astype(np.min_scalar_type(int(x.max(initial=0))))
+
+
 def _facet_places(codes: np.ndarray, at: np.ndarray, word: np.ndarray, folds: np.ndarray, vocab: Known) -> tuple[np.ndarray, np.ndarray]:
     """``text, place`` of the vocabulary's terms that each text has, once each."""
     text, h = words(codes, at, word, folds)
@@ -220,7 +225,7 @@ def taken_apart(packed: bytes, asked: np.ndarray, vocab: np.ndarray, buckets: in
                 parts.append((text + start, term, tf, text[hit] + start, place, tf[hit], of + start, facet))
             text, term, tf, *own = (np.concatenate(p) for p in zip(*parts, strict=True))
             del parts, codes
-            own = (batch.column(0).to_numpy(), *own)
+            own = (batch.column(0).to_numpy(), *map(_small, own))
             bucket = ((term >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.uint16 if buckets <= 1 << 16 else np.uint32)
             order = np.argsort(bucket, kind="stable")
             bucket, term, tf = bucket[order], term[order], tf[order]
@@ -297,7 +302,7 @@ def unit(idfs: np.ndarray) -> Callable[[Batches], Batches]:
 
     def told(own: tuple, norms: np.ndarray) -> Batches:
         ids, text, place, tf, of, facet = own
-        w = (1 + np.log(tf)) * idfs[place] / np.sqrt(norms[text])
+        w = (1 + np.log(tf.astype(np.float64))) * idfs[place] / np.sqrt(norms[text])
         place, facet = place.astype(np.uint32), facet.astype(np.uint32)
         t, f = (np.searchsorted(x, np.arange(len(ids) + 1)).tolist() for x in (text, of))
         for k in range(0, len(ids), 1024):
